@@ -1,0 +1,39 @@
+"""The main job: landed pages in, scored fixtures and the best pick of every round out."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+
+from kickpool.operators.html_tables import extract_fixtures, extract_standings
+from kickpool.operators.lookup import attach_standings
+from kickpool.operators.ranking import best_by_probability
+from kickpool.operators.scoring import predict_model_b
+
+
+def predict_pages(
+    detail_pages: DataFrame,
+    standings_pages: DataFrame,
+    scope: Sequence[str] = (),
+    page_keys: Sequence[str] = ("round",),
+    explain: bool = True,
+) -> DataFrame:
+    """Fixtures of all detail pages, looked up in the standings pages and scored by model B.
+
+    ``scope`` names the columns both kinds of pages share, such as league or season.
+    """
+    fixtures = extract_fixtures(detail_pages, *scope, *page_keys)
+    standings = extract_standings(standings_pages, *scope)
+    inputs = attach_standings(
+        fixtures, standings, scope, order=("rank", "table_idx", "row_idx", "team_name")
+    )
+    return predict_model_b(inputs, explain)
+
+
+def best_picks(
+    detail_pages: DataFrame, standings_pages: DataFrame, scope: Sequence[str] = ()
+) -> DataFrame:
+    """One pick per round."""
+    predictions = predict_pages(detail_pages, standings_pages, scope, explain=False)
+    return best_by_probability(predictions, ["round"])
