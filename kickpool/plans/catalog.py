@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from kickpool.plans import prediction_queries
+from kickpool.plans import page_queries, prediction_queries, table_queries
 from kickpool.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "prediction_queries"]
+__all__ = ["ORACLES", "QUERIES", "page_queries", "prediction_queries", "table_queries"]
