@@ -114,9 +114,9 @@ def schedule_rounds(pages: DataFrame, *keys: str, html: str = "html") -> DataFra
 
 
 def latest_of_page(rounds: Column) -> Column:
-    """First open round of a schedule array, else its first round, else NULL."""
+    """First open round of a schedule array, else its first round, as array of at most one."""
     open_rounds = F.filter(rounds, lambda r: r["status"] == "open")
-    return F.coalesce(F.get(open_rounds, F.lit(0)), F.get(rounds, F.lit(0)))
+    return F.slice(F.concat(open_rounds, rounds), 1, 1)
 
 
 def latest_rounds(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame:
@@ -125,8 +125,7 @@ def latest_rounds(pages: DataFrame, *keys: str, html: str = "html") -> DataFrame
     The choice is made inside the page's own array, so there is no window and no shuffle.
     """
     rounds = pages.select(*keys, schedule_array(plain_text(html)).alias("rounds"))
-    latest = rounds.select(*keys, latest_of_page(F.col("rounds")).alias("r"))
-    return latest.where(F.col("r").isNotNull()).select(*keys, "r.*")
+    return rounds.select(*keys, F.inline(latest_of_page(F.col("rounds"))))
 
 
 def first_rounds(rounds: DataFrame, n: int = 20) -> DataFrame:

@@ -50,6 +50,17 @@ def score_pairs(
     return scored.withColumn(total, running_sum(F.lit(0.0), terms) + F.lit(float(bonus)))
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows with these computed columns passed through a one-row generator.
+
+    Scores are built in steps that use each other several times. A later filter on one of
+    them would be pushed below all steps and multiply the expression at each; a generator
+    ends that, while filters on the other columns still reach the scan.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns))))
+
+
 def explanation(label: str, shown: Column, sentence: Column, amount: str) -> Column:
     """(label, amount, description) struct; the amount is called score or impact."""
     return F.struct(
@@ -112,9 +123,12 @@ def predict_model_b(inputs: DataFrame, explain: bool = True) -> DataFrame:
             "probability": F.when(F.col("matched"), model_b_probability(total)).otherwise(40),
         }
     ).withColumn("confidence", model_b_confidence(F.col("probability")))
+    results = ["total_score", "outcome", "probability", "confidence"]
     if explain:
         scored = scored.withColumn("factors", model_b_factors())
-    return scored.drop("raw_total", *(f"{f.name}_score" for f in MODEL_B))
+        results.append("factors")
+    scored = scored.drop("raw_total", *(f"{f.name}_score" for f in MODEL_B))
+    return settled(scored, *results)
 
 
 def model_b_factors() -> Column:
@@ -211,9 +225,14 @@ def predict_model_a(matches: DataFrame, explain: bool = True) -> DataFrame:
             "pick_edge": of_pick(F.col("pick"), *edges),
         }
     ).withColumn("confidence", model_a_confidence(F.col("pick_prob"), F.col("pick_edge")))
+    results = [f"{side}_{kind}" for side in ("home", "draw", "away") for kind in ("prob", "edge")]
+    results += ["pick", "pick_prob", "pick_edge", "confidence"]
     if explain:
         scored = scored.withColumn("reasons", model_a_reasons())
-    return scored.drop("raw_total", "_home", "_draw", "_away")
+        results.append("reasons")
+    steps = ("raw_total", "_home", "_draw", "_away", "weather_impact")
+    scored = scored.drop(*steps, *(f"{f.name}_score" for f in MODEL_A))
+    return settled(scored, *results)
 
 
 def model_a_reasons() -> Column:
@@ -307,7 +326,9 @@ def design_scores(
     draw = running_sum(
         F.lit(24.0), [F.when(c, F.lit(v)).otherwise(F.lit(0.0)) for c, v in increments]
     )
-    return scored.withColumn("draw_raw", draw).drop("raw_total")
+    scored = scored.withColumn("draw_raw", draw)
+    scored = scored.drop("raw_total", *(f"{f.name}_score" for f in DESIGN_SCORE))
+    return settled(scored, "home_raw", "draw_raw", "away_raw")
 
 
 def design_probabilities(scored: DataFrame) -> DataFrame:
