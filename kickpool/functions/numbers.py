@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from kickpool.functions.text import as_column, strip_ws
+from kickpool.functions.text import WS, as_column
 
-NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+# A decimal number in optional whitespace; the number is the group.
+NUMERIC_TEXT = rf"^{WS}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?){WS}*\z"
+BLANK_TEXT = rf"^{WS}+\z"
 
 
 def half_up(x: Column | str) -> Column:
@@ -25,12 +27,12 @@ def clamp(x: Column | str, lo: float, hi: float) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), bounded).otherwise(x)
 
 
-def parsed_number(text: Column | str) -> Column:
-    """DOUBLE value of a numeric text; blanks count as 0; NULL when it is no finite number."""
-    trimmed = strip_ws(as_column(text))
-    value = F.when(trimmed.rlike(NUMERIC_TEXT), trimmed.try_cast("double"))
-    finite = F.when(F.abs(value) < F.lit(float("inf")), value)
-    return F.when(trimmed == "", F.lit(0.0)).otherwise(finite)
+def nullable_number(text: Column | str) -> Column:
+    """Numeric text as DOUBLE; missing, empty, unreadable or infinite gives NULL, blanks 0."""
+    text = as_column(text)
+    value = F.regexp_extract(text, NUMERIC_TEXT, 1).try_cast("double")
+    finite = F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
+    return F.coalesce(finite, F.when(text.rlike(BLANK_TEXT), F.lit(0.0)))
 
 
 def number_or(text: Column | str, fallback: float = 0.0) -> Column:
@@ -38,12 +40,6 @@ def number_or(text: Column | str, fallback: float = 0.0) -> Column:
     return F.coalesce(nullable_number(text), F.lit(float(fallback)))
 
 
-def nullable_number(text: Column | str) -> Column:
-    """Numeric text as DOUBLE; missing, empty or unreadable text gives NULL."""
-    text = as_column(text)
-    return F.when(text != "", parsed_number(text))
-
-
 def noisy_int(text: Column | str) -> Column:
     """Keep ASCII digits and minus signs, read the rest as BIGINT, 0 when that fails."""
     kept = F.regexp_replace(as_column(text), "[^0-9-]", "")

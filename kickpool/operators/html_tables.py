@@ -59,11 +59,19 @@ def at_least_tables(pages: DataFrame, n: int) -> DataFrame:
     return pages.where(F.regexp_count("html", F.lit("(?i)<table")) >= n)
 
 
-def table_rows(pages: DataFrame, *keys: str, cell_html: int = 0, min_tables: int = 1) -> DataFrame:
-    """One record per table row, its cells in an array."""
-    candidates = at_least_tables(pages, min_tables)
+def table_rows(
+    pages: DataFrame,
+    *keys: str,
+    cell_html: int = 0,
+    row_text: bool = False,
+    min_tables: int = 1,
+) -> DataFrame:
+    """One record per table row, its cells in an array. Row text and cell markup on request."""
     return read_markup(
-        candidates, keys, ROW_FIELDS, lambda html: markup.page_table_rows(html, cell_html)
+        at_least_tables(pages, min_tables),
+        keys,
+        ROW_FIELDS,
+        lambda html: markup.page_table_rows(html, cell_html, row_text),
     )
 
 
@@ -109,7 +117,7 @@ def table_previews(pages: DataFrame, *keys: str, n: int = 300) -> DataFrame:
 
 def rows_with_keyword(pages: DataFrame, keyword: str, *keys: str, cell_html: int = 500) -> DataFrame:
     """Cells (text and markup prefix) of every page row whose text holds the keyword."""
-    rows = table_rows(pages, *keys, cell_html=cell_html)
+    rows = table_rows(pages, *keys, cell_html=cell_html, row_text=True)
     hits = rows.where(F.col("innermost") & F.col("row_text").contains(keyword))
     return hits.select(*keys, "page_row_idx", "row_text", F.inline("cells")).drop(
         "anchor_text", "span_text"

@@ -1,29 +1,44 @@
 """HTML reader used inside tasks: one page in, its table rows, links or text out.
 
-Built on the standard library's tokenizer. A page becomes a light element tree with the
-structure a browser would give it where tables are concerned: omitted section and row tags
-are supplied, and content stranded between cells moves in front of its table.
+One pass splits a page into tags and text and keeps a stack of open elements, supplying the
+structure a browser would where tables are concerned: omitted section and row tags are
+added, and content stranded between cells moves in front of its table. A second pass numbers
+elements and texts in document order, so the text and the descendants of any element are
+slices of flat lists and nested markup is never walked again.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 from kickpool.functions.text import WS
 
 SPACES = re.compile(WS + "+")
+# A comment, a tag with its attributes, some other declaration, or a tag cut off by the end.
+MARKUP = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[^>=]++)*+)>"
+    r"|<(?:[!?]|/[^a-zA-Z])[^>]*>"
+    r"|</?[a-zA-Z].*\Z|<[!?].*\Z",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = ("script", "style", "noscript", "iframe", "noembed", "noframes", "xmp")
+RAW_TEXT = frozenset("script style noscript iframe noembed noframes xmp".split())
+NO_TAGS_INSIDE = RAW_TEXT | {"title", "textarea"}
 SECTIONS = ("tbody", "thead", "tfoot")
 CELLS = ("td", "th")
 # The open elements a table part may be put into; whatever is open above them ends first.
 HOSTS = dict.fromkeys((*SECTIONS, "caption", "colgroup"), ("table",))
 HOSTS |= {"tr": ("table", *SECTIONS), "td": ("table", *SECTIONS, "tr")}
 HOSTS["th"] = HOSTS["td"]
-BETWEEN_CELLS = ("table", "tr", *SECTIONS)
+BETWEEN_CELLS = frozenset(("table", "tr", *SECTIONS))
 SCOPE_END = ("table", "caption", *CELLS)
+STAY_IN_TABLE = frozenset((*HOSTS, "script", "style", "template", "col", "form"))
+LISTED = {"table": "table", "tr": "tr", "td": "cell", "th": "cell", "a": "a", "span": "span"}
 
 
 def squeeze(text: str) -> str:
@@ -31,34 +46,19 @@ def squeeze(text: str) -> str:
 
 
 class Element:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "end", "in_body", "parent", "place", "table", "tag", "words")
 
-    def __init__(self, tag: str, parent: Element | None = None, attrs: list | None = None):
+    def __init__(self, tag: str, parent: Element | None = None, attrs: str = ""):
         self.tag = tag
         self.parent = parent
-        self.attrs = attrs or []
+        self.attrs = attrs
         self.children: list[Element | str] = []
 
-    def walk(self) -> Iterator[Element | str]:
-        """Descendants in document order, without recursion: nesting may be deep."""
-        stack = self.children[::-1]
-        while stack:
-            node = stack.pop()
-            yield node
-            if isinstance(node, Element):
-                stack.extend(reversed(node.children))
-
-    def find(self, *tags: str) -> Iterator[Element]:
-        return (n for n in self.walk() if isinstance(n, Element) and n.tag in tags)
-
-    def text(self) -> str:
-        return "".join(n for n in self.walk() if isinstance(n, str))
-
-    def ancestor(self, tag: str) -> Element | None:
-        node = self.parent
-        while node is not None and node.tag != tag:
-            node = node.parent
-        return node
+    def attributes(self) -> Iterator[tuple[str, str]]:
+        for name, value in ATTRIBUTE.findall(self.attrs):
+            if value[:1] in ("'", '"'):
+                value = value[1:-1]
+            yield name.lower(), unescape(value)
 
     def inner_html(self, limit: int) -> str:
         """The first ``limit`` characters of the serialised children."""
@@ -67,54 +67,91 @@ class Element:
         while stack and size < limit:
             node = stack.pop()
             if isinstance(node, Element):
-                piece = "<" + node.tag + "".join(map(_attribute, node.attrs)) + ">"
+                attrs = "".join(f' {k}="{_escape(v, True)}"' for k, v in node.attributes())
+                piece = f"<{node.tag}{attrs}>"
                 if node.tag not in VOID:
-                    stack.append(("</" + node.tag + ">",))
+                    stack.append((f"</{node.tag}>",))
                     raw = node.tag in RAW_TEXT
                     stack.extend((c,) if raw else c for c in reversed(node.children))
             else:
-                piece = node[0] if isinstance(node, tuple) else _escape(node)
+                piece = node[0] if isinstance(node, tuple) else _escape(node, False)
             out.append(piece)
             size += len(piece)
         return "".join(out)[:limit]
 
 
-def _escape(text: str) -> str:
+def _escape(text: str, in_attribute: bool) -> str:
     text = text.replace("&", "&amp;").replace("\u00a0", "&nbsp;")
+    if in_attribute:
+        return text.replace('"', "&quot;")
     return text.replace("<", "&lt;").replace(">", "&gt;")
 
 
-def _attribute(pair: tuple) -> str:
-    value = (pair[1] or "").replace("&", "&amp;").replace("\u00a0", "&nbsp;")
-    return f' {pair[0]}="' + value.replace('"', "&quot;") + '"'
-
-
-class PageReader(HTMLParser):
-    CDATA_CONTENT_ELEMENTS = RAW_TEXT
+class Page:
+    """Element tree of a page with its elements and texts in document order."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+    def __init__(self, html: str):
         self.root = Element("#document")
         self.open = [self.root]
-
-    def parse_marked_section(self, i: int, report: int = 0) -> int:
-        return self.parse_bogus_comment(i)  # odd markup is page text, never an error
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._read(html)
+        self.texts: list[str] = []
+        self.found: dict[str, list[Element]] = {name: [] for name in LISTED.values()}
+        self._number()
+        self.places = {name: [e.place for e in es] for name, es in self.found.items()}
+
+    # ------------------------------------------------------------------------- queries
+
+    def text(self, element: Element) -> str:
+        first, last = element.words
+        return squeeze("".join(self.texts[first:last]))
+
+    def whole_text(self) -> str:
+        return squeeze("".join(self.texts))
+
+    def within(self, element: Element, name: str) -> list[Element]:
+        """Descendants of one kind in document order."""
+        places = self.places[name]
+        first = bisect_left(places, element.place + 1)
+        return self.found[name][first : bisect_left(places, element.end)]
+
+    # ------------------------------------------------------------------------ building
+
+    def _read(self, html: str) -> None:
+        at = 0
+        while (hit := MARKUP.search(html, at)) is not None:
+            if hit.start() > at:
+                self._add_text(unescape(html[at : hit.start()]))
+            at = hit.end()
+            name = hit[2]
+            if name is None:
+                continue
+            tag = name.lower()
+            if hit[1]:
+                self._end_tag(tag)
+                continue
+            opened = self._start_tag(tag, hit[3])
+            if opened and tag in NO_TAGS_INSIDE:
+                closing = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                stop = closing.start() if closing else len(html)
+                inside = html[at:stop]
+                self.open[-1].children.append(inside if tag in RAW_TEXT else unescape(inside))
+                at = stop
+        if at < len(html):
+            self._add_text(unescape(html[at:]))
+
+    def _start_tag(self, tag: str, attrs: str) -> bool:
         if tag in HOSTS:
             if not self._nearest(("table",), ()):
-                return
+                return False
             self._make_room(tag)
-        elif tag == "table" and self._top() in BETWEEN_CELLS:
+        elif tag == "table" and self.open[-1].tag in BETWEEN_CELLS:
             self._end(("table",), ())
         elif tag == "a":
             self._end(("a",), SCOPE_END)
         self._push(tag, attrs)
+        return True
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
-
-    def handle_endtag(self, tag: str) -> None:
+    def _end_tag(self, tag: str) -> None:
         if tag == "table":
             self._end((tag,), ())
         elif tag in HOSTS:
@@ -122,21 +159,19 @@ class PageReader(HTMLParser):
         elif tag not in ("html", "body"):
             self._end((tag,), SCOPE_END)
 
-    def handle_data(self, data: str) -> None:
-        if self._top() in BETWEEN_CELLS and SPACES.sub("", data):
+    def _add_text(self, data: str) -> None:
+        if self.open[-1].tag in BETWEEN_CELLS and SPACES.sub("", data):
             self._put_before_table(data)
         else:
             self.open[-1].children.append(data)
 
-    def _top(self) -> str:
-        return self.open[-1].tag
-
     def _nearest(self, tags: tuple, stop: tuple) -> int:
         """Stack index of the innermost open element with one of the tags, or 0."""
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
+            tag = self.open[i].tag
+            if tag in tags:
                 return i
-            if self.open[i].tag in stop:
+            if tag in stop:
                 break
         return 0
 
@@ -147,19 +182,19 @@ class PageReader(HTMLParser):
 
     def _make_room(self, tag: str) -> None:
         del self.open[self._nearest(HOSTS[tag], ()) + 1 :]
-        if tag in ("tr", *CELLS) and self._top() == "table":
-            self._push("tbody", [])
-        if tag in CELLS and self._top() in SECTIONS:
-            self._push("tr", [])
-
-    def _push(self, tag: str, attrs: list) -> None:
-        stranded = self._top() in BETWEEN_CELLS and tag not in HOSTS
-        if stranded and tag not in ("script", "style", "template", "col", "form"):
+        if tag in ("tr", *CELLS) and self.open[-1].tag == "table":
+            self._push("tbody")
+        if tag in CELLS and self.open[-1].tag in SECTIONS:
+            self._push("tr")
+
+    def _push(self, tag: str, attrs: str = "") -> None:
+        above = self.open[-1]
+        if above.tag in BETWEEN_CELLS and tag not in STAY_IN_TABLE:
             element = Element(tag, None, attrs)
             self._put_before_table(element)
         else:
-            element = Element(tag, self.open[-1], attrs)
-            element.parent.children.append(element)
+            element = Element(tag, above, attrs)
+            above.children.append(element)
         if tag not in VOID:
             self.open.append(element)
 
@@ -170,61 +205,92 @@ class PageReader(HTMLParser):
         if isinstance(node, Element):
             node.parent = home
 
-
-def read_page(html: str) -> Element:
-    reader = PageReader()
-    reader.feed(html)
-    reader.close()
-    return reader.root
+    def _number(self) -> None:
+        """Give every element its place, the slice of texts inside it and its table context."""
+        texts, found = self.texts, self.found
+        place, bodies = 0, 0
+        tables: list[Element] = []
+        stack: list = [self.root]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                texts.append(node)
+                continue
+            if isinstance(node, tuple):
+                (element,) = node
+                element.words = (element.words, len(texts))
+                element.end = place
+                if element.tag == "tbody":
+                    bodies -= 1
+                elif element.tag == "table":
+                    tables.pop()
+                continue
+            node.place = place
+            place += 1
+            node.words = len(texts)
+            node.in_body = bodies > 0
+            node.table = tables[-1] if tables else None
+            tag = node.tag
+            if tag in LISTED:
+                found[LISTED[tag]].append(node)
+            if tag == "tbody":
+                bodies += 1
+            elif tag == "table":
+                tables.append(node)
+            stack.append((node,))
+            stack.extend(reversed(node.children))
 
 
 def page_text(html: str) -> str:
     """Text of the whole page, entities decoded, whitespace collapsed."""
-    return squeeze(read_page(html).text())
+    return Page(html).whole_text()
 
 
 def page_links(html: str) -> Iterator[dict]:
-    for i, anchor in enumerate(read_page(html).find("a")):
-        href = next((value for name, value in anchor.attrs if name == "href"), None)
-        yield {"link_idx": i, "text": squeeze(anchor.text()), "href": href or ""}
+    page = Page(html)
+    for i, anchor in enumerate(page.found["a"]):
+        href = next((value for name, value in anchor.attributes() if name == "href"), "")
+        yield {"link_idx": i, "text": page.text(anchor), "href": href}
 
 
 def page_tables(html: str) -> Iterator[dict]:
-    for i, table in enumerate(read_page(html).find("table")):
-        rows = sum(1 for _ in table.find("tr"))
-        yield {"table_idx": i, "row_count": rows, "text": squeeze(table.text())}
+    page = Page(html)
+    for i, table in enumerate(page.found["table"]):
+        rows = len(page.within(table, "tr"))
+        yield {"table_idx": i, "row_count": rows, "text": page.text(table)}
 
 
-def page_table_rows(html: str, cell_html: int = 0) -> Iterator[dict]:
+def page_table_rows(html: str, cell_html: int = 0, row_text: bool = False) -> Iterator[dict]:
     """Rows of every table with their cells; a nested row appears under each enclosing table.
 
     ``row_idx`` numbers the body rows of the table (NULL on head and foot rows) and
     ``page_row_idx`` all rows of the page. ``cell_html`` is how much markup to keep per cell.
     """
-    root = read_page(html)
-    page_order = {id(row): i for i, row in enumerate(root.find("tr"))}
-    for table_idx, table in enumerate(root.find("table")):
+    page = Page(html)
+    for table_idx, table in enumerate(page.found["table"]):
         body_rows = 0
-        for row in table.find("tr"):
-            in_body = row.ancestor("tbody") is not None
+        rows = page.within(table, "tr")
+        first = bisect_left(page.places["tr"], table.place)
+        for page_row_idx, row in enumerate(rows, first):
+            cells = page.within(row, "cell")
             yield {
                 "table_idx": table_idx,
-                "row_idx": body_rows if in_body else None,
-                "page_row_idx": page_order[id(row)],
-                "innermost": row.ancestor("table") is table,
-                "row_text": squeeze(row.text()),
-                "cells": [_cell(i, c, cell_html) for i, c in enumerate(row.find(*CELLS))],
+                "row_idx": body_rows if row.in_body else None,
+                "page_row_idx": page_row_idx,
+                "innermost": row.table is table,
+                "row_text": page.text(row) if row_text else None,
+                "cells": [_cell(page, i, c, cell_html) for i, c in enumerate(cells)],
             }
-            body_rows += in_body
-
-
-def _cell(i: int, cell: Element, cell_html: int) -> dict:
-    anchor = next(cell.find("a"), None)
-    span = next(anchor.find("span"), None) if anchor else None
-    return {
-        "cell_idx": i,
-        "text": squeeze(cell.text()),
-        "anchor_text": squeeze(anchor.text()) if anchor else None,
-        "span_text": squeeze(span.text()) if span else None,
-        "html": cell.inner_html(cell_html) if cell_html else None,
-    }
+            body_rows += row.in_body
+
+
+def _cell(page: Page, i: int, cell: Element, cell_html: int) -> dict:
+    record = {"cell_idx": i, "text": page.text(cell), "anchor_text": None, "span_text": None}
+    record["html"] = cell.inner_html(cell_html) if cell_html else None
+    anchors = page.within(cell, "a") if page.found["a"] else ()
+    if anchors:
+        record["anchor_text"] = page.text(anchors[0])
+        spans = page.within(anchors[0], "span")
+        if spans:
+            record["span_text"] = page.text(spans[0])
+    return record
