@@ -8,11 +8,14 @@ from pyspark.sql import Column, functions as F
 
 from kickpool.functions import fixed_values as fv
 
-# Whitespace as web text knows it. Java's \s stops at ASCII, so the class is spelled out;
-# U+0085 is no member.
+# Whitespace as web text knows it. Java's \s stops at ASCII, so the characters are spelled
+# out, once as a pattern class and once as plain text; U+0085 is no member.
 WS_CHARS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 WS = f"[{WS_CHARS}]"
 NON_BLANK_WS = f"[{WS_CHARS}&&[^ ]]"
+SPACE_CODES = (9, 10, 11, 12, 13, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B))
+SPACE_CODES += (0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+SPACES = "".join(map(chr, SPACE_CODES))
 
 
 def as_column(x: Column | str) -> Column:
@@ -21,12 +24,12 @@ def as_column(x: Column | str) -> Column:
 
 def strip_ws(x: Column | str) -> Column:
     """Trim every Unicode space at both ends."""
-    return F.regexp_replace(as_column(x), f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(as_column(x), F.lit(SPACES))
 
 
 def remove_ws(x: Column | str) -> Column:
     """Drop every whitespace character."""
-    return F.regexp_replace(as_column(x), f"{WS}+", "")
+    return F.translate(as_column(x), SPACES, "")
 
 
 def collapse_ws(x: Column | str) -> Column:
@@ -48,10 +51,10 @@ def name_key(x: Column | str, aliases: Mapping[str, str] | None = None) -> Colum
 
     ``aliases`` maps whole whitespace-free names and wins over the character rule.
     """
-    bare = remove_ws(x)
-    key = F.translate(bare, fv.FULL_WIDTH, fv.HALF_WIDTH)
+    # Characters without a counterpart are dropped, so one pass does both.
+    key = F.translate(as_column(x), fv.FULL_WIDTH + SPACES, fv.HALF_WIDTH)
     for written, canonical in (aliases or {}).items():
-        key = F.when(bare == written, F.lit(canonical)).otherwise(key)
+        key = F.when(remove_ws(x) == written, F.lit(canonical)).otherwise(key)
     return key
 
 

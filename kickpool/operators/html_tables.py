@@ -7,20 +7,21 @@ never has to be put together again from cells, so the extractors need no shuffle
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kickpool.functions.numbers import noisy_int, number_or
-from kickpool.functions.text import empty_to_null, contains_any, name_key, prefix, remove_ws
 from kickpool.functions import fixed_values as fv
+from kickpool.functions.numbers import noisy_int, number_or
+from kickpool.functions.text import contains_any, empty_to_null, name_key, prefix, remove_ws
 from kickpool.operators import markup
 
 RECORDS_PER_BATCH = 2000
 
-CELLS = "array<struct<cell_idx:int,text:string,anchor_text:string,span_text:string,html:string>>"
+CELLS = "array<struct<text:string,anchor_text:string,span_text:string,html:string>>"
 ROW_FIELDS = (
     f"table_idx int, row_idx int, page_row_idx int, innermost boolean, row_text string, cells {CELLS}"
 )
@@ -28,28 +29,44 @@ TABLE_FIELDS = "table_idx int, row_count int, text string"
 LINK_FIELDS = "link_idx int, text string, href string"
 
 
+def arrow_column(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """Column of plain values, or of lists of tuples built from their flattened fields."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = pa.array([0, *accumulate(map(len, values))], pa.int32())
+    fields = list(kind.value_type)
+    columns = list(zip(*chain.from_iterable(values))) or [()] * len(fields)
+    flat = [pa.array(column, field.type) for column, field in zip(columns, fields)]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, fields=fields))
+
+
 def read_markup(
-    pages: DataFrame, keys: tuple[str, ...], fields: str, reader: Callable[[str], Iterator[dict]]
+    pages: DataFrame, keys: tuple[str, ...], fields: str, reader: Callable[[str], Iterator[tuple]]
 ) -> DataFrame:
     """Run a page reader over (keys, html); its records come back behind the page's keys."""
     source = pages.select(*keys, "html").where(F.col("html").isNotNull())
     key_fields = [source.schema[k] for k in keys]
-    added = T.StructType.fromDDL(fields)
-    schema = T.StructType(key_fields + added.fields)
-    arrow_schema = to_arrow_schema(schema)
+    schema = T.StructType(key_fields + T.StructType.fromDDL(fields).fields)
+    kinds = to_arrow_schema(schema)
+
+    def packed(records: list[tuple]) -> pa.RecordBatch:
+        columns = zip(zip(*records), kinds)
+        return pa.RecordBatch.from_arrays(
+            [arrow_column(values, field.type) for values, field in columns], schema=kinds
+        )
 
     def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
-            records: list[dict] = []
-            key_rows = batch.select(list(keys)).to_pylist()
-            for key_row, html in zip(key_rows, batch.column("html")):
+            records: list[tuple] = []
+            page_keys = zip(*(batch.column(k).to_pylist() for k in keys))
+            for key, html in zip(page_keys, batch.column("html")):
                 for record in reader(html.as_py()):
-                    records.append(key_row | record)
+                    records.append(key + record)
                     if len(records) == RECORDS_PER_BATCH:
-                        yield pa.RecordBatch.from_pylist(records, arrow_schema)
+                        yield packed(records)
                         records = []
             if records:
-                yield pa.RecordBatch.from_pylist(records, arrow_schema)
+                yield packed(records)
 
     return source.mapInArrow(batches, schema)
 
@@ -78,14 +95,14 @@ def table_rows(
 def table_cells(pages: DataFrame, *keys: str, cell_html: int = 0) -> DataFrame:
     """One record per cell with its table, row and cell ordinals."""
     rows = table_rows(pages, *keys, cell_html=cell_html)
-    return rows.select(*keys, "table_idx", "row_idx", "page_row_idx", "innermost", F.inline("cells"))
+    ordinals = ("table_idx", "row_idx", "page_row_idx", "innermost")
+    cells = rows.select(*keys, *ordinals, F.posexplode("cells").alias("cell_idx", "c"))
+    return cells.select(*keys, *ordinals, "cell_idx", "c.*")
 
 
 def dom_text(pages: DataFrame, *keys: str) -> DataFrame:
     """Text of the parsed page: entities decoded, nothing put in place of tags."""
-    return read_markup(
-        pages, keys, "text string", lambda html: iter([{"text": markup.page_text(html)}])
-    )
+    return read_markup(pages, keys, "text string", markup.page_text)
 
 
 def links(pages: DataFrame, *keys: str) -> DataFrame:
@@ -119,9 +136,10 @@ def rows_with_keyword(pages: DataFrame, keyword: str, *keys: str, cell_html: int
     """Cells (text and markup prefix) of every page row whose text holds the keyword."""
     rows = table_rows(pages, *keys, cell_html=cell_html, row_text=True)
     hits = rows.where(F.col("innermost") & F.col("row_text").contains(keyword))
-    return hits.select(*keys, "page_row_idx", "row_text", F.inline("cells")).drop(
-        "anchor_text", "span_text"
+    cells = hits.select(
+        *keys, "page_row_idx", "row_text", F.posexplode("cells").alias("cell_idx", "c")
     )
+    return cells.select(*keys, "page_row_idx", "row_text", "cell_idx", "c.text", "c.html")
 
 
 # ---------------------------------------------------------------- fixtures and standings

@@ -241,56 +241,56 @@ class Page:
             stack.extend(reversed(node.children))
 
 
-def page_text(html: str) -> str:
-    """Text of the whole page, entities decoded, whitespace collapsed."""
-    return Page(html).whole_text()
+def page_text(html: str) -> Iterator[tuple]:
+    """One record: text of the whole page, entities decoded, whitespace collapsed."""
+    yield (Page(html).whole_text(),)
 
 
-def page_links(html: str) -> Iterator[dict]:
+def page_links(html: str) -> Iterator[tuple]:
+    """Ordinal, text and target of every link."""
     page = Page(html)
     for i, anchor in enumerate(page.found["a"]):
         href = next((value for name, value in anchor.attributes() if name == "href"), "")
-        yield {"link_idx": i, "text": page.text(anchor), "href": href}
+        yield i, page.text(anchor), href
 
 
-def page_tables(html: str) -> Iterator[dict]:
+def page_tables(html: str) -> Iterator[tuple]:
+    """Ordinal, number of rows and text of every table."""
     page = Page(html)
     for i, table in enumerate(page.found["table"]):
-        rows = len(page.within(table, "tr"))
-        yield {"table_idx": i, "row_count": rows, "text": page.text(table)}
+        yield i, len(page.within(table, "tr")), page.text(table)
 
 
-def page_table_rows(html: str, cell_html: int = 0, row_text: bool = False) -> Iterator[dict]:
+def page_table_rows(html: str, cell_html: int = 0, row_text: bool = False) -> Iterator[tuple]:
     """Rows of every table with their cells; a nested row appears under each enclosing table.
 
-    ``row_idx`` numbers the body rows of the table (NULL on head and foot rows) and
-    ``page_row_idx`` all rows of the page. ``cell_html`` is how much markup to keep per cell.
+    A record is: table ordinal, ordinal among the table's body rows (NULL on head and foot
+    rows), ordinal among all rows of the page, whether this table is the row's innermost,
+    row text on request, cells. ``cell_html`` is how much markup to keep per cell.
     """
     page = Page(html)
     for table_idx, table in enumerate(page.found["table"]):
         body_rows = 0
-        rows = page.within(table, "tr")
         first = bisect_left(page.places["tr"], table.place)
-        for page_row_idx, row in enumerate(rows, first):
-            cells = page.within(row, "cell")
-            yield {
-                "table_idx": table_idx,
-                "row_idx": body_rows if row.in_body else None,
-                "page_row_idx": page_row_idx,
-                "innermost": row.table is table,
-                "row_text": page.text(row) if row_text else None,
-                "cells": [_cell(page, i, c, cell_html) for i, c in enumerate(cells)],
-            }
+        for page_row_idx, row in enumerate(page.within(table, "tr"), first):
+            yield (
+                table_idx,
+                body_rows if row.in_body else None,
+                page_row_idx,
+                row.table is table,
+                page.text(row) if row_text else None,
+                [_cell(page, cell, cell_html) for cell in page.within(row, "cell")],
+            )
             body_rows += row.in_body
 
 
-def _cell(page: Page, i: int, cell: Element, cell_html: int) -> dict:
-    record = {"cell_idx": i, "text": page.text(cell), "anchor_text": None, "span_text": None}
-    record["html"] = cell.inner_html(cell_html) if cell_html else None
+def _cell(page: Page, cell: Element, cell_html: int) -> tuple:
+    """Cell text, text of its first link, text of the first span in that link, markup."""
     anchors = page.within(cell, "a") if page.found["a"] else ()
-    if anchors:
-        record["anchor_text"] = page.text(anchors[0])
-        spans = page.within(anchors[0], "span")
-        if spans:
-            record["span_text"] = page.text(spans[0])
-    return record
+    spans = page.within(anchors[0], "span") if anchors else ()
+    return (
+        page.text(cell),
+        page.text(anchors[0]) if anchors else None,
+        page.text(spans[0]) if spans else None,
+        cell.inner_html(cell_html) if cell_html else None,
+    )

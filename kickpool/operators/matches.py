@@ -14,11 +14,12 @@ DEFAULT_WIND_SPEED = 3.0
 UNUSED_STATS = ("points", "wins", "draws", "losses", "goals_for", "goals_against")
 
 
-def _team(short_name: str) -> Column:
+def _team(side: str) -> Column:
+    short_name = F.col(f"{side}ShortName")
     return F.struct(
-        slug(short_name).alias("id"),
-        F.col(short_name).alias("name"),
-        F.col(short_name).alias("short_name"),
+        F.col(f"_{side}_id").alias("id"),
+        short_name.alias("name"),
+        short_name.alias("short_name"),
         F.lit(DEFAULT_LEAGUE).alias("league"),
     )
 
@@ -28,7 +29,7 @@ def _stats(side: str) -> Column:
     rate = number_or(f"{side}WinRate")
     zero = F.lit(0.0)
     return F.struct(
-        slug(f"{side}ShortName").alias("team_id"),
+        F.col(f"_{side}_id").alias("team_id"),
         number_or(f"{side}Rank").alias("rank"),
         *(zero.alias(name) for name in UNUSED_STATS),
         number_or(f"{side}GoalDiff").alias("goal_difference"),
@@ -48,21 +49,27 @@ def vote_struct(home: str, draw: str, away: str) -> Column:
 
 
 def normalize_matches(raw: DataFrame) -> DataFrame:
-    """Raw text rows to nested matches."""
-    number = number_or("matchNo")
+    """Raw text rows to nested matches. What is used more than once is computed first."""
+    raw = raw.withColumns(
+        {
+            "_number": number_or("matchNo"),
+            "_home_id": slug("homeShortName"),
+            "_away_id": slug("awayShortName"),
+        }
+    )
     weather = F.struct(
         null_to("weather", fv.WEATHER_UNKNOWN).alias("condition"),
         F.lit(DEFAULT_TEMPERATURE).alias("temperature"),
         F.lit(DEFAULT_WIND_SPEED).alias("wind_speed"),
     )
     return raw.select(
-        F.concat_ws("-", "totoRound", number_text(number)).alias("id"),
+        F.concat_ws("-", "totoRound", number_text("_number")).alias("id"),
         F.col("totoRound").alias("round"),
-        number.alias("match_no"),
+        F.col("_number").alias("match_no"),
         F.col("kickoffAt").alias("kickoff"),
         "venue",
-        _team("homeShortName").alias("home_team"),
-        _team("awayShortName").alias("away_team"),
+        _team("home").alias("home_team"),
+        _team("away").alias("away_team"),
         _stats("home").alias("home_stats"),
         _stats("away").alias("away_stats"),
         weather.alias("weather"),

@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings the operators count on: AQE re-plans joins from real sizes, splits skewed join
-# partitions (also where that costs one more exchange) and evens out written files.
+# partitions (also where that costs one more exchange) and evens out written files. Rows
+# carry costly text work, so small shuffles still spread over all cores.
 ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
