@@ -35,6 +35,8 @@ CELLS = ("td", "th")
 HOSTS = dict.fromkeys((*SECTIONS, "caption", "colgroup"), ("table",))
 HOSTS |= {"tr": ("table", *SECTIONS), "td": ("table", *SECTIONS, "tr")}
 HOSTS["th"] = HOSTS["td"]
+USUAL_HOST = dict.fromkeys((*SECTIONS, "caption", "colgroup"), "table")
+USUAL_HOST |= {"tr": "tbody", "td": "tr", "th": "tr"}
 BETWEEN_CELLS = frozenset(("table", "tr", *SECTIONS))
 SCOPE_END = ("table", "caption", *CELLS)
 STAY_IN_TABLE = frozenset((*HOSTS, "script", "style", "template", "col", "form"))
@@ -118,32 +120,36 @@ class Page:
 
     def _read(self, html: str) -> None:
         at = 0
-        while (hit := MARKUP.search(html, at)) is not None:
-            if hit.start() > at:
-                self._add_text(unescape(html[at : hit.start()]))
+        open_elements, search = self.open, MARKUP.search
+        while (hit := search(html, at)) is not None:
+            start = hit.start()
+            if start > at:
+                self._add_text(html[at:start])
             at = hit.end()
-            name = hit[2]
+            closing, name, attrs = hit.groups()
             if name is None:
                 continue
             tag = name.lower()
-            if hit[1]:
-                self._end_tag(tag)
-                continue
-            opened = self._start_tag(tag, hit[3])
-            if opened and tag in NO_TAGS_INSIDE:
-                closing = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
-                stop = closing.start() if closing else len(html)
+            if closing:
+                if open_elements[-1].tag == tag:
+                    open_elements.pop()
+                else:
+                    self._end_tag(tag)
+            elif self._start_tag(tag, attrs) and tag in NO_TAGS_INSIDE:
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                stop = end.start() if end else len(html)
                 inside = html[at:stop]
-                self.open[-1].children.append(inside if tag in RAW_TEXT else unescape(inside))
+                open_elements[-1].children.append(inside if tag in RAW_TEXT else unescape(inside))
                 at = stop
         if at < len(html):
-            self._add_text(unescape(html[at:]))
+            self._add_text(html[at:])
 
     def _start_tag(self, tag: str, attrs: str) -> bool:
         if tag in HOSTS:
-            if not self._nearest(("table",), ()):
-                return False
-            self._make_room(tag)
+            if self.open[-1].tag != USUAL_HOST[tag]:
+                if not self._nearest(("table",), ()):
+                    return False
+                self._make_room(tag)
         elif tag == "table" and self.open[-1].tag in BETWEEN_CELLS:
             self._end(("table",), ())
         elif tag == "a":
@@ -160,10 +166,13 @@ class Page:
             self._end((tag,), SCOPE_END)
 
     def _add_text(self, data: str) -> None:
-        if self.open[-1].tag in BETWEEN_CELLS and SPACES.sub("", data):
+        if "&" in data:
+            data = unescape(data)
+        here = self.open[-1]
+        if here.tag in BETWEEN_CELLS and SPACES.sub("", data):
             self._put_before_table(data)
         else:
-            self.open[-1].children.append(data)
+            here.children.append(data)
 
     def _nearest(self, tags: tuple, stop: tuple) -> int:
         """Stack index of the innermost open element with one of the tags, or 0."""
