@@ -91,9 +91,7 @@ SELECT season, team_key, CAST(floor(pts * 38 / n) AS BIGINT) AS points,
 FROM team_sums"""
 
 PARTS["standings"] = """
-SELECT t.*, 'V.FC ' || s.s_name AS team_name,
-       CAST(ceil(rank() OVER (PARTITION BY season ORDER BY points DESC, goal_difference DESC)
-            * 20 / count(*) OVER (PARTITION BY season)) AS BIGINT) AS rank
+SELECT t.*, 'V.FC ' || s.s_name AS team_name, 20 - CAST(floor(points * 20 / 115) AS BIGINT) AS rank
 FROM scaled t JOIN supplier s ON s.s_suppkey = t.team_key"""
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kickpool.functions.numbers import half_up
 from kickpool.functions.text import round_label
-from kickpool.operators.ranking import rank_by_counts
 
 SEASON_GAMES = 38
 LEAGUE_PLACES = 20
@@ -126,21 +125,14 @@ def team_seasons(games_df: DataFrame) -> DataFrame:
 
 
 def standings(spark: SparkSession, sf: str, games_df: DataFrame) -> DataFrame:
-    """Season standings with a rank from 1 to 20.
-
-    Points and goal difference are small integers after scaling, so places come from counts
-    per value: no task ever orders a whole season.
-    """
-    placed = rank_by_counts(
-        team_seasons(games_df), ["season"], ["points", "goal_difference"], size="teams"
-    )
+    """Season standings. The rank, 1 to 20, follows from the scaled points alone."""
     teams = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("team_key"), "s_name")
-    rank = F.ceil(F.col("place") * LEAGUE_PLACES / F.col("teams")).cast("bigint")
-    return placed.join(teams, "team_key").select(
+    rank = LEAGUE_PLACES - F.floor(F.col("points") * LEAGUE_PLACES / (3 * SEASON_GAMES + 1))
+    return team_seasons(games_df).join(teams, "team_key").select(
         "season",
         "team_key",
         F.concat(F.lit("V.FC "), "s_name").alias("team_name"),
-        rank.alias("rank"),
+        rank.cast("bigint").alias("rank"),
         "points",
         "goal_difference",
         "form_points",
