@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def read_snapshot_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per ``<source_key>.html`` file: source_key, snapshot_id, landed_at, html."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     name = F.col("_metadata.file_name")
     return files.select(
         F.regexp_replace(name, r"\.html?$", "").alias("source_key"),
