@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kickpool.functions import fixed_values as fv
+from kickpool.functions.labels import dash_if_null
 from kickpool.functions.text import name_key, round_digits
 
 STANDING_FIELDS = ("rank", "points", "goal_difference")
@@ -130,7 +131,7 @@ def round_label_or_fallback(
 def display_inputs(inputs: DataFrame, *keys: str) -> DataFrame:
     """Standing fields as text, a dash for what is missing."""
     shown = [
-        F.coalesce(F.col(f"{side}_{field}").cast("string"), F.lit("-")).alias(f"{side}_{field}")
+        dash_if_null(f"{side}_{field}").alias(f"{side}_{field}")
         for side in ("home", "away")
         for field in STANDING_FIELDS
     ]

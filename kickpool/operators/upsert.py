@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kickpool.functions import fixed_values as fv
 from kickpool.session import fresh_path
@@ -61,43 +62,59 @@ def merge_rows(
     return joined.select(*(F.col(c) if c in key else merged(c).alias(c) for c in target.columns))
 
 
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None while nothing has been stored there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def upsert_table(
     path: str,
     payload: DataFrame,
     key: Sequence[str],
-    partition: str,
+    partition: str | None = None,
     defaults: Mapping[str, object] | None = None,
 ) -> None:
-    """Upsert into a parquet table partitioned by ``partition``, which is part of the key.
+    """Upsert into a parquet table, created on first use.
 
-    Only partitions that occur in the payload are read and rewritten. The merged rows are
-    written to the shared folder first, so the table is never overwritten while it is read,
-    and running the same upsert again after a failure gives the same table.
+    With a ``partition`` column, which is part of the key, only the partitions that occur in
+    the payload are read and rewritten. Payload and merged rows are written to the shared
+    folder first: the payload is computed once, and the table is never overwritten while it
+    is read. Running the same upsert again after a failure gives the same table.
     """
-    if partition not in key:
+    if partition is not None and partition not in key:
         raise ValueError("the partition column must be part of the upsert key")
-    require_unique(payload, key)
     spark = payload.sparkSession
-    target = spark.read.parquet(path)
-    # Partition values come back typed by their look; the payload's types are the contract.
-    target = target.select(
-        *(
-            F.col(c).cast(payload.schema[c].dataType) if c in key else F.col(c)
-            for c in target.columns
+    payload = written(payload, fresh_path(spark, "payload"))
+    require_unique(payload, key)
+    target = stored_table(spark, path)
+    if target is None:
+        merged = with_column_defaults(payload, defaults or {})
+    else:
+        # Partition values come back typed by their look; the payload's types are the contract.
+        kinds = {c: payload.schema[c].dataType for c in key}
+        target = target.select(
+            *(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in target.columns)
         )
-    )
-    touched = payload.select(partition).distinct()
-    affected = target.join(touched, partition, "left_semi")
-    merged = merge_rows(affected, payload, key, defaults)
-    staged = fresh_path(spark, "upsert")
+        if partition is not None:
+            # At most as many values as the table has partitions, which the driver lists anyway.
+            touched = [row[0] for row in payload.select(partition).distinct().collect()]
+            target = target.where(F.col(partition).isin(touched))
+        merged = merge_rows(target, payload, key, defaults)
+        merged = written(merged, fresh_path(spark, "merged"))
+    if partition is None:
+        merged.write.mode("overwrite").parquet(path)
+        return
     # Rebalancing splits a partition that is much larger than the others over many tasks.
-    merged.hint("rebalance", partition).write.parquet(staged)
-    (
-        spark.read.schema(merged.schema)
-        .parquet(staged)
-        .hint("rebalance", partition)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    rows = merged.hint("rebalance", partition).write.mode("overwrite")
+    rows.option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def written(rows: DataFrame, path: str) -> DataFrame:
+    """The same rows, read back from a table written at the path."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -8,6 +8,7 @@ from kickpool.functions import fixed_values as fv, numbers, text
 from kickpool.operators import matches, scoring
 from kickpool.plans import season_views as views
 from kickpool.plans.oracle_parts import WS, number, stripped, with_parts
+from kickpool.plans.jobs import dashboard_from_csv, import_matches_csv
 from kickpool.plans.registry import query
 from kickpool.session import fresh_path
 from kickpool.sources.tables import read_row_snapshot, write_row_snapshot
@@ -32,7 +33,7 @@ def noisy_number_sql(key: str) -> str:
 def _team_sql(side: str) -> str:
     number9 = f"lpad(CAST({side}_key AS VARCHAR), 9, '0')"
     return (
-        f"CASE WHEN {side}_key % 11 = 10 THEN '旧 Supplier#' ELSE 'Ｖ．ＦＣ　Supplier#' END "
+        f"CASE WHEN {side}_key % 11 = 7 THEN '旧 Supplier#' ELSE 'Ｖ．ＦＣ　Supplier#' END "
         f"|| {number9}"
     )
 
@@ -154,6 +155,35 @@ def normalize_match(spark: SparkSession, sf: str) -> DataFrame:
     return flat_match(matches.normalize_matches(raw_match_texts(spark, sf)))
 
 
+# Model A on the same rows: the parsed numbers take the place of the looked-up standings.
+_CSV_INPUTS = f"""
+SELECT match_no, round, home_name AS home_team, "awayShortName" AS away_team, home_rank,
+  away_rank, coalesce({number('"homeRecentPoints"')}, 0) AS home_form_points,
+  away_form AS away_form_points, home_home_rate AS home_home_win_rate,
+  away_away_rate AS away_away_win_rate, home_goal_difference,
+  coalesce({number('"awayGoalDiff"')}, 0) AS away_goal_difference, n.weather, vote_home,
+  vote_draw, vote_away
+FROM ({_NORMAL_SQL}) n JOIN ({_RAW_SELECT}) r ON r."totoRound" || '-' || r."matchNo" = id"""
+
+
+@query(
+    "csv_dashboard",
+    with_parts(
+        "model_a",
+        f"""SELECT round, match_no AS id, home_team AS home, away_team AS away, CASE pick
+  {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fv.PICK_LABEL.items())} END AS prediction,
+  pick_prob AS probability, CAST(floor(pick_edge + 0.5) AS BIGINT) AS edge, confidence
+FROM model_a""",
+        a_inputs=_CSV_INPUTS,
+    ),
+)
+def csv_dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole way from a quoted CSV to dashboard rows."""
+    path = fresh_path(spark, "csv-dashboard")
+    raw_match_texts(spark, sf).write.option("header", True).csv(path)
+    return dashboard_from_csv(spark, path)
+
+
 @query("snapshot_roundtrip", with_parts("games", _NORMAL_SQL))
 def snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """All raw rows written as a JSON snapshot, read back and normalised on load."""
@@ -284,6 +314,27 @@ def import_projection(spark: SparkSession, sf: str) -> DataFrame:
     return matches.import_projection(import_texts(spark, sf))
 
 
+@query(
+    "csv_import",
+    with_parts(
+        "games",
+        "SELECT " + ", ".join(_typed_sql(c) for c in fv.IMPORT_COLUMNS)
+        + f", round_no || ' toto' AS title, 'imported' AS status FROM ({_IMPORT_SELECT})",
+    ),
+)
+def csv_import(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole way from a plain CSV into stored rounds and matches, imported twice."""
+    path, store = fresh_path(spark, "csv-import"), fresh_path(spark, "store")
+    writer = import_texts(spark, sf).write.option("header", True).option("emptyValue", "")
+    writer.option("quote", "\u0000").csv(path)
+    for _ in range(2):
+        import_matches_csv(spark, path, f"{store}/rounds", f"{store}/matches")
+    stored = spark.read.parquet(f"{store}/matches")
+    return stored.join(spark.read.parquet(f"{store}/rounds"), "round_no").select(
+        *fv.IMPORT_COLUMNS, "title", "status"
+    )
+
+
 @query(
     "imported_rounds",
     with_parts(

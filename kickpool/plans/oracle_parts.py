@@ -41,13 +41,17 @@ def number(x: str) -> str:
     )
 
 
-def with_parts(parts: str, select: str) -> str:
-    names = [
-        "games", "side_rows", "team_sums", "scaled", "standings", "inputs", "model_b",
-        "a_inputs", "a_factors", "a_scores", "a_shares", "model_a", "judged", "cells",
-    ]
-    last = names.index(parts)
-    return "WITH " + ",\n".join(f"{n} AS ({PARTS[n]})" for n in names[: last + 1]) + "\n" + select
+CHAIN = (
+    "games", "side_rows", "team_sums", "scaled", "standings", "inputs", "model_b",
+    "a_inputs", "a_factors", "a_scores", "a_shares", "model_a", "judged", "cells",
+)
+
+
+def with_parts(last: str, select: str, **replaced: str) -> str:
+    """The select behind all parts up to the last one it needs; parts can be replaced."""
+    parts = PARTS | replaced
+    names = CHAIN[: CHAIN.index(last) + 1]
+    return "WITH " + ",\n".join(f"{n} AS ({parts[n]})" for n in names) + "\n" + select
 
 
 PARTS: dict[str, str] = {}
@@ -98,7 +102,7 @@ FROM scaled t JOIN supplier s ON s.s_suppkey = t.team_key"""
 def _fixture_key(side: str) -> str:
     number = f"lpad(CAST({side}_key AS VARCHAR), 9, '0')"
     return (
-        f"CASE WHEN {side}_key % 11 = 10 THEN '旧Supplier#' ELSE 'V.FCSupplier#' END || {number}"
+        f"CASE WHEN {side}_key % 11 = 7 THEN '旧Supplier#' ELSE 'V.FCSupplier#' END || {number}"
     )
 
 
@@ -114,8 +118,8 @@ SELECT g.*, {_fixture_key("home")} AS home_team, {_fixture_key("away")} AS away_
        h.team_name AS home_standing_name, a.team_name AS away_standing_name,
        {_side("home")}, {_side("away")}
 FROM games g
-LEFT JOIN standings h ON h.season = g.season AND h.team_key = g.home_key AND g.home_key % 11 <> 10
-LEFT JOIN standings a ON a.season = g.season AND a.team_key = g.away_key AND g.away_key % 11 <> 10
+LEFT JOIN standings h ON h.season = g.season AND h.team_key = g.home_key AND g.home_key % 11 <> 7
+LEFT JOIN standings a ON a.season = g.season AND a.team_key = g.away_key AND g.away_key % 11 <> 7
 """
 
 _B_RANK = bounded(f"(away_rank - home_rank) * {dbl(2.5)}", 20)
@@ -190,10 +194,10 @@ SELECT substr(round, 2, 6) || '-' || CAST(match_no // 1000 AS VARCHAR) AS snapsh
        substr(round, 2, 6) AS round_number, round, season, match_no,
        row_number() OVER (PARTITION BY round, match_no // 1000 ORDER BY match_no) - 1 AS row_idx,
        list_value(kickoff, 'Stadium & Park ' || home_key, CAST(match_no AS VARCHAR),
-         CASE WHEN home_key % 11 = 10 THEN '旧 Supplier#' ELSE 'Ｖ．ＦＣ Supplier#' END
+         CASE WHEN home_key % 11 = 7 THEN '旧 Supplier#' ELSE 'Ｖ．ＦＣ Supplier#' END
            || lpad(CAST(home_key AS VARCHAR), 9, '0'),
          CASE WHEN match_no % 13 = 0 THEN '' ELSE home_goals || '-' || away_goals END,
-         CASE WHEN away_key % 11 = 10 THEN '旧 Supplier#' ELSE 'Ｖ．ＦＣ Supplier#' END
+         CASE WHEN away_key % 11 = 7 THEN '旧 Supplier#' ELSE 'Ｖ．ＦＣ Supplier#' END
            || lpad(CAST(away_key AS VARCHAR), 9, '0'),
          {_POOL}) AS t
 FROM games"""

@@ -8,7 +8,7 @@ from kickpool.functions import fixed_values as fv, labels
 from kickpool.functions.text import name_key, remove_ws
 from kickpool.operators import lookup, ranking, scoring
 from kickpool.plans import season_views as views
-from kickpool.plans.home import best_picks, predict_pages
+from kickpool.plans.jobs import best_picks, predict_pages
 from kickpool.plans.oracle_parts import OUTCOME_LABEL_SQL, with_parts, rounded
 from kickpool.plans.registry import query
 from kickpool.plans.rendered_pages import detail_pages, standings_pages
@@ -382,7 +382,7 @@ def landed_page_best_picks(spark: SparkSession, sf: str) -> DataFrame:
     "same_team",
     with_parts(
         "games",
-        "SELECT match_no, home_key % 11 <> 10 AS same_as_listed FROM games",
+        "SELECT match_no, home_key % 11 <> 7 AS same_as_listed FROM games",
     ),
 )
 def same_team(spark: SparkSession, sf: str) -> DataFrame:

@@ -64,7 +64,7 @@ def games(spark: SparkSession, sf: str) -> DataFrame:
 def fixture_name(key: Column | str) -> Column:
     """Name as the fixture list writes it: full-width, and misspelt for every 11th team."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.when(key % 11 == 10, F.format_string("旧 Supplier#%09d", key)).otherwise(
+    return F.when(key % 11 == 7, F.format_string("旧 Supplier#%09d", key)).otherwise(
         F.format_string("Ｖ．ＦＣ　Supplier#%09d", key)
     )
 

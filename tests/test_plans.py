@@ -9,7 +9,9 @@ from __spark_entry__ import queries
 from kickpool.operators import lookup, ranking
 
 SF = "/root/testdata/sf0.001"
-EAGER = {"csv_quoted", "csv_plain", "snapshot_roundtrip", "upsert_table"}
+EAGER = {
+    "csv_dashboard", "csv_import", "csv_plain", "csv_quoted", "snapshot_roundtrip", "upsert_table",
+}
 READS_MARKUP = {
     "followed_links", "html_cells", "html_fixtures", "html_results", "html_row_dump",
     "html_standings", "html_table_preview", "keyword_first_hit", "landed_page_best_picks",

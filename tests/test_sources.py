@@ -94,3 +94,21 @@ def test_row_snapshot_keeps_nulls(spark, tmp_path):
     assert set(map(tuple, read_row_snapshot(spark, path, df.schema).collect())) == {
         ("a", None), ("", "b"),
     }
+
+
+def test_import_refuses_bad_rows(spark, tmp_path):
+    from kickpool.functions.fixed_values import IMPORT_COLUMNS
+    from kickpool.plans.jobs import import_matches_csv
+
+    header = ",".join(IMPORT_COLUMNS)
+    line = "第2回,{},,J1,,h,a" + "," * 20
+    path = written(tmp_path, "\n".join([header, line.format(1), line.format("x")]))
+    with pytest.raises(ValueError, match="not_null:match_no"):
+        import_matches_csv(spark, path, str(tmp_path / "r"), str(tmp_path / "m"))
+    good = written(tmp_path, "\n".join([header, line.format(1), line.format(2)]), "good.csv")
+    import_matches_csv(spark, good, str(tmp_path / "r"), str(tmp_path / "m"))
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    assert rows(stored.select("round_no", "match_no", "weather", "home_rest_days")) == [
+        ("第2回", 1.0, "未取得", None), ("第2回", 2.0, "未取得", None),
+    ]
+    assert rows(spark.read.parquet(str(tmp_path / "r")).select("title")) == [("第2回 toto",)]
