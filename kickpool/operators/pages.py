@@ -55,7 +55,7 @@ def page_health(pages: DataFrame, message: str | None = None, clock: bool = True
     return out.drop("html")
 
 
-# Plain-text variants: what replaces script and style elements, whether markup names are
+# Fixed values, plain-text variants: what replaces script and style elements, whether markup names are
 # matched in any case, whether &amp; is decoded.
 PLAIN_TEXT = {
     "main": {"script": "", "style": "", "any_case": True, "amp": True},
@@ -85,6 +85,7 @@ def vote_page_text(html: Column | str) -> Column:
 
 # ------------------------------------------------------------------------ round schedule
 
+# How a schedule writes a day and a round.
 DAY = r"[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
 ROUND = rf"({'|'.join(fv.STATUS_CODE)})? *第([0-9]+)回 *（({DAY})-({DAY})）"
 

@@ -84,6 +84,7 @@ def reason(
 
 # ---------------------------------------------------------------- model B (standings only)
 
+# --- fixed values: weights, caps and bonus of model B --------------------------------
 MODEL_B = (
     Factor("rank", "away_rank", "home_rank", 2.5, 20.0),
     Factor("points", "home_points", "away_points", 0.8, 18.0),
@@ -150,6 +151,7 @@ def model_b_factors() -> Column:
 
 # ------------------------------------------------- model A (form, venue, weather, votes)
 
+# --- fixed values: weights and caps of model A ---------------------------------------
 MODEL_A = (
     Factor("rank", "away_rank", "home_rank", 2.0, 16.0),
     Factor("form", "home_form_points", "away_form_points", 1.5, 15.0),
@@ -267,6 +269,7 @@ def dashboard_rows(predicted: DataFrame, *keep: str) -> DataFrame:
 
 # --------------------------------------------------------------- design-document scoring
 
+# --- fixed values: points per result, designed weights -------------------------------
 FORM_POINTS = {"W": 3, "D": 1, "L": 0}
 
 DESIGN_SCORE = (

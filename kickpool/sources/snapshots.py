@@ -25,5 +25,5 @@ def read_page_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_snapshots(pages: DataFrame, path: str) -> None:
-    """Append landed pages; which one counts per key is decided on reading (last one wins)."""
-    pages.write.mode("append").parquet(path)
+    """Append landed pages, leaving out failed ones; per key the last one counts on reading."""
+    pages.where(F.col("html").isNotNull()).write.mode("append").parquet(path)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kickpool.functions import fixed_values as fv
 from kickpool.operators import backtest, constraints, html_tables, lookup, pages, ranking, upsert
 from kickpool.plans.rendered_pages import MENU
 
@@ -72,6 +73,16 @@ def test_dictionary(spark):
     assert rows(first, "term", "found", "context") == [("浦和", True, " 浦和"), ("神戸", False, None)]
 
 
+def test_standard_dictionaries(spark):
+    text = spark.createDataFrame([(1, "1 鹿島アントラーズ 40 -3 2 ＦＣ東京 38")], "id int, text string")
+    found = pages.dictionary_extract(text, fv.TEAM_NAMES, "id")
+    assert rows(found, "term", "numbers") == [
+        ("ＦＣ東京", [38]), ("鹿島アントラーズ", [40, -3, 2, 38]),
+    ]
+    hits = pages.keyword_first_hits(text, fv.DETAIL_KEYWORDS, "id").where("found")
+    assert rows(hits, "term") == [("ＦＣ",), ("鹿",)]
+
+
 FIXTURES = (
     "<tr><th>d<td>v<td>1<td>Ｆ 東京<td>1-0<td>鹿 島<td>1"
     "<tr><td>d<td>v<td>2<td>h<td><td>a<td>9"  # unplayed: the pool result moves to away
