@@ -1,15 +1,15 @@
-"""The end-to-end jobs: landed pages to best picks, CSV to dashboard, CSV to stored tables."""
+"""The end-to-end jobs: pages to best picks or reports, CSV to dashboard, CSV to tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.operators import constraints, matches, scoring
-from kickpool.operators.html_tables import extract_fixtures, extract_standings
-from kickpool.operators.lookup import attach_standings
-from kickpool.operators.ranking import best_by_probability
+from kickpool.operators import constraints, matches, pages, scoring
+from kickpool.operators.html_tables import extract_fixtures, extract_standings, sort_standings
+from kickpool.operators.lookup import attach_standings, with_source_url
+from kickpool.operators.ranking import best_by_probability, row_counts
 from kickpool.operators.upsert import MATCH_DEFAULTS, ROUND_DEFAULTS, upsert_table
 from kickpool.sources.text_tables import read_plain_csv, read_quoted_csv
 
@@ -51,6 +51,28 @@ def dashboard_from_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return scoring.dashboard_rows(predicted, "round")
 
 
+def inspect_pages(
+    landed: DataFrame,
+    schedule_key: str = "yahooSchedule",
+    standings_key: str = "jleagueStandings",
+) -> dict[str, DataFrame]:
+    """Reports on landed pages (source_key, html): health, rounds, standings and row counts."""
+    schedules = landed.where(F.col("source_key") == schedule_key)
+    rounds = pages.schedule_rounds(schedules, "source_key")
+    standings = extract_standings(landed.where(F.col("source_key") == standings_key), "source_key")
+    counts = [
+        row_counts(relation, "source_key").select("source_key", F.lit(name).alias("rows_of"), "row_count")
+        for name, relation in (("rounds", rounds), ("standings", standings))
+    ]
+    return {
+        "health": pages.page_health(with_source_url(landed)),
+        "rounds": pages.first_rounds(rounds),
+        "latest_round": pages.latest_rounds(schedules, "source_key"),
+        "standings": sort_standings(standings, "source_key"),
+        "counts": counts[0].unionByName(counts[1]),
+    }
+
+
 def import_violations(rows: DataFrame) -> DataFrame:
     """Rows of an import that the stored table would refuse."""
     return constraints.violations(

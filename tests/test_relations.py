@@ -77,10 +77,10 @@ def test_standard_dictionaries(spark):
     text = spark.createDataFrame([(1, "1 鹿島アントラーズ 40 -3 2 ＦＣ東京 38")], "id int, text string")
     found = pages.dictionary_extract(text, fv.TEAM_NAMES, "id")
     assert rows(found, "term", "numbers") == [
-        ("ＦＣ東京", [38]), ("鹿島アントラーズ", [40, -3, 2, 38]),
+        ("鹿島アントラーズ", [40, -3, 2, 38]), ("ＦＣ東京", [38]),
     ]
     hits = pages.keyword_first_hits(text, fv.DETAIL_KEYWORDS, "id").where("found")
-    assert rows(hits, "term") == [("ＦＣ",), ("鹿",)]
+    assert rows(hits, "term") == [("鹿",), ("ＦＣ",)]
 
 
 FIXTURES = (
@@ -234,3 +234,25 @@ def test_backtest(spark):
     total = backtest.overall_backtest(per_round).first()
     assert (total.hit_rate, total.best_hits, total.positive_hit_rate) == (2 / 3, 1, 1.0)
     assert total.mean_hits_per_13 == 26 / 3
+
+
+def test_inspection(spark):
+    from kickpool.plans.jobs import inspect_pages
+
+    filler = "<td>" * 7
+    landed = spark.createDataFrame(
+        [
+            ("yahooSchedule", "<title>s</title>終了 第1回 （2026/1/1-2026/1/2）"),
+            ("jleagueStandings", f"<table></table><table><tr><td><td>1<td>鹿島<td>9{filler}<td>3</table>"),
+            ("rakutenSchedule", None),
+        ],
+        "source_key string, html string",
+    )
+    report = inspect_pages(landed)
+    assert rows(report["health"], "source_key", "ok") == [
+        ("jleagueStandings", True), ("rakutenSchedule", False), ("yahooSchedule", True),
+    ]
+    assert rows(report["rounds"], "round", "status") == [("第1回", "closed")]
+    assert rows(report["latest_round"], "round") == [("第1回",)]
+    assert rows(report["standings"], "team_name", "rank") == [("鹿島", 1)]
+    assert rows(report["counts"]) == [("jleagueStandings", "standings", 1), ("yahooSchedule", "rounds", 1)]
