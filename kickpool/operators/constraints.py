@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kickpool.sources.schemas import TABLE_RULES
+
 
 def _report(rows: DataFrame, table: str, rule: Column, key: Sequence[str], n: Column) -> DataFrame:
     key_parts = (F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key)
@@ -61,6 +63,22 @@ def violations(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def table_violations(
+    df: DataFrame, table: str, parents: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """All violations of a stored table's rules, as far as its columns and parents are given."""
+    rules = TABLE_RULES[table]
+    allowed = {c: values for c, values in rules.allowed.items() if c in df.columns}
+    parts = [
+        row_violations(df, table, rules.key, rules.not_null, allowed),
+        unique_violations(df, table, rules.key),
+    ]
+    for parent, on in rules.references.items():
+        if parent in (parents or {}):
+            parts.append(reference_violations(df, parents[parent], table, on, rules.key))
+    return violations(*parts)
+
+
 def cascade_delete(child: DataFrame, kept_parents: DataFrame, on: Sequence[str]) -> DataFrame:
     """Child rows that survive the deletion of every parent that is not kept.
 

@@ -11,11 +11,9 @@ from kickpool.operators.html_tables import extract_fixtures, extract_standings,
 from kickpool.operators.lookup import attach_standings, with_source_url
 from kickpool.operators.ranking import best_by_probability, row_counts
 from kickpool.operators.upsert import MATCH_DEFAULTS, ROUND_DEFAULTS, upsert_table
+from kickpool.sources.schemas import TABLE_RULES
 from kickpool.sources.text_tables import read_plain_csv, read_quoted_csv
 
-MATCH_KEY = ("round_no", "match_no")
-REQUIRED = ("round_no", "match_no", "home_team", "away_team")
-
 
 def predict_pages(
     detail_pages: DataFrame,
@@ -73,21 +71,14 @@ def inspect_pages(
     }
 
 
-def import_violations(rows: DataFrame) -> DataFrame:
-    """Rows of an import that the stored table would refuse."""
-    return constraints.violations(
-        constraints.row_violations(rows, "matches", MATCH_KEY, REQUIRED),
-        constraints.unique_violations(rows, "matches", MATCH_KEY),
-    )
-
-
 def import_matches_csv(
     spark: SparkSession, path: str | list[str], rounds_table: str, matches_table: str
 ) -> None:
     """Plain CSV into stored rounds, then matches. A file may hold any number of rounds."""
     rows = matches.import_projection(read_plain_csv(spark, path))
-    refused = import_violations(rows).take(5)
+    refused = constraints.table_violations(rows, "matches").take(5)
     if refused:
         raise ValueError(f"import refused: {[r.asDict() for r in refused]}")
     upsert_table(rounds_table, matches.imported_rounds(rows), ["round_no"], None, ROUND_DEFAULTS)
-    upsert_table(matches_table, rows, MATCH_KEY, "round_no", MATCH_DEFAULTS)
+    key = TABLE_RULES["matches"].key
+    upsert_table(matches_table, rows, key, "round_no", MATCH_DEFAULTS)

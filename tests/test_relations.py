@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kickpool.functions import fixed_values as fv
 from kickpool.operators import backtest, constraints, html_tables, lookup, pages, ranking, upsert
 from kickpool.plans.rendered_pages import MENU
+from kickpool.sources import schemas
 
 
 def rows(df, *columns):
@@ -256,3 +257,18 @@ def test_inspection(spark):
     assert rows(report["latest_round"], "round") == [("第1回",)]
     assert rows(report["standings"], "team_name", "rank") == [("鹿島", 1)]
     assert rows(report["counts"]) == [("jleagueStandings", "standings", 1), ("yahooSchedule", "rounds", 1)]
+
+
+def test_table_rules(spark):
+    matches = spark.createDataFrame([("r", 1), ("r", 2)], "round_no string, match_no int")
+    good = ("r", 1, "v", 50.0, 20.0, 30.0, "home", "A", 5.0, "[]")
+    bad = ("r", 3, "v", None, 20.0, 30.0, "none", "A", 5.0, "[]")
+    df = spark.createDataFrame([good, good, bad], schemas.PREDICTIONS)
+    found = constraints.table_violations(df, "predictions", {"matches": matches})
+    assert rows(found, "rule", "row_key", "row_count") == [
+        ("allowed:pick", "r|3|v", 1), ("not_null:home_prob", "r|3|v", 1),
+        ("reference:round_no,match_no", "r|3|v", 1),
+        ("unique:round_no,match_no,model_version", "r|1|v", 2),
+    ]
+    stored = spark.createDataFrame([], schemas.MATCHES)
+    assert set(fv.IMPORT_COLUMNS) <= set(stored.columns)
