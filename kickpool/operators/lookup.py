@@ -66,7 +66,13 @@ def attach_standings(
 
 def source_registry(spark: SparkSession) -> DataFrame:
     """The four registered sources: source_key, url."""
-    return spark.createDataFrame(list(fv.SOURCE_URLS.items()), "source_key string, url string")
+    entries = F.array(
+        *(
+            F.struct(F.lit(key).alias("source_key"), F.lit(url).alias("url"))
+            for key, url in fv.SOURCE_URLS.items()
+        )
+    )
+    return spark.range(1).select(F.inline(entries))
 
 
 def with_source_url(df: DataFrame) -> DataFrame:

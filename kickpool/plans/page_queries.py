@@ -22,7 +22,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return views.table(spark, sf, "documents")
+    return read_page_table(spark, f"{sf}/documents.parquet")
 
 
 def _utf16(x: str) -> str:
