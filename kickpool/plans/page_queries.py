@@ -106,16 +106,19 @@ def page_text_c(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Text of the parsed page, said in SQL for the markup these pages contain: the script text
-# holds an end tag that is no tag, comments vanish, and a few entities are decoded.
-_DOM = "regexp_replace(html, '<!--[\\s\\S]*?-->', '', 'g')"
+# holds an end tag that is no tag, comments vanish, and a few entities are decoded. An
+# ampersand needs no semicolon, and is set aside before tags go so that no new one arises.
+_DOM = "regexp_replace(html, '&amp;?', chr(1), 'g')"
+_DOM = f"regexp_replace({_DOM}, '<!--[\\s\\S]*?-->', '', 'g')"
 _DOM = f"replace({_DOM}, 'var t=\"</p>\"', 'var t=\"{{{{/p}}}}\"')"
 _DOM = f"regexp_replace({_DOM}, '<[^>]+>', '', 'g')"
 _DOM = f"replace(replace({_DOM}, '{{{{', '<'), '}}}}', '>')"
 for _name, _char in (
     ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"),
-    ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"),
+    ("&quot;", '"'), ("&#39;", "''"),
 ):
     _DOM = f"replace({_DOM}, '{_name}', '{_char}')"
+_DOM = f"replace({_DOM}, chr(1), '&')"
 DOM_TEXT = squeezed(_DOM)
 
 
