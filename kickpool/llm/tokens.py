@@ -16,11 +16,14 @@ import numpy as np
 
 # Two generations of at most so many words each: memory stays bounded, frequent words stay.
 CACHE_WORDS = 250_000
-# A fixed value: white space of the vocabulary's pattern language.
-BLANKS = re.compile("[^\t-\r \x85\xa0  -     　]+")
+# The code points that the vocabulary's pattern language takes as white space.
+BLANK_POINTS = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029)
+BLANK_POINTS = (*BLANK_POINTS, 0x202F, 0x205F, 0x3000)
+BLANKS = re.compile("[^" + "".join(map(chr, BLANK_POINTS)) + "]+")
 # str.split() also splits at these four, which the pattern does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-PLAIN = re.compile(r"([^\w\s']*)([a-zà-öø-ÿ]+)([^\w\s']*)", re.IGNORECASE)
+# Letters of one case mapping: Latin without diacritics and its first supplement.
+PLAIN = re.compile(r"([^\w\s']*)([a-z\xe0-\xf6\xf8-\xfe]+)([^\w\s']*)", re.IGNORECASE)
 WORD_END = "</w>"
 
 
@@ -70,7 +73,7 @@ class WordIds:
         """Ids of new words."""
         plain, cores = [], []
         for word in words:
-            parts = PLAIN.fullmatch(word) if max(word) < "Ā" and "<|" not in word else None
+            parts = PLAIN.fullmatch(word) if ord(max(word)) < 0x100 and "<|" not in word else None
             if parts is None:
                 self.words[word] = self.alone(word)
                 continue
