@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm import packing, simhash
-from kickpool.llm.common import table
+from kickpool.llm import language, packing, quality_model, simhash
+from kickpool.llm.common import crc_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(spark, docs.where(crc_of("doc_id") % 4 != 2))
+    held_out = F.coalesce(crc_of("doc_id") % 4 == 2, F.lit(False)).alias("held_out")
+    return language.identify(spark, docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -28,8 +35,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = quality_model.train(spark, docs, labels.where(crc_of("doc_id") % 5 != 0))
+    held_out = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out")
+    return quality_model.score(spark, docs, machine).select("doc_id", held_out, "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
     "op6_packing": op6_packing,
+    "op10_quality_model": op10_quality_model,
 }
 ORACLES: dict[str, str] = {}
