@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm import language, packing, quality_model, simhash
+from kickpool.llm import decontamination, language, packing, quality_model, quality_rules, simhash
 from kickpool.llm.common import crc_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +19,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(spark, docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.overlaps(spark, docs, items)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -44,7 +53,9 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op10_quality_model": op10_quality_model,
 }
