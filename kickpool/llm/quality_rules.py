@@ -39,7 +39,7 @@ BIN_LIMIT = 200
 STATISTICS = ("word_length", "symbols", "dup_lines", "repeats", "capitals", "marks")
 FLOOR = (0.08, 0.06, 0.2, 0.15, 0.08, 0.06)
 CHI2_MEDIAN = 5.348  # chi-squared with six degrees of freedom
-CUTOFF = 60.0
+CUTOFF = 120.0
 D = len(STATISTICS)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm import decontamination, language, packing, quality_model, quality_rules, simhash
+from kickpool.llm import decontamination, language, packing, quality_model, quality_rules, simhash, warc
 from kickpool.llm.common import crc_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = quality_model.train(spark, docs, labels.where(crc_of("doc_id") % 5 != 0))
@@ -57,6 +61,21 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
 }
-ORACLES: dict[str, str] = {}
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+    sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_warc": WARC_SQL,
+}
