@@ -126,7 +126,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         for batch in slices(batches):
             id_type = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc_id, encoder.encode([text])[0] + end)
+                packer.add(doc_id, encoder.encode(text) + end)
                 if packer.bytes > OUT_BYTES:
                     yield out()
         if id_type is not None:

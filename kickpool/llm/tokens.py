@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public word BPE, with a bounded cache of words per worker.
 
-The vocabulary splits texts at white space before anything else, so a text's ids are its words'
-ids in a row. Words repeat, so each Python worker keeps their ids. New plain words (letters of
-one alphabet block between punctuation) are encoded together in one call and cut at the tokens
-that end a word; every other word is encoded alone.
+The vocabulary divides texts at white space, and between letters, digits and marks, before
+anything else, so a text's ids are its pieces' ids in a row. Pieces repeat, so each Python worker
+keeps their ids. New pieces of a Latin text are encoded together in one call and cut at the tokens
+that end a piece; other texts are divided at white space only, new words encoded alone.
 """
 
 from __future__ import annotations
@@ -22,28 +22,19 @@ BLANK_POINTS = (*BLANK_POINTS, 0x202F, 0x205F, 0x3000)
 BLANKS = re.compile("[^" + "".join(map(chr, BLANK_POINTS)) + "]+")
 # str.split() also splits at these four, which the pattern does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-# Letters of one case mapping: Latin without diacritics and its first supplement.
-PLAIN = re.compile(r"([^\w\s']*)([a-z\xe0-\xf6\xf8-\xfe]+)([^\w\s']*)", re.IGNORECASE)
+# The vocabulary's own division of a text (a fixed value), for lower-case Latin text.
+LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 WORD_END = "</w>"
 
 
-class Recent(dict):
-    """A dictionary of bounded size that keeps what was used lately."""
-
-    def __init__(self, limit: int) -> None:
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is not None:
-            self[word] = found
-        return found
-
-    def turn(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordIds:
@@ -56,62 +47,48 @@ class WordIds:
         self.ends = np.array(
             [(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)]
         )
-        self.words, self.cores, self.marks = (Recent(CACHE_WORDS) for _ in range(3))
-
-    def alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def mark(self, text: str) -> bytes:
-        if not text:
-            return b""
-        found = self.marks[text]
-        if found is None:
-            found = self.marks[text] = self.alone(text)
-        return found
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: set[str]) -> None:
-        """Ids of new words."""
-        plain, cores = [], []
+    def learn(self, words: set[str], joint: bool) -> None:
+        """Ids of words that are not among the young ones; ``joint``: blanks can part them."""
+        new = []
         for word in words:
-            parts = PLAIN.fullmatch(word) if ord(max(word)) < 0x100 and "<|" not in word else None
-            if parts is None:
-                self.words[word] = self.alone(word)
-                continue
-            before, core, after = parts.groups()
-            core = core.lower()
-            plain.append((word, before, core, after))
-            if self.cores[core] is None:
-                cores.append(core)
-        cores = list(dict.fromkeys(cores))
-        if cores:
-            ids = np.array(self.tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(cores):
-                flat, begin = ids.tobytes(), 0
-                for core, end in zip(cores, (4 * cuts).tolist()):
-                    self.cores[core] = flat[begin:end]
-                    begin = end
+            known = self.old.get(word)
+            if known is None:
+                new.append(word)
             else:
-                for core in cores:
-                    self.cores[core] = self.alone(core)
-        for word, before, core, after in plain:
-            self.words[word] = self.mark(before) + self.cores[core] + self.mark(after)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; null is empty."""
-        split = [
-            BLANKS.findall(t) if SEPARATORS.search(t) else t.split() for t in (t or "" for t in texts)
-        ]
-        known, out = self.words, []
-        for words in split:
-            ids = [known[w] for w in words]
-            if None in ids:
-                self.learn({w for w, i in zip(words, ids) if i is None})
-                ids = [known[w] for w in words]
-            out.append(b"".join(ids))
-            for cache in (known, self.cores, self.marks):
-                cache.turn()
-        return out
+                self.young[word] = known
+        if joint and new:
+            ids = self.ids(" ".join(new))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(new):
+                flat, begins = ids.tobytes(), (4 * np.concatenate(([0], cuts))).tolist()
+                self.young.update(zip(new, [flat[i:j] for i, j in zip(begins[:-1], begins[1:])]))
+                return
+        self.young.update((word, self.ids(word).tobytes()) for word in new)
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids of a text; null is empty."""
+        text = text or ""
+        odd = SEPARATORS.search(text)
+        # One case mapping and no composition below this code point, so lower case can come first.
+        joint = not odd and "<|" not in text and latin(text)
+        if joint:
+            words = PIECES.findall(text.lower())
+        else:
+            words = BLANKS.findall(text) if odd else text.split()
+        ids = list(map(self.young.get, words))
+        if None in ids:
+            if len(self.young) > CACHE_WORDS:
+                self.old, self.young = self.young, {}
+                ids = [None] * len(words)
+            self.learn({w for w, i in zip(words, ids) if i is None}, joint)
+            ids = map(self.young.__getitem__, words)
+        return b"".join(ids)
 
 
 @functools.lru_cache(maxsize=1)
