@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm import decontamination, language, packing, quality_model, quality_rules, simhash, warc
+from kickpool.llm import decontamination, extraction, language, packing, quality_model, quality_rules, simhash, warc
 from kickpool.llm.common import crc_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = extraction.main_texts(spark, pages, extraction.train(pages))
+    return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op8_extraction": op8_extraction,
     "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
 }
