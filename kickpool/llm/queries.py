@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm import decontamination, extraction, language, packing, quality_model, quality_rules, simhash, warc
+from kickpool.llm import (
+    chat,
+    decontamination,
+    extraction,
+    language,
+    licenses,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    warc,
+)
 from kickpool.llm.common import crc_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +38,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.overlaps(spark, docs, items)
@@ -44,6 +59,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     texts = extraction.main_texts(spark, pages, extraction.train(pages))
@@ -65,8 +84,10 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op7_chat": op7_chat,
     "op8_extraction": op8_extraction,
     "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
@@ -84,5 +105,7 @@ FROM g
 """
 
 ORACLES: dict[str, str] = {
+    "op4_licenses": licenses.scan_sql(),
+    "op7_chat": chat.SQL,
     "op9_warc": WARC_SQL,
 }
