@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from kickpool.llm import (
     chat,
     decontamination,
@@ -91,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_extraction": op8_extraction,
     "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
+    "pipeline": corpus_pipeline.run,
 }
 WARC_SQL = """
 WITH p AS (

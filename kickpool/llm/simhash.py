@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kickpool.llm.common import map_slices, written
 
@@ -64,17 +64,23 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > len(begins)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each row's text as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, text_hash: Column | None = None) -> DataFrame:
+    """``doc_id, fp``: the fingerprint of each row's text as a signed 64-bit number.
+
+    With ``text_hash`` (a 64-bit number), a column of that name follows.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = [] if text_hash is None else ["text_hash"]
+    chosen = docs.select("doc_id", "text", *([] if text_hash is None else [text_hash.alias("text_hash")]))
 
     def work(rows: pa.RecordBatch) -> pa.RecordBatch:
         made = np.array([fingerprint(t) for t in rows.column(1).to_pylist()], np.uint64)
         return pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"]
+            [rows.column(0), pa.array(made.view(np.int64)), *rows.columns[2:]], names=["doc_id", "fp", *more]
         )
 
-    return map_slices(docs.select("doc_id", "text"), work, f"doc_id {kind}, fp bigint")
+    schema = ", ".join([f"doc_id {kind}", "fp bigint", *(f"{c} bigint" for c in more)])
+    return map_slices(chosen, work, schema)
 
 
 def bucket_keys(fp: str) -> list:
@@ -197,15 +203,44 @@ def star_components(spark: SparkSession, edges: DataFrame, label: str = "compone
     return members.union(members.select("component", "component").distinct())
 
 
+def fingerprint_components(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """``fp, component``: each distinct fingerprint and the smallest one in its component."""
+    nodes = rows.select("fp").distinct()
+    joined = star_components(spark, links(nodes), "simhash-components")
+    labelled = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    return labelled.select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs`` (``doc_id, text``)."""
     rows = written(spark, fingerprints(docs), "simhash-fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low_id"))
-    joined = star_components(spark, links(nodes), "simhash-components")
-    labelled = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "fp"))
-    smallest = labelled.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    by_fp = labelled.select("fp", "component").join(smallest, "component").select("fp", "component_id")
+    labelled = fingerprint_components(spark, rows)
+    lowest = rows.groupBy("fp").agg(F.min("doc_id").alias("low_id")).join(labelled, "fp")
+    smallest = lowest.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    by_fp = lowest.select("fp", "component").join(smallest, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns: of each component one row.
+
+    It is the one with the smallest ``doc_id`` (nulls last), of equal ids the one with the
+    smallest hash of its text, of rows equal in both any one.
+    """
+    rows = written(spark, fingerprints(docs, F.xxhash64("text")), "simhash-fingerprints")
+    labelled = rows.join(fingerprint_components(spark, rows), "fp")
+    equal = labelled.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash", "rows")).alias("first")
+    kept = equal.groupBy("component").agg(first).select(
+        F.col("first.doc_id").alias("__id"),
+        F.col("first.text_hash").alias("__hash"),
+        F.col("first.rows").alias("__rows"),
+    )
+    kept = kept.hint("shuffle_hash")
+    same = docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__hash"])
+    found = docs.join(kept, same)
+    single = found.where("__rows = 1").select(*(docs[c] for c in docs.columns))
+    several = found.where("__rows > 1").dropDuplicates(["__id", "__hash"])
+    return single.union(several.select(*(docs[c] for c in docs.columns)))
