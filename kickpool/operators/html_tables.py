@@ -8,7 +8,7 @@ never has to be put together again from cells, so the extractors need no shuffle
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -31,7 +31,7 @@ LINK_FIELDS = "link_idx int, text string, href string"
 
 def arrow_column(values: Sequence, kind: pa.DataType) -> pa.Array:
     """Column of plain values, or of lists of tuples built from their flattened fields."""
-    if not pa.types.is_list(kind):
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
         return pa.array(values, kind)
     ends = pa.array([0, *accumulate(map(len, values))], pa.int32())
     fields = list(kind.value_type)
@@ -58,7 +58,7 @@ def read_markup(
     def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
             records: list[tuple] = []
-            page_keys = zip(*(batch.column(k).to_pylist() for k in keys))
+            page_keys = zip(*(batch.column(k).to_pylist() for k in keys)) if keys else repeat(())
             for key, html in zip(page_keys, batch.column("html")):
                 for record in reader(html.as_py()):
                     records.append(key + record)
@@ -134,8 +134,12 @@ def table_previews(pages: DataFrame, *keys: str, n: int = 300) -> DataFrame:
 
 def rows_with_keyword(pages: DataFrame, keyword: str, *keys: str, cell_html: int = 500) -> DataFrame:
     """Cells (text and markup prefix) of every page row whose text holds the keyword."""
-    rows = table_rows(pages, *keys, cell_html=cell_html, row_text=True)
-    hits = rows.where(F.col("innermost") & F.col("row_text").contains(keyword))
+    hits = read_markup(
+        at_least_tables(pages, 1),
+        keys,
+        "page_row_idx int, row_text string, cells array<struct<text:string,html:string>>",
+        lambda html: markup.rows_with_word(html, keyword, cell_html),
+    )
     cells = hits.select(
         *keys, "page_row_idx", "row_text", F.posexplode("cells").alias("cell_idx", "c")
     )
@@ -147,18 +151,20 @@ def rows_with_keyword(pages: DataFrame, keyword: str, *keys: str, cell_html: int
 FIXTURE_TABLE = 2
 MIN_FIXTURE_CELLS = 6
 MIN_STANDING_CELLS = 12
-
-
-def filled_texts(cells: Column | str) -> Column:
-    """Texts of the non-empty cells. Dropping empties moves later cells forward."""
-    return F.filter(F.transform(cells, lambda c: c["text"]), lambda t: t != "")
+STANDING_CELLS = (1, 2, 3, 11)  # rank, team, points, goal difference
 
 
 def extract_results(pages: DataFrame, *keys: str) -> DataFrame:
-    """Fixture rows with result columns, as they stand on the page (no number check)."""
-    rows = table_rows(pages, *keys, min_tables=FIXTURE_TABLE + 1)
-    body = rows.where((F.col("table_idx") == FIXTURE_TABLE) & F.col("row_idx").isNotNull())
-    filled = body.select(*keys, "row_idx", filled_texts("cells").alias("t"))
+    """Fixture rows with result columns, as they stand on the page (no number check).
+
+    The reader gives the non-empty texts of a row, so an empty cell moves later cells forward.
+    """
+    filled = read_markup(
+        at_least_tables(pages, FIXTURE_TABLE + 1),
+        keys,
+        "row_idx int, t array<string>",
+        lambda html: markup.body_row_texts(html, FIXTURE_TABLE),
+    )
     names = ("date", "venue", "match_no", "home_team", "result", "away_team", "pool_result")
     return filled.where(F.size("t") >= MIN_FIXTURE_CELLS).select(
         *keys, "row_idx", *(F.get("t", F.lit(i)).alias(name) for i, name in enumerate(names))
@@ -182,28 +188,30 @@ def extract_fixtures(pages: DataFrame, *keys: str) -> DataFrame:
 
 def extract_standings(pages: DataFrame, *keys: str) -> DataFrame:
     """Standings from all tables but the first, in page order."""
-    rows = table_rows(pages, *keys, min_tables=2)
-    wide = (F.col("table_idx") > 0) & F.col("row_idx").isNotNull()
-    body = rows.where(wide & (F.size("cells") >= MIN_STANDING_CELLS))
-
-    def cell(i: int) -> Column:
-        return F.get("cells", F.lit(i))
-
-    team = F.coalesce(
-        empty_to_null(cell(2)["span_text"]), empty_to_null(cell(2)["anchor_text"]), cell(2)["text"]
+    body = read_markup(
+        at_least_tables(pages, 2),
+        keys,
+        "table_idx int, row_idx int, texts array<string>, anchor_text string, span_text string",
+        lambda html: markup.wide_body_rows(html, 1, MIN_STANDING_CELLS, STANDING_CELLS, 2),
     )
+    rank, team, points, goals = (F.get("texts", F.lit(i)) for i in range(len(STANDING_CELLS)))
+    team = F.coalesce(empty_to_null("span_text"), empty_to_null("anchor_text"), team)
     standings = body.select(
         *keys,
         "table_idx",
         "row_idx",
-        noisy_int(cell(1)["text"]).alias("rank"),
+        noisy_int(rank).alias("rank"),
         name_key(team).alias("team_name"),
-        noisy_int(cell(3)["text"]).alias("points"),
-        noisy_int(cell(11)["text"]).alias("goal_difference"),
+        noisy_int(points).alias("points"),
+        noisy_int(goals).alias("goal_difference"),
     )
     return standings.where((F.col("rank") != 0) & (F.col("team_name") != ""))
 
 
 def sort_standings(standings: DataFrame, *keys: str) -> DataFrame:
-    """By rank, page order on ties."""
-    return standings.orderBy(*keys, "rank", "table_idx", "row_idx")
+    """By rank, page order on ties, within each page; pages lie together but in no order.
+
+    Without keys all rows are of one page and are put in order as a whole.
+    """
+    order = (*keys, "rank", "table_idx", "row_idx")
+    return standings.repartition(*keys).sortWithinPartitions(*order) if keys else standings.orderBy(*order)

@@ -83,15 +83,22 @@ def with_source_url(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(source_registry(df.sparkSession)), "source_key")
 
 
-def latest_snapshots(pages: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Last landed page per key.
+def latest_snapshots(
+    pages: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str] = ("landed_at",),
+    snapshot: str = "snapshot_id",
+) -> DataFrame:
+    """Last landed page per key: exactly one, as ``snapshot`` names a page uniquely.
 
-    The winner is found on the narrow columns alone; page bodies are only read for a join
-    by page identity, never sorted or grouped.
+    The latest order values win, a missing one is the oldest, and the larger identity breaks a
+    tie. The winner is found on narrow columns alone; page bodies meet the winners' identities
+    in a hash join and are never sorted or grouped.
     """
-    newest = F.max(F.struct(*order)).alias("_newest")
-    winners = pages.select(key, *order).groupBy(key).agg(newest).select(key, "_newest.*")
-    return pages.join(winners, [key, *order], "left_semi")
+    last = [F.col(c).desc_nulls_last() for c in (*order, snapshot)]
+    narrow = pages.select(*dict.fromkeys((*keys, *order, snapshot)))
+    winners = first_per_key(narrow, keys, last) if keys else narrow.orderBy(*last).limit(1)
+    return pages.join(winners.select(snapshot).hint("shuffle_hash"), snapshot, "left_semi")
 
 
 def round_pages(rounds: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -17,15 +17,19 @@ from html import unescape
 from kickpool.functions.text import WS
 
 SPACES = re.compile(WS + "+")
+# Inside tags only five ASCII blanks separate; any other white space belongs to a name or value.
 # A comment, a tag with its attributes, some other declaration, or a tag cut off by the end.
 MARKUP = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[^>=]++)*+)>"
+    r"|<(/?)([a-zA-Z][^\t\n\f\r />]*)"
+    r"((?:=[\t\n\f\r ]*+(?:\"[^\"]*+\"|'[^']*+'|[^\t\n\f\r >]*+)|[^>=]++)*+)>"
     r"|<(?:[!?]|/[^a-zA-Z])[^>]*>"
     r"|</?[a-zA-Z].*\Z|<[!?].*\Z",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+ATTRIBUTE = re.compile(
+    r"([^\t\n\f\r />=]+)(?:[\t\n\f\r ]*=[\t\n\f\r ]*(\"[^\"]*\"|'[^']*'|[^\t\n\f\r >]+))?"
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style noscript iframe noembed noframes xmp".split())
 NO_TAGS_INSIDE = RAW_TEXT | {"title", "textarea"}
@@ -136,7 +140,7 @@ class Page:
                 else:
                     self._end_tag(tag)
             elif self._start_tag(tag, attrs) and tag in NO_TAGS_INSIDE:
-                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                end = re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I).search(html, at)
                 stop = end.start() if end else len(html)
                 inside = html[at:stop]
                 open_elements[-1].children.append(inside if tag in RAW_TEXT else unescape(inside))
@@ -293,6 +297,46 @@ def page_table_rows(html: str, cell_html: int = 0, row_text: bool = False) -> It
             body_rows += row.in_body
 
 
+def body_row_texts(html: str, table_idx: int) -> Iterator[tuple]:
+    """Ordinal and non-empty cell texts of the body rows of one table."""
+    page = Page(html)
+    body_rows = 0
+    for table in page.found["table"][table_idx : table_idx + 1]:
+        for row in page.within(table, "tr"):
+            if row.in_body:
+                texts = [page.text(cell) for cell in page.within(row, "cell")]
+                yield body_rows, [text for text in texts if text]
+                body_rows += 1
+
+
+def wide_body_rows(
+    html: str, first_table: int, min_cells: int, wanted: tuple[int, ...], linked: int
+) -> Iterator[tuple]:
+    """Wanted cells of body rows with enough cells: table and row ordinal, the cells' texts, and
+    texts of the first link, and of the first span in it, of the ``linked`` cell."""
+    page = Page(html)
+    for table_idx, table in enumerate(page.found["table"]):
+        if table_idx < first_table:
+            continue
+        body_rows = -1
+        for row in page.within(table, "tr"):
+            body_rows += row.in_body
+            cells = page.within(row, "cell") if row.in_body else ()
+            if len(cells) >= min_cells:
+                _, anchor, span, _ = _cell(page, cells[linked], 0)
+                yield table_idx, body_rows, [page.text(cells[i]) for i in wanted], anchor, span
+
+
+def rows_with_word(html: str, word: str, cell_html: int) -> Iterator[tuple]:
+    """Page rows whose text holds the word: ordinal, row text, text and markup of each cell."""
+    page = Page(html)
+    for page_row_idx, row in enumerate(page.found["tr"]):
+        text = page.text(row) if row.table is not None else ""
+        if word in text and row.table is not None:
+            cells = page.within(row, "cell")
+            yield page_row_idx, text, [(page.text(c), c.inner_html(cell_html)) for c in cells]
+
+
 def _cell(page: Page, cell: Element, cell_html: int) -> tuple:
     """Cell text, text of its first link, text of the first span in that link, markup."""
     anchors = page.within(cell, "a") if page.found["a"] else ()

@@ -216,18 +216,17 @@ def dictionary_extract(
     text: str = "text",
     before: int = 100,
     after: int = 220,
-    preview: int = 80,
 ) -> DataFrame:
     """Found terms with the text around them and the integers that follow."""
     hits = F.filter(term_positions(F.col(text), terms), lambda t: t["position"] >= 0)
     rows = texts.select(*keys, text, F.inline(hits))
     tail = F.substring(F.col(text), F.col("position") + 1, F.lit(after))
-    rows = rows.withColumns({"before": clip(F.col(text), F.col("position"), before, 0), "_tail": tail})
+    rows = rows.withColumns({"before": clip(F.col(text), F.col("position"), before, 0), "after": tail})
     return rows.select(
         *keys,
         "term_no",
         "term",
         "before",
-        prefix("_tail", preview).alias("preview"),
-        integers_in("_tail").alias("numbers"),
+        "after",
+        integers_in("after").alias("numbers"),
     )

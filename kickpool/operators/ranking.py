@@ -7,17 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kickpool.operators.lookup import first_per_key
+from kickpool.session import fresh_path, written
 
 
-def best_by_probability(predictions: DataFrame, per: Sequence[str] = ("round",)) -> DataFrame:
-    """Likeliest prediction per round; the lower match number wins a tie."""
-    return first_per_key(predictions, per, [F.desc("probability"), "match_no"])
+def best_by_probability(
+    predictions: DataFrame, per: Sequence[str] = ("round",), ordinal: Sequence[str] = ("match_no",)
+) -> DataFrame:
+    """Likeliest prediction per round; of equal ones the first by ``ordinal``, the place a row has
+    on its page or in its file where it came from one."""
+    return first_per_key(predictions, per, [F.desc("probability"), *ordinal])
 
 
-def best_by_edge(rows: DataFrame, per: Sequence[str] = ("round",)) -> DataFrame:
-    """Largest edge per round, a missing edge counting 0; the lower id wins a tie."""
+def best_by_edge(
+    rows: DataFrame, per: Sequence[str] = ("round",), ordinal: Sequence[str] = ("id",)
+) -> DataFrame:
+    """Largest edge per round, a missing edge counting 0; of equal ones the first by ``ordinal``."""
     edge = F.coalesce(F.col("edge"), F.lit(0))
-    return first_per_key(rows, per, [edge.desc(), "id"])
+    return first_per_key(rows, per, [edge.desc(), *ordinal])
 
 
 def latest_round(rounds: DataFrame, *snapshot: str) -> DataFrame:
@@ -65,13 +71,19 @@ def outcome_rows(predictions: DataFrame, *keep: str) -> DataFrame:
     return predictions.select(*keep, F.inline(options))
 
 
-def edge_ranking(predictions: DataFrame, per: str = "round", *keep: str) -> DataFrame:
-    """All outcomes of a round ranked by edge. Outcomes without votes take no part.
+def edge_ranking(predictions: DataFrame, per: str = "round", match: str = "match_no") -> DataFrame:
+    """All outcomes of a round in order of edge, match and outcome. Those without votes take no part.
 
-    Edges are whole points in -100..100, so a round is ordered by at most 201 counts.
+    ``place`` is shared by equal edges, ``position`` is the place in the whole order. Edges are
+    whole points in -100..100, so a round falls into at most 201 groups that are ordered apart,
+    and their places follow from counts. The scored rows are written once, so models and lookups
+    behind them are not evaluated for the counts again.
     """
-    options = outcome_rows(predictions, per, *keep).where(F.col("edge").isNotNull())
-    return rank_by_counts(options, [per], ["edge"])
+    options = outcome_rows(predictions, per, match).where(F.col("edge").isNotNull())
+    options = written(options, fresh_path(options.sparkSession, "edges"))
+    ranked = rank_by_counts(options, [per], ["edge"])
+    inside = F.row_number().over(Window.partitionBy(per, "edge").orderBy(match, "outcome"))
+    return ranked.withColumn("position", F.col("place") + inside - 1)
 
 
 def row_counts(df: DataFrame, *per: str) -> DataFrame:

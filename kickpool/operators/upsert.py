@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kickpool.functions import fixed_values as fv
-from kickpool.session import fresh_path
+from kickpool.session import fresh_path, written
 
 # --- fixed values: what an insert puts where the payload has no such column -----------
 ROUND_DEFAULTS = {"status": "draft"}
@@ -112,9 +112,3 @@ def upsert_table(
     # Rebalancing splits a partition that is much larger than the others over many tasks.
     rows = merged.hint("rebalance", partition).write.mode("overwrite")
     rows.option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-
-
-def written(rows: DataFrame, path: str) -> DataFrame:
-    """The same rows, read back from a table written at the path."""
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)

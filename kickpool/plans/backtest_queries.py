@@ -169,7 +169,8 @@ def backtest_overall(spark: SparkSession, sf: str) -> DataFrame:
     with_parts(
         "model_a",
         """SELECT round, match_no, outcome, probability, edge,
-  rank() OVER (PARTITION BY round ORDER BY edge DESC) AS place
+  rank() OVER (PARTITION BY round ORDER BY edge DESC) AS place,
+  row_number() OVER (PARTITION BY round ORDER BY edge DESC, match_no, outcome) AS position
 FROM (SELECT round, match_no, 'HOME' AS outcome, home_prob AS probability, home_edge AS edge
       FROM model_a UNION ALL SELECT round, match_no, 'DRAW', draw_prob, draw_edge FROM model_a
       UNION ALL SELECT round, match_no, 'AWAY', away_prob, away_edge FROM model_a)

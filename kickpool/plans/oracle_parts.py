@@ -139,12 +139,17 @@ FROM (SELECT *, CASE WHEN matched
                          {_B_RANK} AS f_rank, {_B_POINTS} AS f_points, {_B_GOALS} AS f_goals
                   FROM inputs)))"""
 
+_ABSENT = ", ".join(
+    f"coalesce({side}_{field}, 0) AS {side}_{field}"
+    for side in ("home", "away")
+    for field in ("rank", "goal_difference", "form_points", "home_win_rate", "away_win_rate")
+)
 PARTS["a_inputs"] = f"""
 SELECT *, CAST(100 AS BIGINT) - vote_home - vote_away AS vote_draw
-FROM (SELECT *,
+FROM (SELECT * REPLACE ({_ABSENT}),
         CASE WHEN match_no % 7 <> 0 THEN {rounded("30 + home_discount * 100")} END AS vote_home,
         CASE WHEN match_no % 7 <> 0 THEN {rounded("30 + away_discount * 100")} END AS vote_away
-      FROM inputs WHERE home_rank IS NOT NULL AND away_rank IS NOT NULL)"""
+      FROM inputs)"""
 
 PARTS["a_factors"] = f"""
 SELECT *, {bounded(f"(away_rank - home_rank) * {dbl(2)}", 16)} AS f_rank,

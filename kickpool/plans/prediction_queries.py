@@ -29,7 +29,7 @@ def model_b(spark: SparkSession, sf: str, explain: bool = False) -> DataFrame:
 
 
 def model_a_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches whose both sides have standings, with votes and weather."""
+    """All matches with votes and weather; what a side without a standing lacks counts 0."""
     games = views.votes(views.games(spark, sf))
     listed = games.withColumns(
         {
@@ -41,9 +41,12 @@ def model_a_inputs(spark: SparkSession, sf: str) -> DataFrame:
     found = lookup.attach_standings(
         listed, standings, ["season"], ["rank", "team_key"], fields=A_FIELDS
     )
-    both = F.col("home_rank").isNotNull() & F.col("away_rank").isNotNull()
-    return found.where(both).withColumns(
-        {"home_short_name": F.col("home_team"), "away_short_name": F.col("away_team")}
+    absent = {
+        name: F.coalesce(F.col(name), F.lit(0))
+        for name in (f"{side}_{field}" for side in ("home", "away") for field in A_FIELDS)
+    }
+    return found.withColumns(
+        {**absent, "home_short_name": F.col("home_team"), "away_short_name": F.col("away_team")}
     )
 
 

@@ -18,10 +18,8 @@ def read_snapshot_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_table(spark: SparkSession, path: str) -> DataFrame:
-    """Scan of a pages table; a file too small to occupy every core is spread over them."""
-    pages = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    """Scan of a pages table; files and their row groups set how it spreads."""
+    return spark.read.parquet(path)
 
 
 def land_snapshots(pages: DataFrame, path: str) -> None:
