@@ -41,12 +41,10 @@ LINK_TEXT_KEYWORDS = ("くじ結果", "第")
 LINK_HREF_KEYWORDS = ("toto", "sportskuji", "official")
 
 # --- fixed values: dictionaries searched in page texts -------------------------------
-SCHEDULE_KEYWORD = "第"
 DETAIL_KEYWORDS = (
     "開催回", "第1637回", "指定試合", "試合", "ホーム", "アウェイ", "投票率", "払戻", "当せん",
     "1等", "toto", "鹿", "浦", "神", "ＦＣ", "FC", "横浜", "川崎",
 )
-TEAM_KEYWORDS = ("鹿島", "浦和", "神戸", "FC東京", "横浜", "川崎")
 TEAM_NAMES = (
     "鹿島アントラーズ", "浦和レッズ", "柏レイソル", "ＦＣ東京", "FC東京", "東京ヴェルディ",
     "ＦＣ町田ゼルビア", "FC町田ゼルビア", "川崎フロンターレ", "横浜Ｆ・マリノス", "横浜F・マリノス",

@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
+from kickpool.functions.text import strip_ws
 from kickpool.sources.schemas import TABLE_RULES
 
 
@@ -20,19 +22,36 @@ def _report(rows: DataFrame, table: str, rule: Column, key: Sequence[str], n: Co
     )
 
 
+def with_parent_mark(child: DataFrame, parent: DataFrame, on: Sequence[str], mark: str) -> DataFrame:
+    """Child rows with a mark where the complete reference has a parent row."""
+    keys = parent.select(*on).distinct().withColumn(mark, F.lit(True))
+    return child.join(keys, list(on), "left")
+
+
+def has_null(on: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.col(k).isNull() for k in on))
+
+
 def row_violations(
     df: DataFrame,
     table: str,
     key: Sequence[str],
     not_null: Sequence[str] = (),
     allowed: dict[str, Sequence[str]] | None = None,
+    references: Mapping[tuple[str, ...], DataFrame] | None = None,
+    not_blank: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows with a NULL in a required column or a value outside its list, in one scan.
+    """Rows that break a rule of their own, in one scan: a NULL in a required column, a value
+    outside its list, a blank text in a key, a complete reference without its parent row.
 
-    A NULL passes the allowed-values check.
+    A NULL passes all but the first check.
     """
     checks = [(f"not_null:{c}", F.col(c).isNull()) for c in not_null]
+    checks += [(f"not_blank:{c}", strip_ws(c) == "") for c in not_blank]
     checks += [(f"allowed:{c}", ~F.col(c).isin(*values)) for c, values in (allowed or {}).items()]
+    for i, (on, parent) in enumerate((references or {}).items()):
+        df = with_parent_mark(df, parent, on, f"_parent_{i}")
+        checks.append(("reference:" + ",".join(on), F.col(f"_parent_{i}").isNull() & ~has_null(on)))
     broken = F.array(*(F.when(fails, F.lit(rule)) for rule, fails in checks))
     rows = df.withColumn("_rule", F.explode(F.array_compact(broken)))
     return _report(rows, table, F.col("_rule"), key, F.lit(1))
@@ -69,14 +88,13 @@ def table_violations(
     """All violations of a stored table's rules, as far as its columns and parents are given."""
     rules = TABLE_RULES[table]
     allowed = {c: values for c, values in rules.allowed.items() if c in df.columns}
-    parts = [
-        row_violations(df, table, rules.key, rules.not_null, allowed),
+    given = parents or {}
+    references = {on: given[name] for name, on in rules.references.items() if name in given}
+    blank = [c for c in rules.key if isinstance(df.schema[c].dataType, StringType)]
+    return violations(
+        row_violations(df, table, rules.key, rules.not_null, allowed, references, blank),
         unique_violations(df, table, rules.key),
-    ]
-    for parent, on in rules.references.items():
-        if parent in (parents or {}):
-            parts.append(reference_violations(df, parents[parent], table, on, rules.key))
-    return violations(*parts)
+    )
 
 
 def cascade_delete(child: DataFrame, kept_parents: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -84,6 +102,5 @@ def cascade_delete(child: DataFrame, kept_parents: DataFrame, on: Sequence[str])
 
     A row with a NULL reference belongs to no parent and stays.
     """
-    linked = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in on))
-    kept = child.where(linked).join(kept_parents.select(*on), list(on), "left_semi")
-    return kept.unionByName(child.where(~linked))
+    marked = with_parent_mark(child, kept_parents, on, "_kept")
+    return marked.where(F.col("_kept") | has_null(on)).select(*child.columns)

@@ -101,14 +101,14 @@ def latest_snapshots(
     return pages.join(winners.select(snapshot).hint("shuffle_hash"), snapshot, "left_semi")
 
 
-def round_pages(rounds: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Detail page of each round: joined on the digits of the round label.
+def round_pages(rounds: DataFrame, snapshots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Detail pages of each round: joined on the digits of the round label, inside the scope.
 
-    ``snapshots`` has one row per round_number. A missing label counts as the fixed round.
+    A missing label counts as the fixed round.
     """
     label = F.coalesce(F.col("round"), F.lit(fv.FALLBACK_DETAIL_ROUND))
     numbered = rounds.withColumn("round", label).withColumn("round_number", round_digits("round"))
-    return numbered.join(snapshots, "round_number")
+    return numbered.join(snapshots, [*scope, "round_number"])
 
 
 def round_bundles(

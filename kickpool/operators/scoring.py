@@ -302,6 +302,16 @@ def form_points(text: Column | str) -> Column:
     ).cast("bigint")
 
 
+def design_gaps(matches: DataFrame) -> DataFrame:
+    """Gaps of the designed score: rank (a smaller rank is better) and net goals, home minus away."""
+    return matches.withColumns(
+        {
+            "rank_gap": F.col("away_rank") - F.col("home_rank"),
+            "net_gap": F.col("home_net_goals") - F.col("away_net_goals"),
+        }
+    )
+
+
 def design_scores(
     matches: DataFrame,
     low_scoring: Column | None = None,

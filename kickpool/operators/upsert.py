@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from kickpool.functions import fixed_values as fv
+from kickpool.functions.text import strip_ws
 from kickpool.session import fresh_path, written
 
 # --- fixed values: what an insert puts where the payload has no such column -----------
@@ -19,6 +21,7 @@ MATCH_DEFAULTS = {
     "home_injury_level": 0,
     "away_injury_level": 0,
 }
+NEXT = "__next"  # ending of the folder that holds a table's replacement
 PREDICTION_DEFAULTS = {"model_version": "rule-v0.1", "reasons": "[]"}
 
 
@@ -35,6 +38,34 @@ def require_unique(rows: DataFrame, key: Sequence[str]) -> None:
         raise ValueError(f"duplicate upsert key: {twice[0].asDict()}")
 
 
+def require_complete(rows: DataFrame, key: Sequence[str]) -> None:
+    """Raise when a part of a key is NULL or a blank text: such a row can never be met again."""
+    missing = [
+        F.col(k).isNull() | (strip_ws(F.col(k).cast("string")) == "") for k in key
+    ]
+    lacking = rows.where(reduce(lambda a, b: a | b, missing)).select(*key).take(1)
+    if lacking:
+        raise ValueError(f"incomplete upsert key: {lacking[0].asDict()}")
+
+
+def require_known(columns: Sequence[str], known: Sequence[str]) -> None:
+    unknown = [c for c in columns if c not in known]
+    if unknown:
+        raise ValueError(f"columns the table does not have: {unknown}")
+
+
+def conformed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows cast to the table's types, as far as they have its columns. Fractions of whole-number
+    columns are cut; a text that is no time stamp becomes NULL."""
+
+    def cast(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.TimestampType):
+            return F.col(f.name).try_cast(f.dataType)
+        return F.col(f.name).cast(f.dataType)
+
+    return rows.select(*(cast(f).alias(f.name) for f in schema.fields if f.name in rows.columns))
+
+
 def merge_rows(
     target: DataFrame,
     payload: DataFrame,
@@ -44,9 +75,10 @@ def merge_rows(
     """Insert-or-update as a DataFrame in the target's columns.
 
     A column the payload has overwrites, also with NULL. A column it lacks keeps the old
-    value on update and takes its default on insert.
+    value on update and takes its default on insert. A column the target lacks is an error.
     """
     defaults = defaults or {}
+    require_known(payload.columns, target.columns)
     given = [c for c in target.columns if c in payload.columns and c not in key]
     new = payload.select(*key, *(F.col(c).alias(f"_new_{c}") for c in given))
     new = new.withColumn("_in_payload", F.lit(True))
@@ -62,14 +94,55 @@ def merge_rows(
     return joined.select(*(F.col(c) if c in key else merged(c).alias(c) for c in target.columns))
 
 
-def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, or None while nothing has been stored there."""
+def stored_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None
+) -> DataFrame | None:
+    """The table at a path, or None while nothing has been stored there.
+
+    With a schema, columns that older files lack are NULL, and partition values keep their text.
+    """
     try:
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+    return found if schema is None else spark.read.schema(schema).parquet(path)
+
+
+def folder(spark: SparkSession, path: str) -> tuple:
+    """File system and name of a folder, as Spark sees it."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, name = folder(spark, path)
+    files.delete(name, True)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder ran to its end."""
+    files, name = folder(spark, path + "/_SUCCESS")
+    return files.exists(name)
+
+
+def publish(rows: DataFrame, path: str) -> None:
+    """Replace an unpartitioned table so that a crash at any point loses nothing.
+
+    The new table is complete beside the old one before that is touched. While the copy is
+    there, an interrupted replacement is finished from it (``recover``).
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(path + NEXT)
+    recover(spark, path)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a replacement that was interrupted; drop a copy that never became complete."""
+    if complete(spark, path + NEXT):
+        spark.read.parquet(path + NEXT).write.mode("overwrite").parquet(path)
+    remove_folder(spark, path + NEXT)
 
 
 def upsert_table(
@@ -78,37 +151,65 @@ def upsert_table(
     key: Sequence[str],
     partition: str | None = None,
     defaults: Mapping[str, object] | None = None,
+    schema: str | T.StructType | None = None,
 ) -> None:
     """Upsert into a parquet table, created on first use.
 
-    With a ``partition`` column, which is part of the key, only the partitions that occur in
-    the payload are read and rewritten. Payload and merged rows are written to the shared
-    folder first: the payload is computed once, and the table is never overwritten while it
+    With a ``schema`` the table has exactly its columns and types, and the payload is cast to
+    them. Columns that the table does not know, incomplete and repeated keys are refused. With a
+    ``partition`` column, which is part of the key, only the partitions that occur in the payload
+    are read and rewritten. Payload and merged rows are written to the shared folder first and
+    removed at the end: the payload is computed once, and the table is never overwritten while it
     is read. Running the same upsert again after a failure gives the same table.
     """
     if partition is not None and partition not in key:
         raise ValueError("the partition column must be part of the upsert key")
     spark = payload.sparkSession
-    payload = written(payload, fresh_path(spark, "payload"))
+    if schema is not None:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        require_known(payload.columns, schema.fieldNames())
+        payload = conformed(payload, schema)
+    if partition is None:
+        recover(spark, path)
+    staged = [fresh_path(spark, "payload"), fresh_path(spark, "merged")]
+    try:
+        merged = _merged(path, payload, key, partition, defaults, schema, staged)
+        if partition is None:
+            publish(merged, path)
+        else:
+            # Rebalancing splits a partition that is much larger than the others over many tasks.
+            rows = merged.hint("rebalance", partition).write.mode("overwrite")
+            rows.option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    finally:
+        for copy in staged:
+            remove_folder(spark, copy)
+
+
+def _merged(
+    path: str,
+    payload: DataFrame,
+    key: Sequence[str],
+    partition: str | None,
+    defaults: Mapping[str, object] | None,
+    schema: T.StructType | None,
+    staged: Sequence[str],
+) -> DataFrame:
+    """The rows to store, computed from staged copies of the payload and of the merge."""
+    spark = payload.sparkSession
+    payload = written(payload, staged[0])
+    require_complete(payload, key)
     require_unique(payload, key)
-    target = stored_table(spark, path)
+    target = stored_table(spark, path, schema)
+    if target is None and schema is not None:
+        target = spark.createDataFrame([], schema)
     if target is None:
-        merged = with_column_defaults(payload, defaults or {})
-    else:
-        # Partition values come back typed by their look; the payload's types are the contract.
-        kinds = {c: payload.schema[c].dataType for c in key}
-        target = target.select(
-            *(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in target.columns)
-        )
-        if partition is not None:
-            # At most as many values as the table has partitions, which the driver lists anyway.
-            touched = [row[0] for row in payload.select(partition).distinct().collect()]
-            target = target.where(F.col(partition).isin(touched))
-        merged = merge_rows(target, payload, key, defaults)
-        merged = written(merged, fresh_path(spark, "merged"))
-    if partition is None:
-        merged.write.mode("overwrite").parquet(path)
-        return
-    # Rebalancing splits a partition that is much larger than the others over many tasks.
-    rows = merged.hint("rebalance", partition).write.mode("overwrite")
-    rows.option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        return with_column_defaults(payload, defaults or {})
+    # Partition values come back typed by their look; the payload's types are the contract.
+    kinds = {c: payload.schema[c].dataType for c in key}
+    target = target.select(
+        *(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in target.columns)
+    )
+    if partition is not None:
+        touched = payload.select(partition).distinct()
+        target = target.join(touched, partition, "left_semi").select(*target.columns)
+    return written(merge_rows(target, payload, key, defaults), staged[1])

@@ -54,9 +54,9 @@ def design_scores(spark: SparkSession, sf: str) -> DataFrame:
             "away_form_points": scoring.form_points(form_text("away_key")),
             "home_net_goals": F.col("home_goals") - F.col("away_goals"),
             "away_net_goals": F.col("away_goals") - F.col("home_goals"),
-            "rank_gap": F.col("away_rank") - F.col("home_rank"),
         }
-    ).withColumn("net_gap", F.col("home_net_goals") - F.col("away_net_goals"))
+    )
+    inputs = scoring.design_gaps(inputs)
     scored = scoring.design_scores(
         inputs,
         low_scoring=F.col("home_goals") + F.col("away_goals") <= 1,

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kickpool.functions import fixed_values as fv, numbers, text
-from kickpool.operators import matches, scoring
+from kickpool.operators import backtest, matches, scoring
+from kickpool.operators.upsert import stored_table, upsert_table
 from kickpool.plans import season_views as views
 from kickpool.plans.oracle_parts import WS, number, stripped, with_parts
 from kickpool.plans.jobs import dashboard_from_csv, import_matches_csv
 from kickpool.plans.registry import query
 from kickpool.session import fresh_path
+from kickpool.sources import schemas
 from kickpool.sources.tables import read_row_snapshot, write_row_snapshot
 from kickpool.sources.text_tables import read_plain_csv, read_quoted_csv
 
@@ -314,11 +316,21 @@ def import_projection(spark: SparkSession, sf: str) -> DataFrame:
     return matches.import_projection(import_texts(spark, sf))
 
 
+_WHOLE = {column.split()[0] for column in schemas.MATCHES.split(", ") if column.endswith(" int")}
+
+
+def _stored_sql(name: str) -> str:
+    """As the stored table has it: whole numbers where its schema says so."""
+    if name in _WHOLE:
+        return f"CAST(trunc({number(name)}) AS BIGINT) AS {name}"
+    return _typed_sql(name)
+
+
 @query(
     "csv_import",
     with_parts(
         "games",
-        "SELECT " + ", ".join(_typed_sql(c) for c in fv.IMPORT_COLUMNS)
+        "SELECT " + ", ".join(_stored_sql(c) for c in fv.IMPORT_COLUMNS)
         + f", round_no || ' toto' AS title, 'imported' AS status FROM ({_IMPORT_SELECT})",
     ),
 )
@@ -329,10 +341,54 @@ def csv_import(spark: SparkSession, sf: str) -> DataFrame:
     writer.option("quote", "\u0000").csv(path)
     for _ in range(2):
         import_matches_csv(spark, path, f"{store}/rounds", f"{store}/matches")
-    stored = spark.read.parquet(f"{store}/matches")
+    stored = stored_table(spark, f"{store}/matches", schemas.MATCHES)
+    shown = F.date_format("kickoff", "yyyy-MM-dd'T'HH:mm:ss").alias("kickoff")
     return stored.join(spark.read.parquet(f"{store}/rounds"), "round_no").select(
-        *fv.IMPORT_COLUMNS, "title", "status"
+        *(shown if c == "kickoff" else F.col(c) for c in fv.IMPORT_COLUMNS), "title", "status"
+    )
+
+
+_SCORED = "match_no % 13 <> 0"
+_RESULT = "CASE WHEN home_goals > away_goals THEN 'home' WHEN home_goals = away_goals THEN 'draw' ELSE 'away' END"
+
+
+@query(
+    "results_update",
+    with_parts(
+        "games",
+        f"""SELECT round, count(*) AS match_count, CAST(sum(hit) AS BIGINT) AS hit_count,
+  CAST(sum(edge) AS BIGINT) AS edge_sum, CAST(sum(up) AS BIGINT) AS positive_count,
+  CAST(sum(up * hit) AS BIGINT) AS positive_hits, sum(hit) / count(*) AS accuracy,
+  sum(edge) / count(*) AS average_edge
+FROM (SELECT round, match_no % 31 - 15 AS edge, CASE WHEN match_no % 31 > 15 THEN 1 ELSE 0 END AS up,
+        CASE WHEN {_RESULT} = CASE match_no % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'draw' ELSE 'away' END
+             THEN 1 ELSE 0 END AS hit
+      FROM games WHERE {_SCORED}) GROUP BY round""",
+    ),
+)
+def results_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Imported matches get their results by a later upsert; picks are judged on the stored table."""
+    path, store = fresh_path(spark, "csv-import"), fresh_path(spark, "store")
+    writer = import_texts(spark, sf).write.option("header", True).option("emptyValue", "")
+    writer.option("quote", "\u0000").csv(path)
+    import_matches_csv(spark, path, f"{store}/rounds", f"{store}/matches")
+    results = views.games(spark, sf).where(_SCORED).select(
+        F.col("round").alias("round_no"),
+        "match_no",
+        F.col("home_goals").alias("result_home_score"),
+        F.col("away_goals").alias("result_away_score"),
+        scoring.outcome_from_scores("home_goals", "away_goals").alias("result_outcome"),
+    )
+    upsert_table(f"{store}/matches", results, ["round_no", "match_no"], "round_no", None, schemas.MATCHES)
+    stored = stored_table(spark, f"{store}/matches", schemas.MATCHES)
+    number = F.col("match_no")
+    picked = stored.select(
+        F.col("round_no").alias("round"),
+        F.when(number % 3 == 0, "HOME").when(number % 3 == 1, "DRAW").otherwise("AWAY").alias("pick"),
+        (number % 31 - 15).cast("bigint").alias("pick_edge"),
+        "result_outcome",
     )
+    return backtest.round_backtest(picked)
 
 
 @query(

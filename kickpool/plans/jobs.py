@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kickpool.operators import constraints, matches, pages, scoring
 from kickpool.operators.html_tables import extract_fixtures, extract_standings, sort_standings
-from kickpool.operators.lookup import attach_standings, with_source_url
+from kickpool.operators.lookup import (
+    attach_standings,
+    latest_snapshots,
+    round_pages,
+    with_source_url,
+)
 from kickpool.operators.ranking import best_by_probability, row_counts
 from kickpool.operators.upsert import MATCH_DEFAULTS, ROUND_DEFAULTS, upsert_table
+from kickpool.session import fresh_path, written
+from kickpool.sources import schemas
 from kickpool.sources.schemas import TABLE_RULES
 from kickpool.sources.text_tables import read_plain_csv, read_quoted_csv
 
@@ -35,11 +42,46 @@ def predict_pages(
 
 
 def best_picks(
-    detail_pages: DataFrame, standings_pages: DataFrame, scope: Sequence[str] = ()
+    detail_pages: DataFrame,
+    standings_pages: DataFrame,
+    scope: Sequence[str] = (),
+    page_order: Sequence[str] = (),
+) -> DataFrame:
+    """One pick per round; of equal ones the first on the page, pages in ``page_order``."""
+    predictions = predict_pages(
+        detail_pages, standings_pages, scope, ("round", *page_order), explain=False
+    )
+    return best_by_probability(predictions, ["round"], (*page_order, "row_idx"))
+
+
+def current_round_picks(
+    schedules: DataFrame,
+    details: DataFrame,
+    standings: DataFrame,
+    scope: Sequence[str] = (),
+    detail_page: Sequence[str] = (),
+    standings_page: Sequence[str] = (),
 ) -> DataFrame:
-    """One pick per round."""
-    predictions = predict_pages(detail_pages, standings_pages, scope, explain=False)
-    return best_by_probability(predictions, ["round"])
+    """The main job: landed pages to the best pick of the round that is on sale.
+
+    Of every page the newest snapshot counts. The schedule names the current round, its digits
+    lead to the round's detail pages (column round_number), their fixtures are looked up in the
+    standings and scored by model B. Inputs have snapshot_id, landed_at, html and the scope's
+    columns; ``detail_page`` and ``standings_page`` name a page where a round or a scope has
+    several.
+    """
+    rounds = pages.latest_rounds(latest_snapshots(schedules, scope), *scope)
+    identity = [*scope, "round_number", *detail_page]
+    current = latest_snapshots(details, identity).select(*identity, "snapshot_id", "html")
+    chosen = round_pages(rounds, current, scope)
+    predictions = predict_pages(
+        chosen,
+        latest_snapshots(standings, [*scope, *standings_page]),
+        scope,
+        ("round", "sales_start", "sales_end", "status", *detail_page),
+        explain=False,
+    )
+    return best_by_probability(predictions, [*scope, "round"], (*detail_page, "row_idx"))
 
 
 def dashboard_from_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -74,11 +116,20 @@ def inspect_pages(
 def import_matches_csv(
     spark: SparkSession, path: str | list[str], rounds_table: str, matches_table: str
 ) -> None:
-    """Plain CSV into stored rounds, then matches. A file may hold any number of rounds."""
+    """Plain CSV into stored rounds, then matches. A file may hold any number of rounds.
+
+    The file is parsed once, into typed rows in the shared folder. A row without a round, or one
+    that breaks a rule of the table, refuses the import before anything is stored.
+    """
     rows = matches.import_projection(read_plain_csv(spark, path))
+    rows = written(rows, fresh_path(spark, "import"))
     refused = constraints.table_violations(rows, "matches").take(5)
     if refused:
         raise ValueError(f"import refused: {[r.asDict() for r in refused]}")
-    upsert_table(rounds_table, matches.imported_rounds(rows), ["round_no"], None, ROUND_DEFAULTS)
-    key = TABLE_RULES["matches"].key
-    upsert_table(matches_table, rows, key, "round_no", MATCH_DEFAULTS)
+    upsert_table(
+        rounds_table, matches.imported_rounds(rows), TABLE_RULES["rounds"].key, None, ROUND_DEFAULTS,
+        schemas.ROUNDS,
+    )
+    upsert_table(
+        matches_table, rows, TABLE_RULES["matches"].key, "round_no", MATCH_DEFAULTS, schemas.MATCHES
+    )

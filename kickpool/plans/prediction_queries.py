@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kickpool.functions import fixed_values as fv, labels
 from kickpool.functions.text import name_key, remove_ws
 from kickpool.operators import lookup, ranking, scoring
-from kickpool.plans import season_views as views
+from kickpool.plans import jobs, season_views as views
 from kickpool.plans.jobs import best_picks, predict_pages
 from kickpool.plans.oracle_parts import OUTCOME_LABEL_SQL, with_parts, rounded
 from kickpool.plans.registry import query
-from kickpool.plans.rendered_pages import detail_pages, standings_pages
+from kickpool.plans.rendered_pages import detail_pages, month_schedules, standings_pages
 
 A_FIELDS = ("rank", "goal_difference", "form_points", "home_win_rate", "away_win_rate")
 
@@ -365,8 +365,8 @@ def landed_page_predictions(spark: SparkSession, sf: str) -> DataFrame:
         "model_b",
         "SELECT round, CAST(match_no AS DOUBLE) AS match_no, home_team, away_team, outcome, "
         "probability, confidence FROM (SELECT *, row_number() OVER (PARTITION BY round "
-        "ORDER BY probability DESC, match_no) AS n FROM (SELECT * FROM model_b "
-        "WHERE match_no % 13 <> 0 UNION ALL BY NAME SELECT round, match_no, home_team, "
+        "ORDER BY probability DESC, CAST(match_no // 1000 AS VARCHAR), match_no) AS n FROM "
+        "(SELECT * FROM model_b WHERE match_no % 13 <> 0 UNION ALL BY NAME SELECT round, match_no, home_team, "
         "CASE WHEN home_goals > away_goals THEN '1' WHEN home_goals = away_goals THEN '0' "
         "ELSE '2' END AS away_team, 'DRAW' AS outcome, 40 AS probability, 'C' AS confidence "
         "FROM model_b WHERE match_no % 13 = 0 AND match_no % 26 <> 0)) WHERE n = 1",
@@ -375,12 +375,80 @@ def landed_page_predictions(spark: SparkSession, sf: str) -> DataFrame:
 def landed_page_best_picks(spark: SparkSession, sf: str) -> DataFrame:
     games = views.games(spark, sf)
     standings = views.standings(spark, sf, games)
-    best = best_picks(detail_pages(games), standings_pages(standings), ["season"])
+    best = best_picks(detail_pages(games), standings_pages(standings), ["season"], ["snapshot_id"])
     return best.select(
         "round", "match_no", "home_team", "away_team", "outcome", "probability", "confidence"
     )
 
 
+def landed(pages: DataFrame, version: str, at: int | None, page: str) -> DataFrame:
+    """Pages as a landing of them: snapshot_id, landed_at."""
+    return pages.withColumns(
+        {
+            "snapshot_id": F.concat_ws("-", F.lit(version), page),
+            "landed_at": F.lit(at).cast("bigint"),
+        }
+    )
+
+
+_SHIFTED = (
+    "SELECT * FROM model_b WHERE match_no % 13 <> 0 UNION ALL BY NAME SELECT season, round, match_no, "
+    "home_team, CASE WHEN home_goals > away_goals THEN '1' WHEN home_goals = away_goals THEN '0' "
+    "ELSE '2' END AS away_team, 'DRAW' AS outcome, 40 AS probability, 'C' AS confidence "
+    "FROM model_b WHERE match_no % 13 = 0 AND match_no % 26 <> 0"
+)
+
+
+@query(
+    "current_round_picks",
+    with_parts(
+        "model_b",
+        f"""SELECT season, round, status, CAST(match_no AS DOUBLE) AS match_no, home_team, away_team,
+  outcome, probability, confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY probability DESC,
+        CAST(match_no // 1000 AS VARCHAR), match_no) AS n
+      FROM ({_SHIFTED})
+      JOIN (SELECT season, coalesce(min(CASE WHEN month % 4 = 2 THEN round END), min(round)) AS round,
+              CASE WHEN min(CASE WHEN month % 4 = 2 THEN round END) IS NOT NULL THEN 'open'
+                   WHEN arg_min(month, round) % 4 = 1 THEN 'closed' ELSE 'unknown' END AS status
+            FROM (SELECT DISTINCT season, round, CAST(substr(round, 6, 2) AS INT) AS month FROM games)
+            GROUP BY season) USING (season, round)) WHERE n = 1""",
+    ),
+)
+def current_round_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per season: schedule, its current round, the round's pages, standings, best pick.
+
+    Every page is landed twice with different content; the old one names another round, other
+    numbers and other ranks, and must not count.
+    """
+    games = views.games(spark, sf)
+    standings = views.standings(spark, sf, games)
+    months = games.select("season", F.to_date(F.substring("kickoff", 1, 7), "yyyy-MM").alias("month"))
+    schedules = month_schedules(months, "season")
+    old_schedule = F.lit("<p>販売中 第999912回 （2001/1/1-2001/1/2）</p>")
+    details = detail_pages(games).withColumnRenamed("snapshot_id", "page")
+    old_games = games.withColumn("match_no", F.col("match_no") + 13)
+    old_details = detail_pages(old_games).withColumnRenamed("snapshot_id", "page")
+    ranks = standings_pages(standings)
+    old_ranks = standings_pages(standings.withColumn("rank", F.lit(1).cast("bigint")))
+    best = jobs.current_round_picks(
+        landed(schedules, "b", 2, "season").unionByName(
+            landed(schedules.withColumn("html", old_schedule), "a", 1, "season")
+        ),
+        landed(details, "a", 7, "page").unionByName(landed(old_details, "b", 5, "page")),
+        landed(ranks, "a", 0, "block").unionByName(landed(old_ranks, "b", None, "block")).withColumn(
+            "snapshot_id", F.concat_ws("-", "snapshot_id", "season")
+        ),
+        ["season"],
+        ["page"],
+        ["block"],
+    )
+    return best.select(
+        "season", "round", "status", "match_no", "home_team", "away_team", "outcome", "probability",
+        "confidence",
+    )
+
+
 @query(
     "same_team",
     with_parts(

@@ -117,7 +117,13 @@ def schedule_pages(orders: DataFrame) -> DataFrame:
     months = orders.select(
         block_of("o_orderkey", ORDERS_PER_BLOCK).alias("page_no"),
         F.date_trunc("month", "o_orderdate").alias("month"),
-    ).distinct()
+    )
+    return month_schedules(months, "page_no")
+
+
+def month_schedules(months: DataFrame, page: str) -> DataFrame:
+    """One schedule page for each value of ``page``, listing its distinct months in order."""
+    months = months.select(page, "month").distinct()
     number = F.month("month") % 4
     status = F.when(number == 1, "<b>終了</b>").when(number == 2, "<i>販売中</i>&nbsp;").otherwise("")
     entry = F.concat(
@@ -129,10 +135,10 @@ def schedule_pages(orders: DataFrame) -> DataFrame:
     )
     grouped = (
         months.withColumn("entry", entry)
-        .groupBy("page_no")
+        .groupBy(page)
         .agg(joined_rows("month", "entry").alias("body"))
     )
     html = F.concat(
         F.lit("<script>var s = '第999999回';</script><ul>"), "body", F.lit("</ul>")
     )
-    return grouped.select("page_no", html.alias("html"))
+    return grouped.select(page, html.alias("html"))

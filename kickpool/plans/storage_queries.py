@@ -132,9 +132,10 @@ def constraint_violations(spark: SparkSession, sf: str) -> DataFrame:
     rows, rounds = flawed_matches(spark, sf)
     allowed = {"result_outcome": list(fv.OUTCOME_KEY.values())}
     return constraints.violations(
-        constraints.row_violations(rows, "matches", KEY, ["round", "home_team", "away_team"], allowed),
+        constraints.row_violations(
+            rows, "matches", KEY, ["round", "home_team", "away_team"], allowed, {("round",): rounds}
+        ),
         constraints.unique_violations(rows, "matches", KEY),
-        constraints.reference_violations(rows, rounds, "matches", ["round"], KEY),
     )
 
 

@@ -18,12 +18,17 @@ HEADER_EDGES = re.compile(f"^{WS}+|{WS}+$")
 
 
 def lines_with_header(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, str]:
-    """Data lines of CSV files as one text column, and the header line."""
+    """Data lines of CSV files as one text column, and the header line.
+
+    Files with another header line than the first one raise when they are read: their columns
+    would be taken for others.
+    """
     raw = (
         spark.read.option("sep", NO_SEPARATOR)
         .option("quote", "")
         .option("header", True)
         .option("lineSep", "\n")
+        .option("enforceSchema", False)
         .csv(path)
     )
     return raw.toDF("line"), raw.columns[0]

@@ -5,15 +5,16 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from kickpool.operators import lookup, ranking
+from kickpool.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 EAGER = {
-    "csv_dashboard", "csv_import", "csv_plain", "csv_quoted", "snapshot_roundtrip", "upsert_table",
+    "csv_dashboard", "csv_import", "csv_plain", "csv_quoted", "edge_ranking", "results_update",
+    "snapshot_roundtrip", "upsert_table",
 }
 READS_MARKUP = {
-    "followed_links", "html_cells", "html_fixtures", "html_results", "html_row_dump",
+    "current_round_picks", "followed_links", "html_cells", "html_fixtures", "html_results", "html_row_dump",
     "html_standings", "html_table_preview", "keyword_first_hit", "landed_page_best_picks",
     "landed_page_predictions", "page_dom_text", "page_links",
 }
@@ -23,11 +24,12 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_plan(spark, name):
-    plan = plan_of(queries()[name](spark, SF))
+    plan = plan_of(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+    assert "RoundRobinPartitioning" not in plan
     assert ("MapInArrow" in plan) == (name in READS_MARKUP)
     for spec in re.findall(r"windowspecdefinition\((.*)", plan):
         assert not re.match(r"[^,]* (ASC|DESC) NULLS", spec), "window without a partition key"
@@ -35,16 +37,16 @@ def test_plan(spark, name):
 
 @pytest.mark.parametrize("name", ["best_pick_by_probability", "best_pick_by_edge", "first_standing"])
 def test_first_of_group_is_limited_before_the_shuffle(spark, name):
-    plan = plan_of(queries()[name](spark, SF))
+    plan = plan_of(QUERIES[name](spark, SF))
     assert re.search(r"WindowGroupLimit .* Partial", plan)
 
 
 def test_only_used_columns_are_read(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    plan = plan_of(queries()["page_snapshots_latest"](spark, SF))
+    plan = plan_of(QUERIES["page_snapshots_latest"](spark, SF))
     narrow = "ReadSchema: struct<page_id:bigint,url:string>"
     assert narrow in plan
-    scan = plan_of(queries()["table_scan"](spark, SF))
+    scan = plan_of(QUERIES["table_scan"](spark, SF))
     assert "EqualTo(o_orderstatus,F)" in scan and "GreaterThan(o_totalprice,200000.0)" in scan
     assert "o_custkey" not in scan
 

@@ -67,7 +67,7 @@ def test_snapshot_files_and_latest(spark, tmp_path):
     versions = [("k", 1, "old"), ("k", 3, "new"), ("k", 2, "mid"), ("j", 1, "only")]
     for version in versions:
         land_snapshots(spark.createDataFrame([version], "key string, n int, html string"), landed)
-    latest = latest_snapshots(read_page_table(spark, landed), "key", ["n"])
+    latest = latest_snapshots(read_page_table(spark, landed), ["key"], ["n"], "html")
     assert rows(latest.select("key", "html")) == [("j", "only"), ("k", "new")]
 
 
@@ -109,6 +109,6 @@ def test_import_refuses_bad_rows(spark, tmp_path):
     import_matches_csv(spark, good, str(tmp_path / "r"), str(tmp_path / "m"))
     stored = spark.read.parquet(str(tmp_path / "m"))
     assert rows(stored.select("round_no", "match_no", "weather", "home_rest_days")) == [
-        ("第2回", 1.0, "未取得", None), ("第2回", 2.0, "未取得", None),
+        ("第2回", 1, "未取得", None), ("第2回", 2, "未取得", None),
     ]
     assert rows(spark.read.parquet(str(tmp_path / "r")).select("title")) == [("第2回 toto",)]

@@ -18,12 +18,14 @@ def test_page_operators_on_a_stream(spark, tmp_path):
 
 def test_upsert_stream(spark, tmp_path):
     table, source = str(tmp_path / "t"), str(tmp_path / "s")
-    schema = "round string, match_no bigint, venue string"
-    spark.createDataFrame([("r1", 1, "old"), ("r1", 2, "kept")], schema).write.partitionBy(
+    schema = "round string, match_no bigint, venue string, seen int"
+    before = [("r1", 1, "old", 0), ("r1", 2, "kept", 1), ("r1", 3, "newer", 9)]
+    spark.createDataFrame(before, schema).write.partitionBy(
         "round"
     ).parquet(table)
-    late = "round string, match_no bigint, venue string, seen int"
-    spark.createDataFrame([("r1", 1, "b", 2), ("r1", 1, "a", 1), ("r2", 1, "n", 1)], late).coalesce(
+    late = schema
+    arrived = [("r1", 1, "b", 2), ("r1", 1, "a", 1), ("r2", 1, "n", 1), ("r1", 3, "older", 4)]
+    spark.createDataFrame(arrived, late).coalesce(
         1
     ).write.parquet(source)
     stream = spark.readStream.schema(late).parquet(source)
@@ -31,4 +33,6 @@ def test_upsert_stream(spark, tmp_path):
     query.awaitTermination(120)
     spark.catalog.refreshByPath(table)
     result = spark.read.parquet(table).select("round", "match_no", "venue").collect()
-    assert sorted(map(tuple, result)) == [("r1", 1, "b"), ("r1", 2, "kept"), ("r2", 1, "n")]
+    assert sorted(map(tuple, result)) == [
+        ("r1", 1, "b"), ("r1", 2, "kept"), ("r1", 3, "newer"), ("r2", 1, "n"),
+    ]
