@@ -22,6 +22,14 @@ ENGINE_CONF = {
 }
 
 
+def with_engine_conf(spark: SparkSession) -> SparkSession:
+    """A session of the caller's own with the settings above, as far as it can still take them."""
+    for key, value in ENGINE_CONF.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Single-machine session for tests and the benchmark; a cluster brings its own."""
     builder = (
@@ -48,7 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):  # local-cluster shares no folder
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     made = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(made)
