@@ -27,6 +27,12 @@ def written(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``fresh_path`` named and that nothing reads any more."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+
+
 def crc_of(column: Column | str) -> Column:
     """CRC-32 of a value's text; null for null."""
     column = F.col(column) if isinstance(column, str) else column

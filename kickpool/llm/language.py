@@ -1,14 +1,20 @@
 """Language identification with string kernels.
 
-A text is lower-cased; runs of non-letters become one blank. Its blended spectrum is the set of
-character n-grams of one to three signs, and the kernel of two texts is the number of shared
-n-grams over the root of the product of the set sizes. ``LANDMARKS`` training texts give the
-Nystroem map; one-versus-rest kernel ridge regression gives a value per language. Texts are
-scored in batches: presence rows times landmark columns, times coefficients.
+A text is lower-cased; runs of non-letters become one blank. It is read in segments of about
+``SEGMENT`` signs. The blended spectrum of a segment is the set of its character n-grams of one to
+three signs, and the kernel of two segments is the number of shared n-grams over the root of the
+product of the set sizes. Presence in segments, not in the text as a whole, lets the language of
+most of a text decide where a passage of another one stands in it.
+
+``LANDMARKS`` segments of training texts give the Nystroem map. A text is the mean of its mapped
+segments, weighted by length; one-versus-rest kernel ridge regression gives a value per language.
+Texts are scored in batches of segments: presence rows times landmark columns, times coefficients
+(the last two are multiplied once).
 
 Training sees a bounded sample: of the ``LANGUAGES`` most frequent languages, ``PER_LANGUAGE``
-labelled rows each, those with the smallest hash of their id. Only their n-gram bits (33 KB a
-row at most) reach the driver, never texts. Scoring reads every whole text and needs no shuffle.
+labelled rows each, those with the smallest hash of their id. Only landmark segments and kernel
+rows (a number per landmark) reach the driver, never texts. Scoring reads every whole text and
+needs no shuffle.
 
 Defined results: null text or text without a letter gives ``und`` with score 0; without training
 rows every text is ``und``; repeated rows and null ids are scored like any other row; an empty
@@ -17,6 +23,7 @@ table gives no rows; further columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,15 +39,17 @@ RIDGE = 1e-3
 SHARPNESS = 8.0
 MIN_SCORE = 0.3
 UNKNOWN = "und"
+SEGMENT = 500
 # Signs: 0 blank, 1 any other letter, then the most frequent letters of the sample.
 SIGNS = 64
 GRAMS = SIGNS + SIGNS**2 + SIGNS**3
 CHUNK = 1 << 20
+BATCH = 256
 
 
 @dataclass
 class Alphabet:
-    """Sign of each code point of the basic plane; higher ones are other letters."""
+    """Sign of each code point of the basic plane; letters above it are other letters."""
 
     signs: np.ndarray
 
@@ -52,55 +61,89 @@ class Alphabet:
                 signs[letter] = sign
         return Alphabet(signs)
 
-    def grams(self, text: str | None) -> np.ndarray:
-        """Distinct n-grams of a whole text, sorted; empty if it has no letter."""
-        found = np.zeros(GRAMS, bool)
-        carry = np.zeros(1, np.int32)
+    def read(self, text: str) -> np.ndarray:
+        """Signs of a text between two blanks, blanks never in a row."""
+        points = code_points(text)
+        signs = np.zeros(len(points) + 2, np.int32)
+        signs[1:-1] = self.signs[np.minimum(points, 0xFFFF)]
+        for at in np.flatnonzero(points > 0xFFFF):
+            signs[at + 1] = chr(points[at]).isalpha()
+        return signs[np.concatenate(([True], (signs[1:] != 0) | (signs[:-1] != 0)))]
+
+    def segments(self, text: str | None) -> Iterator[tuple[np.ndarray, int]]:
+        """Distinct n-grams, sorted, and length of each segment of a whole text that has a letter."""
         text = text or ""
+        found = np.zeros(GRAMS, bool)
         for at in range(0, len(text), CHUNK):
-            points = code_points(text[at : at + CHUNK])
-            signs = np.concatenate((carry, self.signs[np.minimum(points, 0xFFFF)]), dtype=np.int32)
-            signs = signs[np.concatenate(([True], (signs[1:] != 0) | (signs[:-1] != 0)))]
-            mark(found, signs)
-            carry = signs[-2:]
-        mark(found, np.append(carry, np.int32(0)) if carry[-1] else carry)
-        return np.flatnonzero(found) if found[1:SIGNS].any() else np.empty(0, np.int64)
+            signs = self.read(text[at : at + CHUNK])
+            count = max(1, round(len(signs) / SEGMENT))
+            borders = np.linspace(0, len(signs), count + 1).astype(int).tolist()
+            for begin, end in zip(borders, borders[1:]):
+                part = signs[begin : end + 2]
+                if part.any():
+                    pairs = part[:-1] * SIGNS + part[1:]
+                    found[part] = True
+                    found[SIGNS + pairs] = True
+                    found[SIGNS + SIGNS**2 + pairs[:-1] * SIGNS + part[2:]] = True
+                    grams = np.flatnonzero(found)
+                    found[grams] = False
+                    yield grams, end - begin
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def mark(found: np.ndarray, signs: np.ndarray) -> None:
-    pairs = signs[:-1] * SIGNS + signs[1:]
-    found[signs] = True
-    found[SIGNS + pairs] = True
-    found[SIGNS + SIGNS**2 + pairs[:-1] * SIGNS + signs[2:]] = True
+@dataclass
+class Landmarks:
+    """Segments that all others are compared with."""
+
+    columns: np.ndarray  # column of each n-gram, one past the last if no landmark has it
+    table: np.ndarray  # columns x landmarks, scaled by the landmarks' sizes
+
+    @staticmethod
+    def of(grams: list[np.ndarray]) -> Landmarks:
+        vocabulary = np.unique(np.concatenate([np.empty(0, np.int64), *grams]))
+        columns = np.full(GRAMS, len(vocabulary), np.int32)
+        columns[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
+        table = np.zeros((len(vocabulary), len(grams)), np.float32)
+        for place, found in enumerate(grams):
+            table[columns[found], place] = 1 / np.sqrt(len(found))
+        return Landmarks(columns, table)
+
+    def times(self, texts: list[list[tuple[np.ndarray, int]]], right: np.ndarray) -> np.ndarray:
+        """Mean over each text's segments of presence rows times ``right`` (columns x any)."""
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        flat = [segment for text in texts for segment in text]
+        size = np.array([n for _, n in flat], np.float64)
+        total, weight = np.zeros((len(texts), right.shape[1])), np.bincount(owner, size, len(texts))
+        presence = np.zeros((min(BATCH, len(flat)), len(right) + 1), np.float32)
+        for at in range(0, len(flat), BATCH):
+            batch = flat[at : at + BATCH]
+            presence[:] = 0
+            for row, (grams, _) in enumerate(batch):
+                presence[row, self.columns[grams]] = 1 / np.sqrt(len(grams))
+            made = presence[: len(batch), :-1] @ right
+            np.add.at(total, owner[at : at + BATCH], made * size[at : at + BATCH, None])
+        return total / np.maximum(weight, 1)[:, None]
 
 
 @dataclass
 class Model:
     alphabet: Alphabet
     languages: list[str]
-    columns: np.ndarray  # column of each n-gram, -1 if no landmark has it
-    landmarks: np.ndarray  # columns x landmarks, scaled by the landmarks' sizes
-    weights: np.ndarray  # landmarks and a constant x languages
-
-    def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
-        presence = np.zeros((len(grams), len(self.landmarks)), np.float32)
-        for row, found in enumerate(grams):
-            at = self.columns[found]
-            presence[row, at[at >= 0]] = 1 / np.sqrt(max(len(found), 1))
-        return presence @ self.landmarks
+    landmarks: Landmarks
+    scores: np.ndarray  # landmark table times coefficients
+    constant: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        grams = [self.alphabet.grams(t) for t in texts]
+        read = [list(self.alphabet.segments(t)) for t in texts]
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        values = SHARPNESS * (self.kernel(grams) @ self.weights[:-1] + self.weights[-1])
-        values = np.exp(values - values.max(axis=1, keepdims=True)).astype(np.float64)
+        values = SHARPNESS * (self.landmarks.times(read, self.scores) + self.constant)
+        values = np.exp(values - values.max(axis=1, keepdims=True))
         best, score = values.argmax(axis=1), values.max(axis=1) / values.sum(axis=1)
-        known = np.array([len(g) > 0 for g in grams], bool)
+        known = np.array([len(r) > 0 for r in read], bool)
         named = [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
         return named, np.where(known, score, 0.0)
 
@@ -120,14 +163,15 @@ def letter_counts(sample: DataFrame) -> DataFrame:
 
 
 def sample_rows(labelled: DataFrame) -> DataFrame:
-    """``key, lang, text`` of the bounded training sample of ``doc_id, lang, text`` rows."""
+    """``doc_id, lang, text, place`` of the bounded training sample, places within a language."""
     ids = labelled.select("doc_id", "lang")
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
     frequent = sizes.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).select("lang")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= PER_LANGUAGE)
-    chosen = chosen.join(F.broadcast(frequent), "lang", "left_semi").select("doc_id").distinct()
-    return labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    chosen = chosen.join(F.broadcast(frequent), "lang", "left_semi")
+    chosen = chosen.groupBy("doc_id").agg(F.min("place").alias("place"))
+    return labelled.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "place")
 
 
 def train(spark: SparkSession, labelled: DataFrame) -> Model:
@@ -136,55 +180,65 @@ def train(spark: SparkSession, labelled: DataFrame) -> Model:
     sample = written(spark, sample_rows(labelled), "language-sample")
     letters = letter_counts(sample).orderBy(F.col("n").desc(), "point").limit(SIGNS - 2).collect()
     alphabet = Alphabet.of([row.point for row in letters])
+    kind = sample.schema["doc_id"].dataType.simpleString()
 
-    def work(rows: pa.RecordBatch) -> pa.RecordBatch:
-        bits = []
+    def middle(rows: pa.RecordBatch) -> pa.RecordBatch:
+        made = []
         for text in rows.column(2).to_pylist():
-            present = np.zeros(GRAMS, bool)
-            present[alphabet.grams(text)] = True
-            bits.append(np.packbits(present).tobytes())
+            segments = list(alphabet.segments(text))
+            made.append(segments[len(segments) // 2][0] if segments else [])
         return pa.RecordBatch.from_arrays(
-            [rows.column(0), rows.column(1), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"]
+            [rows.column(0), rows.column(1), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "lang", "grams"]
         )
 
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    made = map_slices(sample, work, f"doc_id {kind}, lang string, bits binary")
-    made = made.groupBy("doc_id").agg(F.min_by(F.struct("lang", "bits"), "lang").alias("row"))
+    languages = sample.select("lang").distinct().count()
+    first = sample.where(F.col("place") <= max(1, LANDMARKS // max(languages, 1)))
+    found = map_slices(first, middle, f"doc_id {kind}, lang string, grams array<bigint>")
+    found = found.where(F.size("grams") > 0).groupBy("doc_id").agg(F.min("grams").alias("grams"))
+    chosen = found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    grams = [np.array(row.grams) for row in chosen]
+    landmarks = Landmarks.of(grams)
+
+    def kernels(rows: pa.RecordBatch) -> pa.RecordBatch:
+        read = [list(alphabet.segments(t)) for t in rows.column(2).to_pylist()]
+        made = landmarks.times(read, landmarks.table)
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column(0),
+                rows.column(1),
+                pa.array([k.tolist() if r else None for k, r in zip(made, read)], pa.list_(pa.float64())),
+            ],
+            names=["doc_id", "lang", "kernel"],
+        )
+
+    made = map_slices(sample, kernels, f"doc_id {kind}, lang string, kernel array<double>")
+    made = made.where("kernel IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.struct("lang", "kernel")).alias("row")
+    )
     rows = made.select("doc_id", "row.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    grams = [np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))[:GRAMS]) for r in rows]
-    kept = [i for i, g in enumerate(grams) if len(g)]
-    return fit(alphabet, [grams[i] for i in kept], [rows[i].lang for i in kept])
+    return fit(alphabet, grams, np.array([r.kernel for r in rows]), [r.lang for r in rows])
 
 
-def fit(alphabet: Alphabet, grams: list[np.ndarray], labels: list[str]) -> Model:
-    """Nystroem features of the sample, then one ridge regression per language."""
+def fit(
+    alphabet: Alphabet, grams: list[np.ndarray], kernel: np.ndarray, labels: list[str]
+) -> Model:
+    """Nystroem features of the sample's kernel rows, then one ridge regression per language."""
     languages = sorted(set(labels))
+    landmarks = Landmarks.of(grams)
     if not languages:
-        return Model(alphabet, [], np.empty(0), np.empty((0, 0)), np.empty((0, 0)))
-    turn, seen = [], dict.fromkeys(languages, 0)
-    for at, label in enumerate(labels):  # languages take turns as landmarks
-        turn.append((seen[label], label, at))
-        seen[label] += 1
-    chosen = [at for *_, at in sorted(turn)[: max(LANDMARKS, len(languages))]]
-    columns = np.full(GRAMS, -1, np.int32)
-    vocabulary = np.unique(np.concatenate([grams[i] for i in chosen]))
-    columns[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
-    landmarks = np.zeros((len(vocabulary), len(chosen)), np.float32)
-    for place, at in enumerate(chosen):
-        landmarks[columns[grams[at]], place] = 1 / np.sqrt(len(grams[at]))
-    model = Model(alphabet, languages, columns, landmarks, np.empty((0, 0)))
-    kernel = model.kernel(grams).astype(np.float64)
-    size, axes = np.linalg.eigh(kernel[chosen])
+        return Model(alphabet, [], landmarks, np.empty((0, 0)), np.empty(0))
+    among = landmarks.times([[(g, 1)] for g in grams], landmarks.table)
+    size, axes = np.linalg.eigh(among)
     use = size > 1e-6 * size[-1]
     nystroem = axes[:, use] / np.sqrt(size[use])
     features = np.hstack([kernel @ nystroem, np.ones((len(kernel), 1))])
     target = np.array([[1.0 if label == one else -1.0 for one in languages] for label in labels])
-    share = 1 / np.array([seen[label] for label in labels])
+    share = 1 / np.array([labels.count(label) for label in labels])
     share *= len(labels) / share.sum()
     left = features.T @ (features * share[:, None]) + RIDGE * len(labels) * np.eye(features.shape[1])
     solved = np.linalg.solve(left, features.T @ (target * share[:, None]))
-    model.weights = np.vstack([nystroem @ solved[:-1], solved[-1:]]).astype(np.float32)
-    return model
+    scores = landmarks.table @ (nystroem @ solved[:-1])
+    return Model(alphabet, languages, landmarks, scores.astype(np.float32), solved[-1])
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

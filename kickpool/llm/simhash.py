@@ -31,7 +31,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kickpool.llm.common import map_slices, written
+from kickpool.llm.common import discard, map_slices, written
+from kickpool.session import fresh_path
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -179,7 +180,14 @@ def star_components(spark: SparkSession, edges: DataFrame, label: str = "compone
     Rounds of large-star and small-star steps; a step is an aggregation and a join on the node,
     and neighbours are never gathered. Ends when a round changes nothing.
     """
-    edges = written(spark, edges.where("a <> b").distinct(), label)
+    schema = edges.schema
+
+    def stage(rows: DataFrame) -> tuple[str, DataFrame]:
+        path = fresh_path(spark, label)
+        rows.write.parquet(path)
+        return path, spark.read.schema(schema).parquet(path)
+
+    path, edges = stage(edges.where("a <> b").distinct())
     before = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
@@ -190,7 +198,8 @@ def star_components(spark: SparkSession, edges: DataFrame, label: str = "compone
         lowest = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.where("a <> b").union(lowest.select("a", F.col("low").alias("b")))
-        edges = written(spark, small.distinct(), label)
+        last, (path, edges) = path, stage(small.distinct())
+        discard(spark, last)  # a round is read from its own files alone
         state = edges.agg(
             F.count("*"),
             F.expr("bit_xor(xxhash64(a, b))"),
