@@ -18,26 +18,46 @@ def test_kernel_is_shared_grams_over_root_of_sizes():
     texts = ["The cat and the hat.", "Der Hund, die Katze!", "the hat, the cat", "Über 20 Öfen", "x"]
     letters = sorted({ord(c) for t in texts for c in t.lower() if c.isalpha()})
     alphabet = language.Alphabet.of(letters)
-    grams = [alphabet.grams(t) for t in texts]
-    model = language.fit(alphabet, grams, ["en", "de", "en", "de", "fr"])
+    read = [list(alphabet.segments(t)) for t in texts]
+    grams = [r[0][0] for r in read]
     sets = [spectrum(t) for t in texts]
     assert [len(g) for g in grams] == [len(s) for s in sets]
-    kernel = model.kernel(grams)
-    order = [0, 1, 4, 2, 3]  # languages take turns: de 1, en 0, fr 4, then de 3, en 2
-    landmarks = [1, 0, 4, 3, 2]
-    for i in order:
-        for place, j in enumerate(landmarks):
-            want = len(sets[i] & sets[j]) / math.sqrt(len(sets[i]) * len(sets[j]))
-            assert abs(kernel[i, place] - want) < 1e-6
+    landmarks = language.Landmarks.of(grams)
+    kernel = landmarks.times(read, landmarks.table)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert abs(kernel[i, j] - len(a & b) / math.sqrt(len(a) * len(b))) < 1e-6
+    model = language.fit(alphabet, grams, kernel, ["en", "de", "en", "de", "fr"])
+    assert model.predict(texts)[0] == ["en", "de", "en", "de", "fr"]
 
 
-def test_chunks_do_not_change_grams(monkeypatch):
+def test_a_text_is_the_mean_of_its_segments():
     alphabet = language.Alphabet.of([ord(c) for c in "abcdefgh"])
-    text = "ab  cd, ef gh! 12 abc defg h"
-    whole = alphabet.grams(text)
-    for size in (1, 2, 3, 5):
-        monkeypatch.setattr(language, "CHUNK", size)
-        assert list(alphabet.grams(text)) == list(whole)
+    text = " ".join(["abc"] * 500 + ["fgh"] * 250)
+    read = list(alphabet.segments(text))
+    assert len(read) == 6 and sum(n for _, n in read) == 3001
+    landmarks = language.Landmarks.of([alphabet_grams(alphabet, "abc abc"), alphabet_grams(alphabet, "fgh fgh")])
+    one = landmarks.times([read[:1]], landmarks.table)[0]
+    last = landmarks.times([read[-1:]], landmarks.table)[0]
+    mean = landmarks.times([read], landmarks.table)[0]
+    assert one[0] > 0.9 and last[1] > 0.8 and abs(mean[0] / one[0] - 2 / 3) < 0.05
+
+
+def alphabet_grams(alphabet, text):
+    return next(alphabet.segments(text))[0]
+
+
+def test_letters_beyond_the_basic_plane_are_letters():
+    alphabet = language.Alphabet.of([97])
+    assert list(alphabet.segments("\U00010400\U00010401")) and not list(alphabet.segments("\U0001f600 1"))
+
+
+def test_most_of_a_text_decides(spark):
+    docs = table(spark, MEDIUM, "documents")
+    texts = {r.lang: r.text for r in docs.where("n_chars BETWEEN 1500 AND 2500").orderBy("doc_id").collect()}
+    model = language.train(spark, docs)
+    mixed = [texts["en"] + " " + texts["en"][:900] + "\n" + texts[o][:500] for o in ("de", "fr", "es")]
+    assert model.predict(mixed)[0] == ["en"] * 3
 
 
 def test_held_out_accuracy(spark):
