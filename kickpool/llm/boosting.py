@@ -32,7 +32,7 @@ def fit(
     rows: np.ndarray,
     labels: np.ndarray,
     weights: np.ndarray,
-    trees: int = 50,
+    trees: int = 100,
     depth: int = 4,
     rate: float = 0.25,
     smooth: float = 5.0,

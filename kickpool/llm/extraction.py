@@ -79,7 +79,7 @@ def training_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             if block.truth is not None and block.sum_chars:
                 rows.append(row)
                 answers.append(block.truth)
-                weights.append(0.3 + min(block.chars, 400) ** 0.5 / 10)
+                weights.append(1 + min(block.chars, 400) ** 0.5 / 10)
 
     for page in pages:
         blocks, _ = read(page)
@@ -96,8 +96,12 @@ def training_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def train(pages: DataFrame) -> Extractor:
     """Model from a bounded sample of ``page_id, html`` rows."""
     some = pages.where((F.length("html") <= SAMPLE_CHARS) & F.col("page_id").isNotNull())
-    some = some.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE_PAGES)
-    return train_on([row.html for row in some.collect()])
+    some = some.select("page_id", "html")
+    order = (F.xxhash64("page_id"), "page_id")
+    # The ids are chosen on narrow rows: every task sends its candidates, so they carry no page.
+    chosen = some.select("page_id").orderBy(*order).limit(SAMPLE_PAGES).distinct()
+    some = some.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+    return train_on([row.html for row in some.orderBy(*order).collect()])
 
 
 def train_on(pages: list[str]) -> Extractor:

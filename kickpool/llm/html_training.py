@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import random
+import re
 
 from kickpool.llm.html_tree import KIND_OF, TAG_KINDS, TOKEN_KINDS, Block, joined, read
 
@@ -16,6 +17,7 @@ NEUTRAL = "wrapper row col-8 container inner box grid-4 c12 block unit module ce
 DROP_TAGS = {list(TAG_KINDS).index(k) for k in ("nav", "footer", "aside", "form")}
 MAIN_TAG = list(TAG_KINDS).index("main")
 CONTENT = list(TOKEN_KINDS).index("content")
+OPENING = re.compile(r"<(\w+)")
 BYLINE = list(TOKEN_KINDS).index("byline")
 
 
@@ -91,7 +93,8 @@ class Composer:
             return self.element(tag, inner, "nav", 0, 0.4 if tag == "nav" else 1)
         if kind == "header":
             tag = c.choice(("header", "header", "div"))
-            inner = f"<{c.choice(('h1', 'div', 'p', 'h2'))}>{self.line(5)}</p>" + (f"<p>{self.line()}</p>" if self.maybe(0.5) else "")
+            name = c.choice(("h1", "div", "p", "h2"))
+            inner = f"<{name}>{self.line(5)}</{name}>" + (f"<p>{self.line()}</p>" if self.maybe(0.5) else "")
             if self.maybe(0.4):
                 inner += self.region("nav")
             return self.element(tag, inner, "header", 0, 0.5 if tag == "header" else 1)
@@ -102,7 +105,8 @@ class Composer:
             return self.element(tag, inner, "footer", 0, 0.5 if tag == "footer" else 1)
         if kind == "side":
             tag = c.choice(("aside", "div", "section"))
-            inner = f"<h{c.randint(2, 4)}>{self.line(4)}</h3>" if self.maybe(0.7) else ""
+            level = c.randint(2, 4)
+            inner = f"<h{level}>{self.line(4)}</h{level}>" if self.maybe(0.7) else ""
             inner += "".join(c.choice((self.links(6), f"<p>{self.line(30)}</p>", f"<div>{self.passage()}</div>")) for _ in range(c.randint(1, 4)))
             return self.element(tag, inner, "side", 0, 0.4 if tag == "aside" else 1)
         if kind == "notice":
@@ -128,6 +132,8 @@ class Composer:
     def article(self, texts: list[str]) -> str:
         c = self.chance
         tag = c.choice(("article", "article", "main", "div", "div", "section", ""))
+        if self.maybe(0.1):  # a text of a few words
+            texts = [" ".join(texts[0].split()[: c.randint(1, 8)])]
         closed, body = self.maybe(0.7), c.choice(("p", "p", "p", "div"))
         made = []
         for number, text in enumerate(texts):
@@ -156,7 +162,7 @@ class Composer:
                 made.append(self.region(c.choice(("ad", "share", "notice", "side", "form"))))
         inner = ("\n" if self.maybe(0.5) else "").join(made)
         if not tag:  # straight in the body
-            return f'<div truth="1">{inner}</div>'
+            return "".join(m if " truth=" in m[: m.index(">")] else OPENING.sub(r'<\1 truth="1"', m, 1) for m in made)
         if self.maybe(0.2):
             inner = self.element("div", inner, None)
         return self.element(tag, inner, "content", 1, 0.3 if tag in ("article", "main") else 0.75)
