@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from kickpool.session import fresh_path
 
@@ -39,6 +39,24 @@ def crc_of(column: Column | str) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
+HASH_RANGE = 1 << 31
+SPARE = 4  # how many times the wanted rows the first filter lets through, as expected
+
+
+def lowest_hashes(rows: DataFrame, group: str, key: str, n: int, sizes: DataFrame) -> DataFrame:
+    """Per group the ``n`` rows with the smallest hash of their key, with their ``place`` from 1.
+
+    ``sizes`` has ``group, n``, the rows of each group, few enough groups to broadcast. A first
+    filter on the hash lets about ``SPARE * n`` rows of a group through, however large it is and
+    in however many partitions, so only these are shuffled and put in order.
+    """
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(key), F.lit(HASH_RANGE)))
+    share = F.lit(float(SPARE * n * HASH_RANGE)) / F.col("n")
+    some = hashed.join(F.broadcast(sizes), group).where(F.col("_hash") < share)
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_hash", key))
+    return some.withColumn("place", place).where(F.col("place") <= n).drop("_hash", "n")
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):

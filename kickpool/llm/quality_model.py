@@ -22,9 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm.common import map_slices
+from kickpool.llm.common import lowest_hashes, map_slices
 
 PER_CLASS = 2000
 WORD_SLOTS = 1 << 15
@@ -187,9 +187,10 @@ def train(
     """Machine from ``doc_id, text`` rows and their ``doc_id, quality`` labels (0 or 1)."""
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sizes = {row.quality: row.n for row in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    by_hash = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = marked.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= PER_CLASS)
+    marked = marked.withColumn("quality", (F.col("quality") > 0).cast("int"))
+    counted = marked.groupBy("quality").agg(F.count("*").alias("n"))  # two classes
+    sizes = {row.quality: row.n for row in counted.collect()}
+    sample = lowest_hashes(marked, "quality", "doc_id", PER_CLASS, counted)
     sample = docs.select("doc_id", "text", *metadata).join(
         F.broadcast(sample.select("doc_id", "quality")), "doc_id"
     )
