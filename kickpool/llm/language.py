@@ -28,9 +28,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm.common import map_slices, written
+from kickpool.llm.common import lowest_hashes, map_slices, written
 
 LANGUAGES = 128
 PER_LANGUAGE = 300
@@ -39,12 +39,12 @@ RIDGE = 1e-3
 SHARPNESS = 8.0
 MIN_SCORE = 0.3
 UNKNOWN = "und"
-SEGMENT = 500
+SEGMENT = 1000
 # Signs: 0 blank, 1 any other letter, then the most frequent letters of the sample.
 SIGNS = 64
 GRAMS = SIGNS + SIGNS**2 + SIGNS**3
 CHUNK = 1 << 20
-BATCH = 256
+BATCH = 64
 
 
 @dataclass
@@ -64,16 +64,23 @@ class Alphabet:
     def read(self, text: str) -> np.ndarray:
         """Signs of a text between two blanks, blanks never in a row."""
         points = code_points(text)
-        signs = np.zeros(len(points) + 2, np.int32)
-        signs[1:-1] = self.signs[np.minimum(points, 0xFFFF)]
-        for at in np.flatnonzero(points > 0xFFFF):
-            signs[at + 1] = chr(points[at]).isalpha()
-        return signs[np.concatenate(([True], (signs[1:] != 0) | (signs[:-1] != 0)))]
+        signs = np.zeros(len(points) + 2, np.intp)
+        if len(points) and points.max() > 0xFFFF:
+            signs[1:-1] = self.signs[np.minimum(points, 0xFFFF)]
+            for at in np.flatnonzero(points > 0xFFFF):
+                signs[at + 1] = chr(points[at]).isalpha()
+        else:
+            signs[1:-1] = self.signs[points]
+        filled = signs != 0
+        keep = np.ones(len(signs), bool)
+        np.logical_or(filled[1:], filled[:-1], out=keep[1:])
+        return signs[keep]
 
     def segments(self, text: str | None) -> Iterator[tuple[np.ndarray, int]]:
         """Distinct n-grams, sorted, and length of each segment of a whole text that has a letter."""
         text = text or ""
         found = np.zeros(GRAMS, bool)
+        eights = found.view(np.uint64)
         for at in range(0, len(text), CHUNK):
             signs = self.read(text[at : at + CHUNK])
             count = max(1, round(len(signs) / SEGMENT))
@@ -85,9 +92,10 @@ class Alphabet:
                     found[part] = True
                     found[SIGNS + pairs] = True
                     found[SIGNS + SIGNS**2 + pairs[:-1] * SIGNS + part[2:]] = True
-                    grams = np.flatnonzero(found)
-                    found[grams] = False
-                    yield grams, end - begin
+                    used = np.flatnonzero(eights)  # few of the groups of eight n-grams
+                    group, place = np.nonzero(found.reshape(-1, 8)[used])
+                    eights[used] = 0
+                    yield 8 * used[group] + place, end - begin
 
 
 def code_points(text: str) -> np.ndarray:
@@ -112,19 +120,23 @@ class Landmarks:
         return Landmarks(columns, table)
 
     def times(self, texts: list[list[tuple[np.ndarray, int]]], right: np.ndarray) -> np.ndarray:
-        """Mean over each text's segments of presence rows times ``right`` (columns x any)."""
+        """Mean over each text's segments of presence rows times ``right`` (columns x any).
+
+        A batch of presence rows is kept as its non-zero columns, so the product adds rows of
+        ``right``.
+        """
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         flat = [segment for text in texts for segment in text]
         size = np.array([n for _, n in flat], np.float64)
         total, weight = np.zeros((len(texts), right.shape[1])), np.bincount(owner, size, len(texts))
-        presence = np.zeros((min(BATCH, len(flat)), len(right) + 1), np.float32)
+        right = np.vstack([right, np.zeros((1, right.shape[1]), right.dtype)])
         for at in range(0, len(flat), BATCH):
-            batch = flat[at : at + BATCH]
-            presence[:] = 0
-            for row, (grams, _) in enumerate(batch):
-                presence[row, self.columns[grams]] = 1 / np.sqrt(len(grams))
-            made = presence[: len(batch), :-1] @ right
-            np.add.at(total, owner[at : at + BATCH], made * size[at : at + BATCH, None])
+            grams = [g for g, _ in flat[at : at + BATCH]]
+            counts = np.array([len(g) for g in grams])
+            begins = np.concatenate(([0], np.cumsum(counts)[:-1]))
+            made = np.add.reduceat(right[self.columns[np.concatenate(grams)]], begins)
+            made *= (size[at : at + BATCH] / np.sqrt(counts))[:, None]
+            np.add.at(total, owner[at : at + BATCH], made)
         return total / np.maximum(weight, 1)[:, None]
 
 
@@ -166,10 +178,8 @@ def sample_rows(labelled: DataFrame) -> DataFrame:
     """``doc_id, lang, text, place`` of the bounded training sample, places within a language."""
     ids = labelled.select("doc_id", "lang")
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    frequent = sizes.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).select("lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= PER_LANGUAGE)
-    chosen = chosen.join(F.broadcast(frequent), "lang", "left_semi")
+    frequent = sizes.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    chosen = lowest_hashes(ids, "lang", "doc_id", PER_LANGUAGE, frequent)
     chosen = chosen.groupBy("doc_id").agg(F.min("place").alias("place"))
     return labelled.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "place")
 
