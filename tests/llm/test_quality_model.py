@@ -53,3 +53,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {round(r.score, 1) for r in q.score(spark, odd_docs, untrained).collect()} == {0.5}
     told = q.train(spark, odd_docs, labels, metadata=("source", "lang"))
     assert q.score(spark, odd_docs, told, metadata=("source", "lang")).count() == odd_docs.count()
+
+
+def test_sample_is_the_lowest_hashes(spark):
+    from kickpool.llm.common import HASH_RANGE, lowest_hashes
+    from pyspark.sql import functions as F
+
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, 0).otherwise(1).alias("g"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    got = sorted((r.g, r.place, r.doc_id) for r in lowest_hashes(rows, "g", "doc_id", 50, sizes).collect())
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(HASH_RANGE))).collect()
+    want = []
+    for g in (0, 1):
+        order = sorted((r.h, r.doc_id) for r in hashed if r.g == g)[:50]
+        want += [(g, place, doc_id) for place, (_, doc_id) in enumerate(order, 1)]
+    assert got == want
