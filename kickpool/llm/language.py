@@ -92,7 +92,7 @@ class Alphabet:
                     found[part] = True
                     found[SIGNS + pairs] = True
                     found[SIGNS + SIGNS**2 + pairs[:-1] * SIGNS + part[2:]] = True
-                    used = np.flatnonzero(eights)  # few of the groups of eight n-grams
+                    used = np.flatnonzero(eights != 0)  # few of the groups of eight n-grams
                     group, place = np.nonzero(found.reshape(-1, 8)[used])
                     eights[used] = 0
                     yield 8 * used[group] + place, end - begin
