@@ -239,13 +239,18 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     smallest hash of its text, of rows equal in both any one.
     """
     rows = written(spark, fingerprints(docs, F.xxhash64("text")), "simhash-fingerprints")
-    labelled = rows.join(fingerprint_components(spark, rows), "fp")
-    equal = labelled.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
-    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash", "rows")).alias("first")
-    kept = equal.groupBy("component").agg(first).select(
-        F.col("first.doc_id").alias("__id"),
-        F.col("first.text_hash").alias("__hash"),
-        F.col("first.rows").alias("__rows"),
+    identity = ("doc_id", "text_hash")
+    # The first of each fingerprint, combined before the shuffle, then the first of each component.
+    first = F.min(F.struct(F.isnull("doc_id").alias("late"), *identity)).alias("first")
+    by_fp = rows.groupBy("fp").agg(first).join(fingerprint_components(spark, rows), "fp")
+    kept = by_fp.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    counted = rows.groupBy(*identity).agg(F.count("*").alias("rows")).where("rows > 1")
+    counted = counted.select(*(F.col(c).alias(f"_{c}") for c in identity), "rows")
+    equal = kept["doc_id"].eqNullSafe(counted["_doc_id"]) & (kept["text_hash"] == counted["_text_hash"])
+    kept = kept.join(counted, equal, "left").select(
+        F.col("doc_id").alias("__id"),
+        F.col("text_hash").alias("__hash"),
+        F.coalesce("rows", F.lit(1)).alias("__rows"),
     )
     kept = kept.hint("shuffle_hash")
     same = docs["doc_id"].eqNullSafe(kept["__id"]) & (F.xxhash64(docs["text"]) == kept["__hash"])
