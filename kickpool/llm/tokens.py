@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 # Two generations of at most so many words each: memory stays bounded, frequent words stay.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 # The code points that the vocabulary's pattern language takes as white space.
 BLANK_POINTS = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029)
 BLANK_POINTS = (*BLANK_POINTS, 0x202F, 0x205F, 0x3000)
@@ -81,14 +81,13 @@ class WordIds:
             words = PIECES.findall(text.lower())
         else:
             words = BLANKS.findall(text) if odd else text.split()
-        ids = list(map(self.young.get, words))
-        if None in ids:
+        kinds = set(words)
+        missing = kinds.difference(self.young)
+        if missing:
             if len(self.young) > CACHE_WORDS:
-                self.old, self.young = self.young, {}
-                ids = [None] * len(words)
-            self.learn({w for w, i in zip(words, ids) if i is None}, joint)
-            ids = map(self.young.__getitem__, words)
-        return b"".join(ids)
+                self.old, self.young, missing = self.young, {}, kinds
+            self.learn(missing, joint)
+        return b"".join(map(self.young.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=1)
