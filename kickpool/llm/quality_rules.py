@@ -3,7 +3,14 @@
 Per document, words and counts are taken from the whole text. Documents that pass the base rules
 give a vector of transformed statistics; per language and source, a minimum-covariance-determinant
 estimate of centre and scatter is made, and documents far from the centre by Mahalanobis distance
-are rejected.
+are rejected: the cut-off is the chi-squared value that ``LEVEL`` of normal rows would exceed, and
+the scatter is scaled so that normal rows do.
+
+A statistic that is zero in most sound texts has no scatter, so one duplicate line would be
+infinitely far. Counts of one document have a variance of their own: the square root of a share
+of n units varies by ``1 / 4n``. In the distance of a document, no variance is taken to be smaller
+than that. It shrinks with the text's length; there is no other floor but ``FLOOR``, which only
+keeps the scatter invertible.
 
 The estimate covers all rows. It starts from medians and quartiles and takes ``STEPS``
 concentration steps; a step sums counts, values and products per group and distance bin (partial
@@ -35,11 +42,14 @@ MIN_GROUP = 100
 MIN_ROWS = 30
 BIN_WIDTH = 0.125  # of the logarithm to base 2 of a squared distance
 BIN_LIMIT = 200
-# Smallest standard deviation of each transformed statistic that counts as a difference.
 STATISTICS = ("word_length", "symbols", "dup_lines", "repeats", "capitals", "marks")
-FLOOR = (0.08, 0.06, 0.2, 0.15, 0.08, 0.06)
-CHI2_MEDIAN = 5.348  # chi-squared with six degrees of freedom
-CUTOFF = 120.0
+FLOOR = (0.001,) * len(STATISTICS)  # keeps a scatter invertible
+LEVEL = 1e-6
+CUTOFF = 38.258  # chi-squared with six degrees of freedom, exceeded with probability LEVEL
+# Variance of normal rows over that of their nearest SUPPORT share: SUPPORT / P(chi2_8 <= 7.841),
+# where chi2_6 <= 7.841 with probability SUPPORT.
+CONSISTENCY = 1.3616
+REPEAT_WORDS = 6  # words of the smallest repeat: two windows of three
 D = len(STATISTICS)
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
@@ -150,14 +160,14 @@ def distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def solve(key: str, n: int, mean: np.ndarray, scatter: np.ndarray, half: float) -> tuple:
-    """A row of estimates. ``half`` is the median squared distance under the former ones."""
+def solve(key: str, n: int, mean: np.ndarray, scatter: np.ndarray) -> tuple:
+    """A row of estimates."""
     scatter = scatter + np.diag(np.square(FLOOR))
     inverse = np.linalg.inv(scatter)
-    return key, int(n), mean.tolist(), [float(inverse[i, j]) for i, j in PAIRS], float(half)
+    return key, int(n), mean.tolist(), [float(inverse[i, j]) for i, j in PAIRS]
 
 
-ESTIMATE = "key string, n bigint, m array<double>, w array<double>, half double"
+ESTIMATE = "key string, n bigint, m array<double>, w array<double>"
 
 
 def first_estimates(rows: DataFrame) -> DataFrame:
@@ -173,7 +183,6 @@ def first_estimates(rows: DataFrame) -> DataFrame:
     ]
     return made.select(
         "key", "n", F.array(*(F.col(f"q{i}")[1] for i in range(D))).alias("m"), F.array(*w).alias("w"),
-        F.lit(CHI2_MEDIAN).alias("half"),
     )
 
 
@@ -189,19 +198,58 @@ def concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     def step_of(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bin")
         seen, total = group.n.cumsum().to_numpy(), int(group.n.sum())
-        half = 2.0 ** ((group.bin.to_numpy()[np.searchsorted(seen, 0.5 * total)] + 1) * BIN_WIDTH)
         taken = group.iloc[: int(np.searchsorted(seen, SUPPORT * total)) + 1]
         n = int(taken.n.sum())
         mean = np.array([taken[f"s{i}"].sum() for i in range(D)]) / n
         scatter = np.zeros((D, D))
         for i, j in PAIRS:
             scatter[i, j] = scatter[j, i] = taken[f"p{i}_{j}"].sum() / n - mean[i] * mean[j]
-        row = solve(group.key.iloc[0], total, mean, scatter, half)
-        return pd.DataFrame([row], columns=["key", "n", "m", "w", "half"])
+        row = solve(group.key.iloc[0], total, mean, scatter)
+        return pd.DataFrame([row], columns=["key", "n", "m", "w"])
 
     return binned.groupBy("key").applyInPandas(step_of, ESTIMATE)
 
 
+UNITS = ("n_words", "n_words", "n_lines", "n_words", "n_letters", "n_words")
+
+
+def final_distances(x: np.ndarray, units: np.ndarray, m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Squared distance of each row of ``x``, each with its own estimates ``m`` and ``w``.
+
+    ``units``: what each statistic of the document is a share of.
+    """
+    inverse = np.empty((len(x), D, D))
+    for at, (i, j) in enumerate(PAIRS):
+        inverse[:, i, j] = inverse[:, j, i] = w[:, at]
+    scatter = CONSISTENCY * np.linalg.inv(inverse)
+    counting = 1 / (4 * np.maximum(units, 1.0))
+    counting[:, STATISTICS.index("repeats")] *= REPEAT_WORDS
+    diagonal = np.arange(D)
+    scatter[:, diagonal, diagonal] = np.maximum(scatter[:, diagonal, diagonal], counting)
+    apart = x - m
+    return np.einsum("ni,ni->n", apart, np.linalg.solve(scatter, apart[:, :, None])[:, :, 0])
+
+
+def with_distance(rows: DataFrame) -> DataFrame:
+    """``rows`` with the last column ``distance``, null where there are no estimates."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = {name: batch.column(at) for at, name in enumerate(batch.schema.names)}
+        use = np.flatnonzero(column["m"].is_valid().to_numpy(zero_copy_only=False))
+        made = np.full(batch.num_rows, np.nan)
+        if len(use):
+            take = lambda name: column[name].take(pa.array(use))
+            x = np.column_stack([take(f"x{i}").to_numpy(zero_copy_only=False) for i in range(D)])
+            units = np.column_stack([take(u).to_numpy(zero_copy_only=False) for u in UNITS])
+            m, w = (np.array(take(name).to_pylist()) for name in ("m", "w"))
+            made[use] = final_distances(x, units, m, w)
+        distances = pa.array(made, pa.float64(), mask=np.isnan(made))
+        return pa.RecordBatch.from_arrays([*batch.columns, distances], names=[*batch.schema.names, "distance"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return map_slices(rows, work, f"{kinds}, distance double")
+
+
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, the base counts, ``base_failed``, ``distance``, ``kept``."""
     counted = written(spark, base_counts(docs), "quality-counts")
@@ -218,15 +266,15 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     estimates = written(spark, first_estimates(rows), "quality-estimates")
     for _ in range(STEPS):
         estimates = written(spark, concentrate(rows, estimates), "quality-estimates")
-    # The last step's half belongs to the estimate before it; both have converged by then.
     judged = with_key(counted, "left").join(estimates.withColumnRenamed("n", "group_rows"), "key", "left")
-    scaled = distance() * CHI2_MEDIAN / F.greatest("half", F.lit(CHI2_MEDIAN / 4))
-    far = (F.col("group_rows") >= MIN_ROWS) & (scaled > CUTOFF)
+    needed = ("doc_id", *COUNTS, "base_failed", "group_rows", *(f"x{i}" for i in range(D)), "m", "w")
+    judged = with_distance(judged.select(*needed))
+    far = (F.col("group_rows") >= MIN_ROWS) & (F.col("distance") > CUTOFF)
     kept = F.when(F.col("base_failed"), False).otherwise(~F.coalesce(far, F.lit(False)))
     return judged.select(
         "doc_id",
         *COUNTS[:5],
         "base_failed",
         kept.alias("kept"),
-        F.when(~F.col("base_failed"), scaled).alias("distance"),
+        F.when(~F.col("base_failed"), F.col("distance")).alias("distance"),
     )

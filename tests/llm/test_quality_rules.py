@@ -81,3 +81,64 @@ def test_odd_rows(spark, odd_docs, no_docs):
             assert (r.n_words, r.base_failed, r.kept) == (0, True, False)
     assert next(r for r in rows if r.doc_id == 4).n_words == 280_000
     assert quality_rules.judge(spark, no_docs).count() == 0
+
+
+def odd_text(kind, chance):
+    """A text that is unlike ``sound_text`` in one statistic."""
+    words = ["".join(chance.choices("abcdefghij", k=chance.randint(3, 8))) for _ in range(300)]
+    if kind == "word_length":
+        return " ".join(a + b + c for a, b, c in zip(words, words[1:], words[2:]))
+    if kind == "symbols":
+        return " ".join(w + "#" * (i % 2) for i, w in enumerate(words))
+    if kind == "dup_lines":  # 95 % of one-word lines, no window of three words twice
+        lines, seen = words[:2], set()
+        while len(lines) < 200:
+            lines.append(next(w for w in chance.sample(words[:10], 10) if (*lines[-2:], w) not in seen))
+            seen.add(tuple(lines[-3:]))
+        return "\n".join(lines)
+    if kind == "repeats":
+        return " ".join(words + words[:90])
+    if kind == "capitals":
+        return " ".join(w.upper() if i % 2 else w for i, w in enumerate(words))
+    return " ".join(w + "!" * (i % 3) for i, w in enumerate(words))
+
+
+def sound_text(chance):
+    words = ["".join(chance.choices("abcdefghij", k=chance.randint(3, 8))) for _ in range(chance.randint(60, 400))]
+    words = [w + "." * (chance.random() < 0.1) for w in words]
+    words = [w.capitalize() if chance.random() < 0.1 else w for w in words]
+    return "\n".join(" ".join(words[at : at + 20]) for at in range(0, len(words), 20))
+
+
+def test_each_statistic_alone_rejects(spark):
+    chance = random.Random(11)
+    docs = [(n, "en", "s", sound_text(chance)) for n in range(300)]
+    docs += [(1000 + n, "en", "s", odd_text(kind, chance)) for n, kind in enumerate(quality_rules.STATISTICS)]
+    rows = quality_rules.judge(spark, spark.createDataFrame(docs, "doc_id bigint, lang string, source string, text string"))
+    got = {r.doc_id: r for r in rows.collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[1000 + n].kept for n in range(quality_rules.D)] == [False] * quality_rules.D
+    assert sum(got[n].kept for n in range(300)) >= 299
+
+
+def test_distance_is_mahalanobis_with_the_counting_variance():
+    chance = np.random.default_rng(4)
+    root = chance.normal(0, 0.2, (quality_rules.D,) * 2)
+    scatter, x, m = root @ root.T, chance.normal(0, 1, quality_rules.D), chance.normal(0, 1, quality_rules.D)
+    inverse = np.linalg.inv(scatter)
+    w = np.array([[inverse[i, j] for i, j in quality_rules.PAIRS]])
+    far = quality_rules.final_distances(x[None], np.full((1, quality_rules.D), 1e9), m[None], w)[0]
+    assert np.isclose(far * quality_rules.CONSISTENCY, (x - m) @ inverse @ (x - m))
+    short = quality_rules.final_distances(x[None], np.full((1, quality_rules.D), 2.0), m[None], w)[0]
+    assert 0 < short < far
+
+
+def test_cutoff_and_consistency_are_those_of_chi_squared():
+    from math import exp, factorial
+
+    def above(x, degrees):
+        return exp(-x / 2) * sum((x / 2) ** j / factorial(j) for j in range(degrees // 2))
+
+    assert abs(above(quality_rules.CUTOFF, quality_rules.D) / quality_rules.LEVEL - 1) < 1e-3
+    assert abs(1 - above(7.841, quality_rules.D) - quality_rules.SUPPORT) < 1e-4
+    assert abs(quality_rules.SUPPORT / (1 - above(7.841, quality_rules.D + 2)) - quality_rules.CONSISTENCY) < 1e-3
