@@ -35,7 +35,7 @@ END = EOL + EOL
 BREAK = (VERSION + EOL).encode()
 CHUNK_BYTES = 64 << 10
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 200_000
+HEAD_BYTES = 16 << 10
 OUT_BYTES = 4 << 20
 
 
@@ -143,14 +143,18 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str) -> None:
 
     lines = rows.mapInArrow(run, "value string")
     writer = lines.write.option("lineSep", END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # One file a task, whatever the session says: a file never ends between the segments of a record.
+    writer.option("maxRecordsPerFile", 0).text(path)
 
 
 def parsed(value: memoryview) -> tuple[dict[str, str], memoryview]:
     """Header fields and block of a record as it is read."""
-    head = bytes(value[: 1 << 14])
+    size = HEAD_BYTES
+    while (end := (head := bytes(value[:size])).find(END.encode())) < 0:
+        if size >= len(value):
+            raise ValueError("record without the end of its header")
+        size *= 4
     begin = len(BREAK) if head.startswith(BREAK) else 0
-    end = head.index(END.encode(), begin)
     fields = dict(line.split(": ", 1) for line in head[begin:end].decode("utf-8").split(EOL))
     block = value[end + len(END) :][: int(fields["Content-Length"])]
     if len(block) != int(fields["Content-Length"]):

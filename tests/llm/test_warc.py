@@ -74,3 +74,23 @@ def test_odd_rows(spark):
         ("7", "response", "None", 0), ("None", "response", "None", 2000), ("None", "response", "None", 2000),
     ])
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
+
+
+def test_long_urls(spark):
+    pages = [(i, "data:," + "u" * n, "<p>text</p>" * 200 + str(i)) for i, n in enumerate((16_000, 16_384, 100_000, 1_000_000))]
+    pages.append((9, "é" * 100_000, "x" * 200_000))
+    got = {r.page_id: r for r in warc.round_trip(spark, spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert {k: r.payload_digest for k, r in got.items()} == {i: hashlib.sha1(t.encode()).hexdigest() for i, _, t in pages}
+
+
+def test_no_file_ends_within_a_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 2, raising=False)
+    name = "spark.sql.files.maxRecordsPerFile"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        pages = spark.createDataFrame([(i, "u", str(i) * (3 * warc.CHUNK_BYTES)) for i in range(5)], SCHEMA).coalesce(1)
+        got = warc.round_trip(spark, pages).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, 3 * warc.CHUNK_BYTES) for i in range(5)]
