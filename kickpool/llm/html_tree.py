@@ -2,6 +2,9 @@
 
 Comments, scripts, styles and the head are left out while reading. Inline elements belong to the
 block they stand in. A missing end tag is supplied where a block begins or the enclosing one ends.
+A head without end tag ends at the first tag or text that may not stand in it, a title at the next
+tag; a script or style without end tag reaches to the end of the page, as in browsers; of other
+unread elements without end tag only the tag is left out.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ import re
 # Fixed values of the HTML standard, as far as they matter for the division into blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("script style template noscript iframe object svg math head title canvas audio video".split())
+UNREAD_TO_END = frozenset(("script", "style"))
+UNREAD_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in UNREAD}
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
     "samp small span strike strong sub sup time tt u var wbr img br".split()
@@ -120,7 +126,9 @@ def read(page: str, truths: bool = False) -> tuple[list[Block], list[tuple[int,
     pieces: list[tuple[int, str]] = []
     stack = [0]  # open blocks
     links = 0  # whether a link is open
-    seen, at, skip = 0, 0, None
+    seen, at = 0, 0
+    in_head = False
+    unclosed: set[str] = set()  # unread elements without an end tag in the rest of the page
 
     def text(raw: str) -> None:
         nonlocal seen
@@ -138,20 +146,24 @@ def read(page: str, truths: bool = False) -> tuple[list[Block], list[tuple[int,
                     block.link_chars += n
                 seen += n
 
-    for found in TOKEN.finditer(page):
+    while found := TOKEN.search(page, at):
         begin = found.start()
-        if skip is None:
-            if begin > at:
+        if begin > at:
+            in_head = in_head and page[at:begin].isspace()
+            if not in_head:
                 text(page[at:begin])
         name = found["name"]
-        if skip is not None:
-            if name is not None and found["end"] and name.lower() == skip:
-                skip, at = None, found.end()
-            continue
         at = found.end()
         if name is None:
             continue
         name = name.lower()
+        if in_head:
+            if found["end"]:
+                in_head = name not in ("head", "body", "html", "br")
+                continue
+            in_head = name in HEAD
+            if in_head and name not in UNREAD:
+                continue
         if found["end"]:
             if name == "a":
                 links = 0
@@ -165,8 +177,19 @@ def read(page: str, truths: bool = False) -> tuple[list[Block], list[tuple[int,
                         break
             continue
         if name in UNREAD:
-            if not found["attrs"].endswith("/"):
-                skip = name
+            if name == "head":
+                in_head = True
+            elif not found["attrs"].endswith("/"):
+                end = None if name in unclosed else UNREAD_END[name].search(page, at)
+                if end:
+                    at = end.end()
+                    continue
+                unclosed.add(name)
+                if name in UNREAD_TO_END:
+                    at = len(page)
+                elif name == "title":
+                    tag = page.find("<", at)
+                    at = tag if tag >= 0 else len(page)
             continue
         if name in INLINE or name in VOID:
             if name == "a":
@@ -200,7 +223,7 @@ def read(page: str, truths: bool = False) -> tuple[list[Block], list[tuple[int,
             blocks[-1].truth = int(told[1]) if told else blocks[parent].truth
         blocks[parent].children.append(len(blocks) - 1)
         stack.append(len(blocks) - 1)
-    if skip is None and at < len(page):
+    if at < len(page) and not (in_head and page[at:].isspace()):
         text(page[at:])
     for block in blocks:
         block.sum_chars, block.sum_links, block.sum_marks = block.chars, block.link_chars, block.marks

@@ -105,3 +105,26 @@ def test_odd_pages(spark):
     assert texts[1] == texts[2] == texts[3] == ""
     assert texts[5] == "plain text, no tags"
     assert extraction.main_texts(spark, table_.limit(0), extraction.train(table_.limit(0))).count() == 0
+
+
+def read_text(page):
+    blocks, pieces = read(page)
+    return joined(pieces, [True] * len(blocks))
+
+
+def test_missing_end_tags_of_unread_elements():
+    head = "<html><head><meta charset=utf-8><title>t</title><script>if (a<b) x = '<p>no</p>';</script><style>p{}</style>"
+    for rest in ("<body><p>one</p>", "<p>one", "one", "</head>one", "<!-- c --> <body>one", "<div>one</div></body></html>"):
+        assert read_text(head + rest) == "one", rest
+    assert read_text("<head><title>no<body><p>one") == "one"
+    assert read_text("<head><title>no") == ""
+    assert read_text("<p>one<canvas>two<svg><p>three") == "onetwo three"
+    assert read_text("<p>one<svg><p>no</p></svg>two") == "onetwo"
+    assert read_text("<p>one<script><!-- x </script>two<script>no") == "onetwo"
+    assert len(read("<head><meta a><link b></head><p>x")[0]) == 2 and read("<head><meta a></head><p>x")[0][0].tags == 0
+
+
+def test_pages_without_head_end(spark):
+    given = [r.html for r in table(spark, MEDIUM, "pages").orderBy("page_id").limit(60).collect()]
+    cut = [p.replace("</head>", "") for p in given]
+    assert cut != given and [read_text(p) for p in cut] == [read_text(p) for p in given]
