@@ -1,18 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are lower-cased and stripped of all but letters and digits. Three fixed masks, each taking
+Words are lower-cased and stripped of all but letters and digits; in scripts without blanks each
+letter is a word. Three fixed masks, each taking
 five of nine positions, are hashed at every position of the test items and of the documents; a
 position that a mask ignores may differ. Together the masks hit every window of 12 words with two
 substitutions and every window of 15 with three. A common hash names a diagonal of a document and
 an item; on it the longest window with at least ``SIMILARITY`` equal words is taken exactly, and
 it counts if it has ``MIN_WORDS`` words, or the whole item where that is shorter.
 
+Items shorter than ``MIN_WORDS`` have runs of words as seeds. An item shorter than a mask spans
+(9) is one run and must occur exactly. One of 9 to 11 words may differ in one or two words, so it
+is divided into two or three runs, of which one must be unchanged. Documents are hashed only for
+lengths of runs that the test set has.
+
 The test set is taken in blocks of about ``BLOCK_CHARS`` characters, chosen by hash, so what is
 sent to the workers has a fixed size however large the test set is; each block passes over all
 documents. There is no shuffle of documents or of their hashes.
 
-Defined results: null and empty texts overlap with nothing; items with fewer words than a mask
-spans (9) are no evidence and match nothing; equal items are all reported; repeated rows are
+Defined results: null and empty texts, and those without letter or digit, overlap with nothing; equal items are all reported; repeated rows are
 reported each; an empty table on either side gives no rows (or removes nothing).
 """
 
@@ -38,7 +43,12 @@ BLOCK_CHARS = 4 << 20
 CACHE_WORDS = 300_000
 CHUNK = 1 << 19
 NOT_WORD = re.compile(r"[\W_]+")
+# Thai, Lao, Myanmar, Khmer, kana, Han.
+NO_BLANKS = re.compile(
+    "([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])"
+)
 MIX = np.random.default_rng(7).integers(0, 1 << 63, (len(MASKS), 5), np.uint64) * np.uint64(2) + np.uint64(1)
+RUN_MIX = np.random.default_rng(8).integers(0, 1 << 63, SPAN, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class WordHashes(dict):
@@ -57,7 +67,10 @@ HASHES = WordHashes()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").split()
+    text = text or ""
+    if not text.isascii() and NO_BLANKS.search(text):
+        text = NO_BLANKS.sub(r" \1 ", text)
+    words = text.split()
     made = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     return made[made != 0]
 
@@ -71,6 +84,24 @@ def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
+def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` words at each start."""
+    n = max(len(hashes) - length + 1, 0)
+    total = np.full(n, length, np.uint64)
+    for at in range(length):
+        total += hashes[at : at + n] * RUN_MIX[at]
+    return total ^ (total >> np.uint64(29))
+
+
+def runs(n: int) -> list[tuple[int, int]]:
+    """``begin, end`` of the runs of an item of ``n`` words, one of which any overlap holds."""
+    if n >= MIN_WORDS:
+        return []
+    parts = 1 if n < SPAN else 1 + int(n * (1 - SIMILARITY) + 1e-9)
+    borders = [n * i // parts for i in range(parts + 1)]
+    return list(zip(borders, borders[1:]))
+
+
 def longest_window(equal: np.ndarray) -> tuple[int, int]:
     """Longest stretch ``[i, j)`` in which at least ``SIMILARITY`` of the places are equal."""
     gain = np.concatenate(([0.0], np.cumsum(np.where(equal, 1 - SIMILARITY, -SIMILARITY) + 1e-12)))
@@ -91,32 +122,41 @@ class Items:
     at: np.ndarray
     shift: np.uint64
     known: np.ndarray
+    lengths: list[int]  # of runs
+    exact: np.ndarray  # words of each item that must occur exactly, else 0
 
     @staticmethod
     def of(rows: list[tuple]) -> Items:
-        rows = [(i, w) for i, w in ((i, word_hashes(t)) for i, t in rows) if len(w) >= SPAN]
+        rows = [(i, w) for i, w in ((i, word_hashes(t)) for i, t in rows) if len(w)]
         hashes, item, at = [np.empty(0, np.uint64)], [np.empty(0, int)], [np.empty(0, int)]
         for number, (_, words) in enumerate(rows):
-            for mask in range(len(MASKS)):
+            for mask in range(len(MASKS)) if len(words) >= MIN_WORDS else ():
                 made = seeds(words, mask)
                 hashes.append(made)
                 item.append(np.full(len(made), number))
                 at.append(np.arange(len(made)))
+            for begin, end in runs(len(words)):
+                hashes.append(run_hashes(words[begin:end], end - begin))
+                item.append(np.array([number]))
+                at.append(np.array([begin]))
         hashes, item, at = np.concatenate(hashes), np.concatenate(item), np.concatenate(at)
         order = np.argsort(hashes, kind="stable")
         bits = min(26, max(16, int(len(hashes) * 64).bit_length()))
         known = np.zeros(1 << bits, bool)
         shift = np.uint64(64 - bits)
         known[hashes >> shift] = True
-        return Items([i for i, _ in rows], [w for _, w in rows], hashes[order], item[order], at[order], shift, known)
+        lengths = sorted({end - begin for _, w in rows for begin, end in runs(len(w))})
+        exact = np.array([len(w) if len(w) < SPAN else 0 for _, w in rows], int)
+        ids, words = [i for i, _ in rows], [w for _, w in rows]
+        return Items(ids, words, hashes[order], item[order], at[order], shift, known, lengths, exact)
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``position, item, position in the item`` of each common seed hash."""
         found = []
         for begin in range(0, len(hashes), CHUNK):
             part = hashes[begin : begin + CHUNK + SPAN - 1]
-            for mask in range(len(MASKS)):
-                made = seeds(part, mask)
+            kinds = [seeds(part, mask) for mask in range(len(MASKS))]
+            for made in kinds + [run_hashes(part, length)[:CHUNK] for length in self.lengths]:
                 place = np.flatnonzero(self.known[made >> self.shift])
                 low = np.searchsorted(self.hashes, made[place], "left")
                 n = np.searchsorted(self.hashes, made[place], "right") - low
@@ -138,7 +178,13 @@ class Items:
         if not len(place):
             return
         row = np.searchsorted(begins, place, "right") - 1
+        whole = place + self.exact[item] <= begins[row + 1]
+        row, item, place, at = row[whole], item[whole], place[whole], at[whole]
         diagonals = np.unique(np.stack([row, item, place - begins[row] - at], axis=1), axis=0)
+        # Of an item that must occur exactly, the last place is enough.
+        last = np.ones(len(diagonals), bool)
+        last[:-1] = (diagonals[1:, :2] != diagonals[:-1, :2]).any(axis=1)
+        diagonals = diagonals[last | (self.exact[diagonals[:, 1]] == 0)]
         best: dict[tuple, tuple] = {}
         for row, item, diagonal in diagonals.tolist():
             doc, words = docs[row], self.words[item]

@@ -88,3 +88,28 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert d.overlaps(spark, no_docs, items).count() == 0
     assert d.overlaps(spark, odd_docs, items.limit(0)).count() == 0
     assert d.remove_contaminated(spark, odd_docs, items.limit(0)).count() == odd_docs.count()
+
+
+def test_short_items_by_brute_force():
+    """Lengths 1 to 12: exact under nine words, else every choice of as many substitutions as allowed."""
+    for length in range(1, 13):
+        item = [f"w{i}" for i in range(length)]
+        block = d.Items.of([(length, " ".join(item))])
+        allowed = 0 if length < d.SPAN else int(length * (1 - d.SIMILARITY) + 1e-9)
+        for misses in range(allowed + 2):
+            texts = []
+            for gone in itertools.combinations(range(length), misses):
+                texts.append("x y z " + " ".join("other" if i in gone else w for i, w in enumerate(item)) + " u v")
+            rows = {row for row, *_ in block.overlaps(["w0", *texts, *texts[:1]])} - {0}
+            assert len(rows) == (len(texts) + min(1, len(texts)) if misses <= allowed else 0), (length, misses)
+        if length > 1:  # not across the border of two documents
+            assert not list(block.overlaps([" ".join(item[:1]), " ".join(item[1:])]))
+
+
+def test_scripts_without_blanks(spark):
+    items = [(1, "\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3059\u304b"), (2, "\u0e01\u0e02\u0e04\u0e07\u0e08"), (3, "\u6771\u5317")]
+    docs = [(1, "\u4eca\u65e5" + items[0][1] + "\u3002\u6771\u897f"), (2, "x " + items[1][1] + "\u0e09"), (3, "Tokyo"), (4, "who wrote it?")]
+    items.append((4, "Who wrote it"))
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in d.overlaps(spark, docs, items).collect()} == {(1, 1), (2, 2), (4, 4)}
+    assert [r.doc_id for r in d.remove_contaminated(spark, docs, items).collect()] == [3]
