@@ -2,7 +2,9 @@
 
 A text is lower-cased; runs of non-letters become one blank. It is read in segments of about
 ``SEGMENT`` signs. The blended spectrum of a segment is the set of its character n-grams of one to
-three signs, and the kernel of two segments is the number of shared n-grams over the root of the
+three signs. Those of blanks and the ``SIGNS - 2`` most frequent letters of the sample have a number
+each; those with any other letter are hashed by code points into ``WIDE`` numbers, so no letter
+counts as another, of whatever script. The kernel of two segments is the number of shared n-grams over the root of the
 product of the set sizes. Presence in segments, not in the text as a whole, lets the language of
 most of a text decide where a passage of another one stands in it.
 
@@ -11,8 +13,9 @@ segments, weighted by length; one-versus-rest kernel ridge regression gives a va
 Texts are scored in batches of segments: presence rows times landmark columns, times coefficients
 (the last two are multiplied once).
 
-Training sees a bounded sample: of the ``LANGUAGES`` most frequent languages, ``PER_LANGUAGE``
-labelled rows each, those with the smallest hash of their id. Only landmark segments and kernel
+Training sees a bounded sample of every language: ``PER_LANGUAGE`` labelled rows each, those with the
+smallest hash of their id; ``SAMPLE_ROWS`` over the languages, but ``LEAST_ROWS`` each at least, if
+there are many. Only landmark segments and kernel
 rows (a number per landmark) reach the driver, never texts. Scoring reads every whole text and
 needs no shuffle.
 
@@ -32,24 +35,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kickpool.llm.common import lowest_hashes, map_slices, written
 
-LANGUAGES = 128
 PER_LANGUAGE = 300
+SAMPLE_ROWS = 128 * PER_LANGUAGE
+LEAST_ROWS = 20
 LANDMARKS = 128
 RIDGE = 1e-3
 SHARPNESS = 8.0
 MIN_SCORE = 0.3
 UNKNOWN = "und"
 SEGMENT = 1000
-# Signs: 0 blank, 1 any other letter, then the most frequent letters of the sample.
+# Signs: 0 blank, 1 any other letter (told apart by code point), then the most frequent letters of the sample.
 SIGNS = 64
-GRAMS = SIGNS + SIGNS**2 + SIGNS**3
+EXACT = SIGNS + SIGNS**2 + SIGNS**3
+WIDE = 1 << 22
+GRAMS = EXACT + WIDE
+POINT_MIX = np.random.default_rng(9).integers(0, 1 << 63, 6, np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK = 1 << 20
 BATCH = 64
 
 
 @dataclass
 class Alphabet:
-    """Sign of each code point of the basic plane; letters above it are other letters."""
+    """Sign of each code point of the basic plane; letters above it have the sign of other letters."""
 
     signs: np.ndarray
 
@@ -61,8 +68,8 @@ class Alphabet:
                 signs[letter] = sign
         return Alphabet(signs)
 
-    def read(self, text: str) -> np.ndarray:
-        """Signs of a text between two blanks, blanks never in a row."""
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Signs of a text between two blanks, blanks never in a row, and code points (0 for blanks)."""
         points = code_points(text)
         signs = np.zeros(len(points) + 2, np.intp)
         if len(points) and points.max() > 0xFFFF:
@@ -74,20 +81,26 @@ class Alphabet:
         filled = signs != 0
         keep = np.ones(len(signs), bool)
         np.logical_or(filled[1:], filled[:-1], out=keep[1:])
-        return signs[keep]
+        letters = np.zeros(len(signs), np.uint64)
+        letters[1:-1] = points
+        letters[~filled] = 0
+        return signs[keep], letters[keep]
 
     def segments(self, text: str | None) -> Iterator[tuple[np.ndarray, int]]:
         """Distinct n-grams, sorted, and length of each segment of a whole text that has a letter."""
         text = text or ""
-        found = np.zeros(GRAMS, bool)
+        found = np.zeros(EXACT, bool)
         eights = found.view(np.uint64)
         for at in range(0, len(text), CHUNK):
-            signs = self.read(text[at : at + CHUNK])
+            signs, letters = self.read(text[at : at + CHUNK])
+            others = bool((signs == 1).any())
             count = max(1, round(len(signs) / SEGMENT))
             borders = np.linspace(0, len(signs), count + 1).astype(int).tolist()
             for begin, end in zip(borders, borders[1:]):
                 part = signs[begin : end + 2]
-                if part.any():
+                if others and (part == 1).any():
+                    yield mixed_grams(part, letters[begin : end + 2]), end - begin
+                elif part.any():
                     pairs = part[:-1] * SIGNS + part[1:]
                     found[part] = True
                     found[SIGNS + pairs] = True
@@ -98,6 +111,23 @@ class Alphabet:
                     yield 8 * used[group] + place, end - begin
 
 
+def mixed_grams(signs: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Distinct n-grams of a segment; those with another letter are hashed."""
+    pairs = signs[:-1] * SIGNS + signs[1:]
+    exact = (signs, SIGNS + pairs, SIGNS + SIGNS**2 + pairs[:-1] * SIGNS + signs[2:])
+    made = []
+    for n, grams in enumerate(exact, 1):
+        size = len(signs) - n + 1
+        other, total = np.zeros(size, bool), np.full(size, n, np.uint64)
+        for i in range(n):
+            other |= signs[i : i + size] == 1
+            total += (letters[i : i + size] + np.uint64(1)) * POINT_MIX[n * (n - 1) // 2 + i]
+        total ^= total >> np.uint64(31)
+        total *= POINT_MIX[0]
+        made.append(np.where(other, EXACT + (total >> np.uint64(42)).astype(np.intp), grams))
+    return np.unique(np.concatenate(made))
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -178,8 +208,9 @@ def sample_rows(labelled: DataFrame) -> DataFrame:
     """``doc_id, lang, text, place`` of the bounded training sample, places within a language."""
     ids = labelled.select("doc_id", "lang")
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    frequent = sizes.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
-    chosen = lowest_hashes(ids, "lang", "doc_id", PER_LANGUAGE, frequent)
+    languages = max(sizes.count(), 1)
+    each = min(PER_LANGUAGE, max(LEAST_ROWS, SAMPLE_ROWS // languages))
+    chosen = lowest_hashes(ids, "lang", "doc_id", each, sizes)
     chosen = chosen.groupBy("doc_id").agg(F.min("place").alias("place"))
     return labelled.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "place")
 

@@ -82,3 +82,41 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert language.identify(spark, no_docs, model).count() == 0
     untrained = language.train(spark, no_docs)
     assert {r.lang_pred for r in language.identify(spark, odd_docs, untrained).collect()} == {"und"}
+
+
+SCRIPTS = {"latin": 97, "cyrillic": 0x430, "greek": 0x3B1, "hebrew": 0x5D0, "devanagari": 0x915, "hangul": 0xAC00, "han": 0x4E00, "gothic": 0x10330}
+
+
+def made_up(first, chance, n=120):
+    """Words of 20 letters from ``first`` on."""
+    return " ".join("".join(chr(first + chance.randrange(20)) for _ in range(chance.randint(2, 7))) for _ in range(n))
+
+
+def test_many_scripts_are_told_apart(spark):
+    import random
+
+    chance = random.Random(5)
+    rows = [(i, name, made_up(first, chance)) for i, (name, first) in enumerate(list(SCRIPTS.items()) * 12)]
+    # the rare scripts come last, so the frequent letters are of the others
+    rows += [(1000 + i, name, made_up(SCRIPTS[name], chance, 400)) for i, name in enumerate(["latin", "cyrillic", "greek"] * 10)]
+    model = language.train(spark, spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    got = model.predict([made_up(first, chance) for first in SCRIPTS.values()])[0]
+    assert got == list(SCRIPTS)
+
+
+def test_grams_with_other_letters_are_those_of_the_text():
+    texts = ["аб вг", "аб вд", "abc жзи abc", "\U00010330\U00010331 x", "漢字かな"]
+    alphabet = language.Alphabet.of([ord("a"), ord("b")])
+    grams = [set(next(alphabet.segments(t))[0].tolist()) for t in texts]
+    sets = [spectrum(t) for t in texts]
+    for a, b in zip(grams, sets):
+        assert len(a) == len(b)
+        for c, d in zip(grams, sets):
+            assert len(a & c) == len(b & d)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(2 * i + j, f"l{i:03d}", " ".join([chr(0x4E00 + 3 * i) + chr(0x4E01 + 3 * i)] * 20)) for i in range(140) for j in range(2)]
+    model = language.train(spark, spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    assert len(model.languages) == 140
+    assert model.predict([r[2] for r in rows[::2]])[0] == [r[1] for r in rows[::2]]
