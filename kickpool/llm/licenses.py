@@ -6,7 +6,7 @@ of an entire canonical text is looked up among the digests of known licence text
 Entire texts are the document, each of its paragraphs and each of its lines, so a licence that
 stands alone and a notice within a document are both found, but never a part of a sentence.
 
-All steps are DataFrame expressions. Only units that hold one of the ``STEMS`` are made canonical;
+All steps are DataFrame expressions. Only units that hold one of the ``FULL_STEMS`` are made canonical;
 every known text holds one, so nothing is lost. Units meet the known digests before anything is
 grouped; results are grouped per id with partial aggregation.
 
@@ -78,7 +78,62 @@ WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
 NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE
 OF THIS SOFTWARE.""",
 }
+BSD_TEXT = """{title}Copyright (c) [year] [fullname]
+{reserved}
+Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met:
+
+{one}Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer.
+
+{two}Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the
+distribution.
+
+{clause}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {holder} OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER
+IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_CLAUSE = """{three}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.
+
+"""
+BSD_TITLES = {
+    "BSD-2-Clause": ("", "BSD 2-Clause License\n\n", "The 2-Clause BSD License\n\n"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License\n\n", "The 3-Clause BSD License\n\n"),
+}
+# MD5 of the canonical form of longer licences: entire, and without the appendix on how to apply it,
+# with or without the line that ends the terms.
+FULL_DIGESTS = {
+    "Apache-2.0": (
+        "8b388f653256b5555100b321c7a6e18d",
+        "b823f8203a4903faa2e503e8ec24322f",
+        "ce5a8034aa42582b915fa72dce302870",
+    ),
+    "GPL-2.0": (
+        "fd4af37107430db3160fe7cb063ceb0d",
+        "ee8c3bf33a348a7a98f35400c6911146",
+        "580929bc5911f4544f06e80dd820f293",
+    ),
+    "GPL-3.0": (
+        "c88bd197dceaa9b740c25d8ed3a6f8ac",
+        "c9fc25023b340c4fe9c690acf426f2bb",
+        "142c4e579177b776f1488343104fb878",
+    ),
+    "LGPL-3.0": (
+        "372bb695d7cea4477e001ffe3dca6543",
+    ),
+    "MPL-2.0": (
+        "8d78f4291a1c76f2ffb2e7f4a8ed40f2",
+    ),
+}
 STEMS = ("licens", "licenc", "released under", "distributed under", "permission")
+# The two-clause text without title holds none of these.
+FULL_STEMS = (*STEMS, "redistribution and use")
 # Applied in this order to the lower-case text, each everywhere.
 LEVELLING = (
     ("(^|\n)[ \t*#/;-]*(copyright|\\(c\\)|©)[^\n]*", "\n"),
@@ -116,19 +171,44 @@ def known_rows() -> list[tuple[str, str]]:
     return notices + list(TEXTS.items())
 
 
+def bsd_rows() -> list[tuple[str, str]]:
+    """``license, text`` of the usual forms of the BSD texts: title, numbers, holder or owner."""
+    made = []
+    for name, titles in BSD_TITLES.items():
+        for title in titles:
+            for reserved in ("", "All rights reserved.\n"):
+                for one, two, three in (("", "", ""), ("1. ", "2. ", "3. ")):
+                    for holder in ("HOLDER", "OWNER"):
+                        clause = BSD_CLAUSE.format(three=three) if name == "BSD-3-Clause" else ""
+                        text = BSD_TEXT.format(
+                            title=title, reserved=reserved, one=one, two=two, clause=clause, holder=holder
+                        )
+                        made.append((name, text))
+    return made
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(known_rows(), "license string, text string")
+    """``license, text, digest`` of the built-in texts; those known by digest only have no text."""
+    rows = [(name, text, None) for name, text in known_rows() + bsd_rows()]
+    rows += [(name, None, digest) for name, some in FULL_DIGESTS.items() for digest in some]
+    return spark.createDataFrame(rows, "license string, text string, digest string")
 
 
 def digests(known: DataFrame) -> DataFrame:
-    """``digest, license`` of ``license, text`` rows, one licence per digest."""
-    made = known.where("license IS NOT NULL AND text IS NOT NULL").withColumn("digest", F.md5(canonical("text")))
+    """``digest, license`` of ``license, text`` rows, one licence per digest.
+
+    A row without text may bring the digest of its canonical form in a column ``digest``.
+    """
+    digest = F.md5(canonical("text"))
+    if "digest" in known.columns:
+        digest = F.coalesce(digest, F.col("digest"))
+    made = known.select("license", digest.alias("digest")).where("license IS NOT NULL AND digest IS NOT NULL")
     return made.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``doc_id, license, notices, n_notices``: the licence a whole text is, those named inside."""
-    stem = F.lower("text").rlike("|".join(STEMS))
+    stem = F.lower("text").rlike("|".join(FULL_STEMS))
     hits = docs.select("doc_id", "text").where(stem)
     lines = F.transform(F.split("text", "\n"), lambda t: F.struct(F.lit(2).alias("kind"), t.alias("unit")))
     paragraphs = F.transform(
@@ -139,7 +219,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("unit")))
     units = F.concat(whole, F.coalesce(several, F.expr("array()").cast("array<struct<kind:int,unit:string>>")), lines)
     unit = hits.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*")
-    unit = unit.where(F.lower("unit").rlike("|".join(STEMS)))
+    unit = unit.where(F.lower("unit").rlike("|".join(FULL_STEMS)))
     found = unit.select("doc_id", "kind", F.md5(canonical(F.col("unit"))).alias("digest")).join(
         digests(known), "digest"
     )

@@ -45,3 +45,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert licenses.scan(no_docs, known).count() == 0
     none = spark.createDataFrame([], "license string, text string")
     assert licenses.scan(odd_docs, none).where("n_notices > 0").count() == 0
+
+
+def test_every_bsd_text(spark):
+    rows = licenses.bsd_rows()
+    got = found(spark, *(text.replace("[year] [fullname]", "2020, A. Body").replace("\n", "\r\n") for _, text in rows))
+    assert [licence for licence, _ in got] == [name for name, _ in rows]
+    assert all(any(s in text.lower() for s in licenses.FULL_STEMS) for _, text in rows)
+
+
+def test_entire_longer_licences(spark):
+    """Texts as a Debian system holds them; the table itself needs only their digests."""
+    from pathlib import Path
+
+    import pytest
+
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    if not all((folder / f).exists() for f in files.values()):
+        pytest.skip("no licence texts here")
+    texts = [(folder / f).read_text() for f in files.values()]
+    got = found(spark, *texts, *(" ".join(t.upper().split(" ")) for t in texts), *(t + "\nand more" for t in texts))
+    assert [licence for licence, _ in got] == [*files, *files, *[None] * len(files)]
