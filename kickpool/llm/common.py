@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from kickpool.session import fresh_path
 
-# Rows of an Arrow batch are handled in slices, so a batch of long texts is never held twice.
+# Rows of an Arrow batch are handled in slices, so a batch of long texts is never held twice. A
+# slice ends with the row that fills its bytes, so at most one text goes beyond them.
 SLICE_ROWS = 512
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +61,24 @@ def lowest_hashes(rows: DataFrame, group: str, key: str, n: int, sizes: DataFram
     return some.withColumn("place", place).where(F.col("place") <= n).drop("_hash", "n")
 
 
+def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row's text and binary columns."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return total
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        ends = np.cumsum(row_bytes(batch))
+        at = 0
+        while at < batch.num_rows:
+            filled = SLICE_BYTES + (ends[at - 1] if at else 0)
+            end = min(int(np.searchsorted(ends, filled)) + 1, at + SLICE_ROWS, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def map_slices(

@@ -17,6 +17,7 @@ from kickpool.llm import (
     quality_model,
     quality_rules,
     simhash,
+    token_counts,
     warc,
 )
 from kickpool.llm.common import crc_of, table
@@ -81,6 +82,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(spark, docs, machine).select("doc_id", held_out, "score", "predicted")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_extraction": op8_extraction,
     "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
+    "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 WARC_SQL = """
