@@ -13,6 +13,7 @@ from kickpool.llm import (
     extraction,
     language,
     licenses,
+    merkle,
     packing,
     quality_model,
     quality_rules,
@@ -82,6 +83,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(spark, docs, machine).select("doc_id", held_out, "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark, table(spark, sf_dir, "documents")).drop("proof")
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_extraction": op8_extraction,
     "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
@@ -116,4 +122,5 @@ ORACLES: dict[str, str] = {
     "op4_licenses": licenses.scan_sql(),
     "op7_chat": chat.SQL,
     "op9_warc": WARC_SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
