@@ -19,6 +19,7 @@ from kickpool.llm import (
     quality_rules,
     simhash,
     token_counts,
+    trie,
     warc,
 )
 from kickpool.llm.common import crc_of, table
@@ -87,6 +88,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark, table(spark, sf_dir, "documents")).drop("proof")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark, table(spark, sf_dir, "conversations"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_quality_model": op10_quality_model,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
@@ -123,4 +129,5 @@ ORACLES: dict[str, str] = {
     "op7_chat": chat.SQL,
     "op9_warc": WARC_SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_prefix_trie": trie.SQL,
 }
