@@ -7,11 +7,13 @@ segments. Spark's text writer puts the records into gzip files in the cluster's
 Reading: such a file is never split, so a record's segments come in order, and one pass joins
 their digests and lengths without a shuffle. ``stream_chunks`` gives the chunk rows again.
 
-A payload never holds the line that begins a record: chunks are also cut inside such a line, so
-the reader can part records at it. Of equal payloads of ``REVISIT_BYTES`` or more, the row with
+The reader parts records at the line that begins one. No part of that line but its whole can be
+its beginning, so a read buffer may end anywhere within it; and it occurs nowhere else: chunks are
+also cut inside such a line, and where the record's end would complete one. Whatever follows a
+block but its record's end raises. Of equal payloads of ``REVISIT_BYTES`` or more, the row with
 the largest id is written, the others are ``revisit`` records that refer to it. They are found on
-narrow rows (id, length, digest), aggregated before the shuffle; payloads move once, to meet that
-decision, unless the decisions are small enough for Spark to send them to the payloads.
+narrow rows (id, length, digest), aggregated before the shuffle. These decisions are sent to the
+payloads while they take up to ``SENT_BYTES``; beyond it payloads move once, to meet them.
 
 Defined results: a null payload is empty; a null id takes part, but is referred to by no row and
 refers to the largest id; if all ids of a group are null, or the largest occurs twice, each of
@@ -36,6 +38,7 @@ BREAK = (VERSION + EOL).encode()
 CHUNK_BYTES = 64 << 10
 REVISIT_BYTES = 1000
 HEAD_BYTES = 16 << 10
+SENT_BYTES = 8 << 20
 OUT_BYTES = 4 << 20
 
 
@@ -49,6 +52,8 @@ def cuts(payload: memoryview) -> Iterator[int]:
         line = bytes(payload[begin : end + len(BREAK) - 1]).find(BREAK)
         if 0 <= line and begin + line < end:
             end = begin + line + 1
+        elif bytes(payload[max(end - len(VERSION), begin) : end]) == VERSION.encode():
+            end -= len(VERSION) - 1  # the record's end would make it such a line
         yield end
         begin = end
     if not n:
@@ -78,6 +83,7 @@ def buffers(column: pa.Array) -> Iterator[memoryview]:
 
 def header(fields: list[tuple[str, object]]) -> str:
     lines = [f"{name}: {value}" for name, value in fields if value is not None]
+    lines = [line + " " if line.endswith(VERSION) else line for line in lines]
     return EOL.join([VERSION, *lines]) + END
 
 
@@ -115,13 +121,17 @@ def decide(spark: SparkSession, pages: DataFrame) -> DataFrame:
     narrow = written(spark, narrow.where(F.col("bytes") >= REVISIT_BYTES), "warc-payloads")
     largest = narrow.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
     found = narrow.join(largest.where("n > 1 AND refers_to IS NOT NULL"), "digest")
-    return found.where("NOT page_id <=> refers_to").select("page_id", "digest", "refers_to").distinct()
+    found = found.where("NOT page_id <=> refers_to").select("page_id", "digest", "refers_to").distinct()
+    found = written(spark, found, "warc-revisits")
+    ids = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("page_id", "refers_to")]
+    size = found.agg(F.sum(ids[0] + ids[1] + 64)).first()[0] or 0
+    return F.broadcast(found) if size <= SENT_BYTES else found.hint("shuffle_hash")
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, path: str) -> None:
     """One WARC record, or row of segments, for each row of ``pages`` (``page_id, url, html``)."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    revisits = decide(spark, pages).hint("shuffle_hash").alias("r")
+    revisits = decide(spark, pages).alias("r")
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest")).alias("p")
     same = F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.digest") == F.col("r.digest"))
     rows = rows.join(revisits, same, "left").select("p.page_id", "p.url", "p.html", "r.refers_to")
@@ -154,16 +164,16 @@ def parsed(value: memoryview) -> tuple[dict[str, str], memoryview]:
         if size >= len(value):
             raise ValueError("record without the end of its header")
         size *= 4
-    begin = len(BREAK) if head.startswith(BREAK) else 0
-    fields = dict(line.split(": ", 1) for line in head[begin:end].decode("utf-8").split(EOL))
-    block = value[end + len(END) :][: int(fields["Content-Length"])]
-    if len(block) != int(fields["Content-Length"]):
-        raise ValueError(f"record {fields.get('WARC-Record-ID')} is cut short")
-    return fields, block
+    fields = dict(line.split(": ", 1) for line in head[:end].decode("utf-8").split(EOL))
+    begin, length = end + len(END), int(fields["Content-Length"])
+    if bytes(value[begin + length :]) != END.encode():
+        raise ValueError(f"record {fields.get('WARC-Record-ID')} is cut short or followed by other bytes")
+    return fields, value[begin : begin + length]
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", END + VERSION + EOL).text(path)
+    """Records without their first line; what stands before a file's first record is empty."""
+    return spark.read.option("lineSep", BREAK.decode()).text(path).where("value <> ''")
 
 
 def stream_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from compare import compare, oracle_connection
 from conftest_data import SMALL
 from kickpool.llm import warc
@@ -94,3 +96,55 @@ def test_no_file_ends_within_a_payload(spark, monkeypatch):
     finally:
         spark.conf.set(name, before)
     assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, 3 * warc.CHUNK_BYTES) for i in range(5)]
+
+
+ENDINGS = ["", "x", "\n", "\r", "\r\n", "\r\n\r\n", "\r\n\r\n\r\n", "\r\n\r\nW", "\r\n\r\nWARC/1.1", "WARC/1.1", "WARC/1.1\r", "WARC/1.1\r\n"]
+
+
+def same_pages(spark, rows):
+    pages = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(spark, pages).collect()}
+    want = {i: (len(t.encode()), hashlib.sha1(t.encode()).hexdigest()) for i, _, t in rows}
+    assert got == want
+
+
+def test_every_ending_at_every_offset_of_a_read_buffer(spark):
+    """Records one byte longer than a buffer, so their ends pass each offset within 60 bytes of one."""
+    for ending in ENDINGS:
+        size = 64_000 - len(ending)
+        size += (64 << 10) + 1 - len("".join(warc.records_of(100, "u", 100, memoryview(b"x" * size), None)) + warc.END)
+        same_pages(spark, [(i, "u", f"{i}" + "x" * (size - 3) + ending) for i in range(100, 230)])
+
+
+def test_many_small_pages_of_each_ending(spark):
+    rows = [(i, "http://a/WARC/1.1" if i % 3 else None, f"<p>{i}</p>" + ENDINGS[i % len(ENDINGS)]) for i in range(40_000)]
+    same_pages(spark, rows)
+
+
+def test_decisions_are_sent_only_while_small(spark, monkeypatch):
+    rows = [(i, "u", "same " * 300) for i in range(50)] + [(99, "u", "other " * 300)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+
+    def exchanges():
+        found = warc.decide(spark, pages)
+        plan = pages.join(found, ["page_id"], "left")._jdf.queryExecution().executedPlan().toString()
+        return "BroadcastHashJoin" in plan
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges()
+        monkeypatch.setattr(warc, "SENT_BYTES", 100)
+        assert not exchanges()
+        assert {r.record_type for r in warc.round_trip(spark, pages).collect()} == {"response", "revisit"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bytes_after_a_block_raise():
+    record = "".join(warc.records_of(1, "u", 0, memoryview(b"text"), None))[len(warc.BREAK) :]
+    fields, block = warc.parsed(memoryview((record + warc.END).encode()))
+    assert bytes(block) == b"text" and fields["Page-Id"] == "1"
+    for wrong in (record, record + warc.END + "x", record + "x" + warc.END, record[:-1] + warc.END):
+        with pytest.raises(ValueError):
+            warc.parsed(memoryview(wrong.encode()))
