@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from kickpool.functions import fixed_values as fv
 from kickpool.functions.text import strip_ws
@@ -21,6 +21,7 @@ MATCH_DEFAULTS = {
     "home_injury_level": 0,
     "away_injury_level": 0,
 }
+CHANGES = ("inserted", "updated", "unchanged")
 NEXT = "__next"  # ending of the folder that holds a table's replacement
 PREDICTION_DEFAULTS = {"model_version": "rule-v0.1", "reasons": "[]"}
 
@@ -71,11 +72,14 @@ def merge_rows(
     payload: DataFrame,
     key: Sequence[str],
     defaults: Mapping[str, object] | None = None,
+    change: str | None = None,
 ) -> DataFrame:
     """Insert-or-update as a DataFrame in the target's columns.
 
     A column the payload has overwrites, also with NULL. A column it lacks keeps the old
     value on update and takes its default on insert. A column the target lacks is an error.
+    ``change`` names a column that tells rows of the payload apart by ``CHANGES``; other rows have
+    NULL there.
     """
     defaults = defaults or {}
     require_known(payload.columns, target.columns)
@@ -91,22 +95,41 @@ def merge_rows(
             return F.when(F.col("_in_payload"), F.col(f"_new_{c}").cast(kind)).otherwise(F.col(c))
         return F.when(F.col("_in_target"), F.col(c)).otherwise(F.lit(defaults.get(c)).cast(kind))
 
-    return joined.select(*(F.col(c) if c in key else merged(c).alias(c) for c in target.columns))
+    columns = [F.col(c) if c in key else merged(c).alias(c) for c in target.columns]
+    if change is not None:
+        equal = [F.col(c).eqNullSafe(F.col(f"_new_{c}").cast(target.schema[c].dataType)) for c in given]
+        equal = reduce(lambda a, b: a & b, equal, F.lit(True))
+        kind = F.when(F.col("_in_target").isNull(), CHANGES[0]).when(~equal, CHANGES[1]).otherwise(CHANGES[2])
+        columns.append(F.when(F.col("_in_payload"), kind).alias(change))
+    return joined.select(*columns)
 
 
 def stored_table(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    partitions: Mapping[str, T.DataType] | None = None,
 ) -> DataFrame | None:
     """The table at a path, or None while nothing has been stored there.
 
-    With a schema, columns that older files lack are NULL, and partition values keep their text.
+    With a schema, columns that older files lack are NULL. Partition values are texts in the
+    names of folders and take the schema's types, or those of ``partitions``; with neither,
+    Spark types them by their look, so that ``01`` would be 1. While a replacement is being put
+    in place, its complete copy is read.
     """
+    path = path + NEXT if complete(spark, path + NEXT) else path
+    files, name = folder(spark, path)
+    if not files.exists(name):
+        return None
     try:
         found = spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
+    if schema is None and partitions:
+        kinds = ((f.name, partitions.get(f.name, f.dataType)) for f in found.schema.fields)
+        schema = T.StructType([T.StructField(name, kind) for name, kind in kinds])
     return found if schema is None else spark.read.schema(schema).parquet(path)
 
 
@@ -130,8 +153,9 @@ def complete(spark: SparkSession, path: str) -> bool:
 def publish(rows: DataFrame, path: str) -> None:
     """Replace an unpartitioned table so that a crash at any point loses nothing.
 
-    The new table is complete beside the old one before that is touched. While the copy is
-    there, an interrupted replacement is finished from it (``recover``).
+    The new table is complete beside the old one before that is touched, and is read from there
+    (``stored_table``) until it has its name. An interrupted replacement is finished by
+    ``recover``.
     """
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(path + NEXT)
@@ -139,10 +163,14 @@ def publish(rows: DataFrame, path: str) -> None:
 
 
 def recover(spark: SparkSession, path: str) -> None:
-    """Finish a replacement that was interrupted; drop a copy that never became complete."""
+    """Give a complete replacement the table's name; drop a copy that never became complete."""
+    files, copy = folder(spark, path + NEXT)
     if complete(spark, path + NEXT):
-        spark.read.parquet(path + NEXT).write.mode("overwrite").parquet(path)
-    remove_folder(spark, path + NEXT)
+        remove_folder(spark, path)
+        if not files.rename(copy, folder(spark, path)[1]):
+            raise OSError(f"cannot rename {path + NEXT}")
+    else:
+        remove_folder(spark, path + NEXT)
 
 
 def upsert_table(
@@ -152,15 +180,20 @@ def upsert_table(
     partition: str | None = None,
     defaults: Mapping[str, object] | None = None,
     schema: str | T.StructType | None = None,
-) -> None:
-    """Upsert into a parquet table, created on first use.
+    staged: bool = False,
+    checked: bool = False,
+) -> dict[str, int]:
+    """Upsert into a parquet table, created on first use; counts of the payload's rows by ``CHANGES``.
 
     With a ``schema`` the table has exactly its columns and types, and the payload is cast to
     them. Columns that the table does not know, incomplete and repeated keys are refused. With a
     ``partition`` column, which is part of the key, only the partitions that occur in the payload
-    are read and rewritten. Payload and merged rows are written to the shared folder first and
-    removed at the end: the payload is computed once, and the table is never overwritten while it
-    is read. Running the same upsert again after a failure gives the same table.
+    are read and rewritten, their values under the payload's type. Payload and merged rows are
+    written to the shared folder first and removed at the end: the payload is computed once, and
+    the table is never overwritten while it is read. The first upsert writes straight into the
+    table. ``staged`` says that the payload is read from written rows already, ``checked`` that
+    its keys are complete and unique. The counts are observed in the writing job itself. Running
+    the same upsert again after a failure gives the same table.
     """
     if partition is not None and partition not in key:
         raise ValueError("the partition column must be part of the upsert key")
@@ -171,40 +204,58 @@ def upsert_table(
         payload = conformed(payload, schema)
     if partition is None:
         recover(spark, path)
-    staged = [fresh_path(spark, "payload"), fresh_path(spark, "merged")]
+    copies = [fresh_path(spark, "payload"), fresh_path(spark, "merged")]
+    counts = Observation()
     try:
-        merged = _merged(path, payload, key, partition, defaults, schema, staged)
+        if not staged:
+            payload = written(payload, copies[0])
+        if not checked:
+            require_complete(payload, key)
+            require_unique(payload, key)
+        kinds = {partition: payload.schema[partition].dataType} if partition else None
+        target = stored_table(spark, path, schema, kinds)
+        if target is None:
+            rows = observed(_first_rows(payload, defaults or {}, schema).withColumn("_change", F.lit(CHANGES[0])), counts)
+        else:
+            rows = observed(_merged_rows(target, payload, key, partition, defaults), counts)
+            if partition is not None:
+                rows = written(rows, copies[1])
         if partition is None:
-            publish(merged, path)
+            publish(rows, path)
         else:
             # Rebalancing splits a partition that is much larger than the others over many tasks.
-            rows = merged.hint("rebalance", partition).write.mode("overwrite")
+            rows = rows.hint("rebalance", partition).write.mode("overwrite")
             rows.option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        return {name: int(counts.get[name]) for name in CHANGES}
     finally:
-        for copy in staged:
+        for copy in copies:
             remove_folder(spark, copy)
 
 
-def _merged(
-    path: str,
+def observed(rows: DataFrame, counts: Observation) -> DataFrame:
+    """The rows without ``_change``, whose values are counted while they are written."""
+    return rows.observe(counts, *(F.count_if(F.col("_change") == name).alias(name) for name in CHANGES)).drop("_change")
+
+
+def _first_rows(
+    payload: DataFrame, defaults: Mapping[str, object], schema: T.StructType | None
+) -> DataFrame:
+    """What the first upsert stores: the payload, with defaults and the schema's further columns."""
+    rows = with_column_defaults(payload, defaults)
+    if schema is None:
+        return rows
+    none = {f.name: F.lit(None) for f in schema.fields if f.name not in rows.columns}
+    return rows.withColumns(none).select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
+
+
+def _merged_rows(
+    target: DataFrame,
     payload: DataFrame,
     key: Sequence[str],
     partition: str | None,
     defaults: Mapping[str, object] | None,
-    schema: T.StructType | None,
-    staged: Sequence[str],
 ) -> DataFrame:
-    """The rows to store, computed from staged copies of the payload and of the merge."""
-    spark = payload.sparkSession
-    payload = written(payload, staged[0])
-    require_complete(payload, key)
-    require_unique(payload, key)
-    target = stored_table(spark, path, schema)
-    if target is None and schema is not None:
-        target = spark.createDataFrame([], schema)
-    if target is None:
-        return with_column_defaults(payload, defaults or {})
-    # Partition values come back typed by their look; the payload's types are the contract.
+    """The rows of the touched partitions, or of the table, after the merge."""
     kinds = {c: payload.schema[c].dataType for c in key}
     target = target.select(
         *(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in target.columns)
@@ -212,4 +263,4 @@ def _merged(
     if partition is not None:
         touched = payload.select(partition).distinct()
         target = target.join(touched, partition, "left_semi").select(*target.columns)
-    return written(merge_rows(target, payload, key, defaults), staged[1])
+    return merge_rows(target, payload, key, defaults, "_change")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kickpool.functions import fixed_values as fv, numbers, text
 from kickpool.operators import backtest, matches, scoring
-from kickpool.operators.upsert import stored_table, upsert_table
+from kickpool.operators.upsert import CHANGES, stored_table, upsert_table
 from kickpool.plans import season_views as views
 from kickpool.plans.oracle_parts import WS, number, stripped, with_parts
 from kickpool.plans.jobs import dashboard_from_csv, import_matches_csv
@@ -391,6 +391,40 @@ def results_update(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.round_backtest(picked)
 
 
+_CHANGED = "match_no % 5 = 0"
+
+
+@query(
+    "import_counts",
+    with_parts(
+        "games",
+        f"""SELECT CAST(step AS BIGINT) AS step, table_name, CAST(inserted AS BIGINT) AS inserted, CAST(updated AS BIGINT) AS updated,
+  CAST(unchanged AS BIGINT) AS unchanged FROM (
+  SELECT 1 AS step, 'rounds' AS table_name, count(DISTINCT round) AS inserted, 0 AS updated, 0 AS unchanged
+    FROM games WHERE match_no % 2 = 0
+  UNION ALL SELECT 1, 'matches', count(*), 0, 0 FROM games WHERE match_no % 2 = 0
+  UNION ALL SELECT 2, 'rounds', count(*) FILTER (NOT old), 0, count(*) FILTER (old)
+    FROM (SELECT round, bool_or(match_no % 2 = 0) AS old FROM games GROUP BY round)
+  UNION ALL SELECT 2, 'matches', count(*) FILTER (match_no % 2 <> 0), count(*) FILTER (match_no % 2 = 0 AND {_CHANGED}),
+    count(*) FILTER (match_no % 2 = 0 AND NOT ({_CHANGED})) FROM games)""",
+    ),
+)
+def import_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What two imports report: half of the matches, then all with some of them changed."""
+    store, texts = fresh_path(spark, "store"), import_texts(spark, sf)
+    changed = F.when(F.expr(_CHANGED), F.concat("venue", F.lit(" 2"))).otherwise(F.col("venue"))
+    reports = []
+    for step, rows in enumerate((texts.where("match_no % 2 = 0"), texts.withColumn("venue", changed)), 1):
+        path = fresh_path(spark, "csv-import")
+        writer = rows.write.option("header", True).option("emptyValue", "")
+        writer.option("quote", "\u0000").csv(path)
+        counted = import_matches_csv(spark, path, f"{store}/rounds", f"{store}/matches")
+        reports += [(step, table, *(found[c] for c in CHANGES)) for table, found in counted.items()]
+    return spark.createDataFrame(
+        reports, "step int, table_name string, inserted bigint, updated bigint, unchanged bigint"
+    )
+
+
 @query(
     "imported_rounds",
     with_parts(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kickpool.operators import constraints, matches, pages, scoring
 from kickpool.operators.html_tables import extract_fixtures, extract_standings, sort_standings
@@ -15,7 +15,13 @@ from kickpool.operators.lookup import (
     with_source_url,
 )
 from kickpool.operators.ranking import best_by_probability, row_counts
-from kickpool.operators.upsert import MATCH_DEFAULTS, ROUND_DEFAULTS, upsert_table
+from kickpool.operators.upsert import (
+    MATCH_DEFAULTS,
+    ROUND_DEFAULTS,
+    conformed,
+    remove_folder,
+    upsert_table,
+)
 from kickpool.session import fresh_path, written
 from kickpool.sources import schemas
 from kickpool.sources.schemas import TABLE_RULES
@@ -115,21 +121,29 @@ def inspect_pages(
 
 def import_matches_csv(
     spark: SparkSession, path: str | list[str], rounds_table: str, matches_table: str
-) -> None:
+) -> dict[str, dict[str, int]]:
     """Plain CSV into stored rounds, then matches. A file may hold any number of rounds.
 
-    The file is parsed once, into typed rows in the shared folder. A row without a round, or one
-    that breaks a rule of the table, refuses the import before anything is stored.
+    The file is parsed once, into typed rows in the shared folder, which are removed at the end.
+    A row without a round, or one that breaks a rule of the table, refuses the import before
+    anything is stored. Returns per table how many rows were inserted, updated, and left as they
+    were; the writing jobs count them.
     """
-    rows = matches.import_projection(read_plain_csv(spark, path))
-    rows = written(rows, fresh_path(spark, "import"))
-    refused = constraints.table_violations(rows, "matches").take(5)
-    if refused:
-        raise ValueError(f"import refused: {[r.asDict() for r in refused]}")
-    upsert_table(
-        rounds_table, matches.imported_rounds(rows), TABLE_RULES["rounds"].key, None, ROUND_DEFAULTS,
-        schemas.ROUNDS,
-    )
-    upsert_table(
-        matches_table, rows, TABLE_RULES["matches"].key, "round_no", MATCH_DEFAULTS, schemas.MATCHES
-    )
+    copy = fresh_path(spark, "import")
+    try:
+        rows = matches.import_projection(read_plain_csv(spark, path))
+        rows = written(conformed(rows, T.StructType.fromDDL(schemas.MATCHES)), copy)
+        refused = constraints.table_violations(rows, "matches").take(5)
+        if refused:
+            raise ValueError(f"import refused: {[r.asDict() for r in refused]}")
+        rounds = upsert_table(
+            rounds_table, matches.imported_rounds(rows), TABLE_RULES["rounds"].key, None, ROUND_DEFAULTS,
+            schemas.ROUNDS, checked=True,
+        )
+        stored = upsert_table(
+            matches_table, rows, TABLE_RULES["matches"].key, "round_no", MATCH_DEFAULTS, schemas.MATCHES,
+            staged=True, checked=True,
+        )
+        return {"rounds": rounds, "matches": stored}
+    finally:
+        remove_folder(spark, copy)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kickpool.functions import fixed_values as fv
 from kickpool.operators import constraints, lookup, ranking, upsert
@@ -51,15 +51,19 @@ def new_matches(games: DataFrame) -> DataFrame:
     )
 
 
-_UPSERT = with_parts(
-    "games",
-    f"""SELECT round, match_no,
+def upsert_sql(round_sql: str) -> str:
+    return with_parts(
+        "games",
+        f"""SELECT {round_sql} AS round, match_no,
   CASE WHEN match_no % 3 = 1 THEN 'Stadium ' || home_key ELSE 'Arena ' || away_key END AS venue,
   CASE WHEN match_no % 3 = 0 THEN '{fv.WEATHER_UNKNOWN}' ELSE weather END AS weather,
   CASE WHEN match_no % 3 = 0 THEN CAST(5 AS BIGINT) ELSE 3 END AS home_rest_days,
   CASE WHEN match_no % 3 = 1 THEN home_goals WHEN match_no % 5 <> 0 THEN away_goals END AS vote_home
 FROM games""",
-)
+    )
+
+
+_UPSERT = upsert_sql("round")
 
 
 @query("upsert_matches", _UPSERT)
@@ -80,6 +84,19 @@ def upsert_table(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_TEXT_ROUND = "CASE match_no % 4 WHEN 0 THEN '01' WHEN 1 THEN '1' WHEN 2 THEN '1e3' ELSE '2024-01-01' END"
+
+
+@query("upsert_text_rounds", upsert_sql(_TEXT_ROUND))
+def upsert_text_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same upsert with rounds whose texts look like numbers and dates."""
+    games = views.games(spark, sf).withColumn("round", F.expr(_TEXT_ROUND))
+    path = fresh_path(spark, "matches")
+    stored_matches(games).hint("rebalance", "round").write.partitionBy("round").parquet(path)
+    upsert.upsert_table(path, new_matches(games), KEY, "round", upsert.MATCH_DEFAULTS)
+    return upsert.stored_table(spark, path, partitions={"round": T.StringType()})
+
+
 @query(
     "column_defaults",
     with_parts(

@@ -42,7 +42,8 @@ def upsert_stream(
     def apply(batch: DataFrame, _: int) -> None:
         rest = [c for c in batch.columns if c not in (*key, order)]
         latest = first_per_key(batch, key, [F.col(c).desc_nulls_last() for c in (order, *rest)])
-        stored = stored_table(batch.sparkSession, path)
+        kind = {partition: batch.schema[partition].dataType}
+        stored = stored_table(batch.sparkSession, path, partitions=kind)
         if stored is not None and order in stored.columns:
             kinds = {k: batch.schema[k].dataType for k in key}
             have = stored.select(*(F.col(k).cast(t).alias(k) for k, t in kinds.items()), F.col(order).alias("_have"))

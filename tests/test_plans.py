@@ -10,8 +10,8 @@ from kickpool.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 EAGER = {
-    "csv_dashboard", "csv_import", "csv_plain", "csv_quoted", "edge_ranking", "results_update",
-    "snapshot_roundtrip", "upsert_table",
+    "csv_dashboard", "csv_import", "csv_plain", "csv_quoted", "edge_ranking", "import_counts", "results_update",
+    "snapshot_roundtrip", "upsert_table", "upsert_text_rounds",
 }
 READS_MARKUP = {
     "current_round_picks", "followed_links", "html_cells", "html_fixtures", "html_results", "html_row_dump",

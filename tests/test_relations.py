@@ -1,7 +1,7 @@
 """Lookup, ranking, pages, upsert and constraints on small inputs with all their corners."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from kickpool.functions import fixed_values as fv
 from kickpool.operators import backtest, constraints, html_tables, lookup, pages, ranking, upsert
@@ -272,3 +272,45 @@ def test_table_rules(spark):
     ]
     stored = spark.createDataFrame([], schemas.MATCHES)
     assert set(fv.IMPORT_COLUMNS) <= set(stored.columns)
+
+
+TEXT_ROUNDS = ["01", "1", "1e3", "2024-01-01", "true", "007", "a b"]
+
+
+@pytest.mark.parametrize("schema", [None, "round string, match_no int, venue string"])
+def test_upsert_keeps_rows_of_rounds_that_look_like_other_types(spark, tmp_path, schema):
+    path, key = str(tmp_path / "t"), ["round", "match_no"]
+    shape = "round string, match_no int, venue string"
+    first = [(r, n, "old") for r in TEXT_ROUNDS for n in (1, 2)]
+    assert upsert.upsert_table(path, spark.createDataFrame(first, shape), key, "round", None, schema) == {
+        "inserted": 14, "updated": 0, "unchanged": 0,
+    }
+    later = [(r, n, venue) for r in TEXT_ROUNDS for n, venue in ((2, "new"), (3, "more"))] + [("01", 1, "old")]
+    assert upsert.upsert_table(path, spark.createDataFrame(later, shape), key, "round", None, schema) == {
+        "inserted": 7, "updated": 7, "unchanged": 1,
+    }
+    stored = upsert.stored_table(spark, path, partitions={"round": T.StringType()})
+    want = [(r, n, v) for r in TEXT_ROUNDS for n, v in ((1, "old"), (2, "new"), (3, "more"))]
+    assert sorted(map(tuple, stored.select("round", "match_no", "venue").collect())) == sorted(want)
+
+
+def test_upsert_counts_without_rows_and_without_partitions(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "k string, x string"
+    none = spark.createDataFrame([], shape)
+    assert upsert.upsert_table(path, none, ["k"]) == {"inserted": 0, "updated": 0, "unchanged": 0}
+    some = spark.createDataFrame([("1", "a"), ("2", None)], shape)
+    assert upsert.upsert_table(path, some, ["k"])["inserted"] == 2
+    assert upsert.upsert_table(path, some, ["k"]) == {"inserted": 0, "updated": 0, "unchanged": 2}
+    assert upsert.upsert_table(path, none, ["k"]) == {"inserted": 0, "updated": 0, "unchanged": 0}
+    changed = spark.createDataFrame([("2", "b"), ("3", None)], shape)
+    assert upsert.upsert_table(path, changed, ["k"]) == {"inserted": 1, "updated": 1, "unchanged": 0}
+    assert sorted(map(tuple, upsert.stored_table(spark, path).collect())) == [("1", "a"), ("2", "b"), ("3", None)]
+
+
+def test_a_complete_copy_is_read_until_it_has_the_tables_name(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "k string, x string"
+    spark.createDataFrame([("1", "old")], shape).write.parquet(path)
+    spark.createDataFrame([("1", "new")], shape).write.parquet(path + upsert.NEXT)
+    assert upsert.stored_table(spark, path).first().x == "new"
+    upsert.recover(spark, path)
+    assert upsert.stored_table(spark, path).first().x == "new" and not (tmp_path / ("t" + upsert.NEXT)).exists()

@@ -1,5 +1,7 @@
+from kickpool.operators.upsert import stored_table
 from kickpool.operators import pages
 from kickpool.streaming.landing import PAGE_SCHEMA, page_stream, upsert_stream
+from pyspark.sql import types as T
 
 
 def test_page_operators_on_a_stream(spark, tmp_path):
@@ -36,3 +38,15 @@ def test_upsert_stream(spark, tmp_path):
     assert sorted(map(tuple, result)) == [
         ("r1", 1, "b"), ("r1", 2, "kept"), ("r1", 3, "newer"), ("r2", 1, "n"),
     ]
+
+
+def test_upsert_stream_keeps_rounds_that_look_like_numbers(spark, tmp_path):
+    table, source = str(tmp_path / "t"), str(tmp_path / "s")
+    schema = "round string, match_no bigint, venue string, seen int"
+    rounds = ["01", "1", "1e3", "2024-01-01"]
+    spark.createDataFrame([(r, n, "old", 0) for r in rounds for n in (1, 2)], schema).write.partitionBy("round").parquet(table)
+    spark.createDataFrame([(r, 3, "new", 1) for r in rounds], schema).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    upsert_stream(stream, table, str(tmp_path / "c"), ["round", "match_no"], "round", "seen").awaitTermination(120)
+    found = stored_table(spark, table, partitions={"round": T.StringType()}).select("round", "match_no").collect()
+    assert sorted(map(tuple, found)) == sorted((r, n) for r in rounds for n in (1, 2, 3))
