@@ -23,6 +23,7 @@ MATCH_DEFAULTS = {
 }
 CHANGES = ("inserted", "updated", "unchanged")
 NEXT = "__next"  # ending of the folder that holds a table's replacement
+PARTS = "__parts"  # the same for replacements of some of its partitions
 PREDICTION_DEFAULTS = {"model_version": "rule-v0.1", "reasons": "[]"}
 
 
@@ -121,16 +122,18 @@ def stored_table(
     files, name = folder(spark, path)
     if not files.exists(name):
         return None
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
     try:
         found = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
-    if schema is None and partitions:
-        kinds = ((f.name, partitions.get(f.name, f.dataType)) for f in found.schema.fields)
-        schema = T.StructType([T.StructField(name, kind) for name, kind in kinds])
-    return found if schema is None else spark.read.schema(schema).parquet(path)
+    if not partitions:
+        return found
+    kinds = ((f.name, partitions.get(f.name, f.dataType)) for f in found.schema.fields)
+    return spark.read.schema(T.StructType([T.StructField(*kind) for kind in kinds])).parquet(path)
 
 
 def folder(spark: SparkSession, path: str) -> tuple:
@@ -173,6 +176,31 @@ def recover(spark: SparkSession, path: str) -> None:
         remove_folder(spark, path + NEXT)
 
 
+def publish_parts(rows: DataFrame, path: str, partition: str) -> None:
+    """Replace the partitions that the rows hold. They are complete beside the table before it is
+    touched, and are then moved into it; ``recover_parts`` finishes an interrupted move."""
+    # Rebalancing splits a partition that is much larger than the others over many tasks.
+    rows.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(path + PARTS)
+    recover_parts(rows.sparkSession, path)
+
+
+def recover_parts(spark: SparkSession, path: str) -> None:
+    """Move complete replacements of partitions into the table; drop such as never were complete.
+
+    A loop over the names of partitions on the driver, as Spark's own commit of an overwrite is.
+    """
+    files, parts = folder(spark, path + PARTS)
+    if complete(spark, path + PARTS):
+        files.mkdirs(folder(spark, path)[1])
+        for status in files.listStatus(parts):
+            if status.isDirectory():
+                place = f"{path}/{status.getPath().getName()}"
+                remove_folder(spark, place)
+                if not files.rename(status.getPath(), folder(spark, place)[1]):
+                    raise OSError(f"cannot move {status.getPath()}")
+    remove_folder(spark, path + PARTS)
+
+
 def upsert_table(
     path: str,
     payload: DataFrame,
@@ -188,12 +216,12 @@ def upsert_table(
     With a ``schema`` the table has exactly its columns and types, and the payload is cast to
     them. Columns that the table does not know, incomplete and repeated keys are refused. With a
     ``partition`` column, which is part of the key, only the partitions that occur in the payload
-    are read and rewritten, their values under the payload's type. Payload and merged rows are
-    written to the shared folder first and removed at the end: the payload is computed once, and
-    the table is never overwritten while it is read. The first upsert writes straight into the
-    table. ``staged`` says that the payload is read from written rows already, ``checked`` that
-    its keys are complete and unique. The counts are observed in the writing job itself. Running
-    the same upsert again after a failure gives the same table.
+    are read and rewritten, their values under the payload's type. The payload is written to the
+    shared folder first, so that it is computed once, and removed at the end. The merged rows are
+    written once, beside the table, and take their place by renaming. ``staged`` says that the
+    payload is read from written rows already, ``checked`` that its keys are complete and unique.
+    The counts are observed in the writing job itself. Running the same upsert again after a
+    failure gives the same table.
     """
     if partition is not None and partition not in key:
         raise ValueError("the partition column must be part of the upsert key")
@@ -202,34 +230,26 @@ def upsert_table(
         schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         require_known(payload.columns, schema.fieldNames())
         payload = conformed(payload, schema)
-    if partition is None:
-        recover(spark, path)
-    copies = [fresh_path(spark, "payload"), fresh_path(spark, "merged")]
+    recover(spark, path) if partition is None else recover_parts(spark, path)
+    copy = fresh_path(spark, "payload")
     counts = Observation()
     try:
         if not staged:
-            payload = written(payload, copies[0])
+            payload = written(payload, copy)
         if not checked:
             require_complete(payload, key)
             require_unique(payload, key)
         kinds = {partition: payload.schema[partition].dataType} if partition else None
         target = stored_table(spark, path, schema, kinds)
         if target is None:
-            rows = observed(_first_rows(payload, defaults or {}, schema).withColumn("_change", F.lit(CHANGES[0])), counts)
-        else:
-            rows = observed(_merged_rows(target, payload, key, partition, defaults), counts)
-            if partition is not None:
-                rows = written(rows, copies[1])
-        if partition is None:
-            publish(rows, path)
+            rows = _first_rows(payload, defaults or {}, schema).withColumn("_change", F.lit(CHANGES[0]))
         else:
-            # Rebalancing splits a partition that is much larger than the others over many tasks.
-            rows = rows.hint("rebalance", partition).write.mode("overwrite")
-            rows.option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+            rows = _merged_rows(target, payload, key, partition, defaults)
+        rows = observed(rows, counts)
+        publish(rows, path) if partition is None else publish_parts(rows, path, partition)
         return {name: int(counts.get[name]) for name in CHANGES}
     finally:
-        for copy in copies:
-            remove_folder(spark, copy)
+        remove_folder(spark, copy)
 
 
 def observed(rows: DataFrame, counts: Observation) -> DataFrame:

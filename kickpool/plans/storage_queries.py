@@ -10,7 +10,7 @@ from kickpool.plans import season_views as views
 from kickpool.plans.oracle_parts import with_parts
 from kickpool.plans.registry import query
 from kickpool.session import fresh_path
-from kickpool.sources.tables import scan
+from kickpool.sources.tables import query_table, scan
 
 KEY = ["round", "match_no"]
 
@@ -29,6 +29,19 @@ def table_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "table_query",
+    """SELECT o_orderkey, o_orderpriority AS priority, o_totalprice FROM orders
+WHERE o_orderstatus <> 'O' AND o_totalprice >= 150000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+  AND NOT o_orderpriority LIKE '2%' AND o_orderdate IS NOT NULL""",
+)
+def table_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan as a client asks for it, by a query string."""
+    asked = "select=o_orderkey,priority:o_orderpriority,o_totalprice&o_orderstatus=neq.O&o_totalprice=gte.150000"
+    asked += "&o_orderpriority=in.(1-URGENT,2-HIGH)&o_orderpriority=not.like.2*&o_orderdate=not.is.null"
+    return query_table(spark, f"{sf}/orders.parquet", asked)
+
+
 def stored_matches(games: DataFrame) -> DataFrame:
     """What the table holds: two thirds of the games."""
     return games.where(F.col("match_no") % 3 != 0).select(

@@ -314,3 +314,16 @@ def test_a_complete_copy_is_read_until_it_has_the_tables_name(spark, tmp_path):
     assert upsert.stored_table(spark, path).first().x == "new"
     upsert.recover(spark, path)
     assert upsert.stored_table(spark, path).first().x == "new" and not (tmp_path / ("t" + upsert.NEXT)).exists()
+
+
+def test_interrupted_move_of_partitions_is_finished(spark, tmp_path):
+    path, key, shape = str(tmp_path / "t"), ["round", "match_no"], "round string, match_no int, venue string"
+    spark.createDataFrame([(r, 1, "old") for r in ("01", "02", "03", "a/b:c%")], shape).write.partitionBy("round").parquet(path)
+    # As after a crash in the middle of the move: one partition is there already, one not yet.
+    spark.createDataFrame([("02", 1, "new"), ("a/b:c%", 1, "new")], shape).write.partitionBy("round").parquet(path + upsert.PARTS)
+    upsert.remove_folder(spark, f"{path}/round=02")
+    (tmp_path / ("t" + upsert.PARTS) / "round=02").rename(tmp_path / "t" / "round=02")
+    assert upsert.upsert_table(path, spark.createDataFrame([("03", 1, "newer")], shape), key, "round")["updated"] == 1
+    stored = upsert.stored_table(spark, path, partitions={"round": T.StringType()}).select("round", "venue")
+    assert sorted(map(tuple, stored.collect())) == [("01", "old"), ("02", "new"), ("03", "newer"), ("a/b:c%", "new")]
+    assert not (tmp_path / ("t" + upsert.PARTS)).exists()

@@ -2,8 +2,8 @@ import pytest
 
 from kickpool.operators.lookup import latest_snapshots, source_registry, with_source_url
 from kickpool.sources.snapshots import land_snapshots, read_page_table, read_snapshot_files
-from kickpool.sources.tables import read_row_snapshot, scan, write_row_snapshot
-from kickpool.sources.text_tables import read_plain_csv, read_quoted_csv
+from kickpool.sources.tables import query_table, read_row_snapshot, scan, write_row_snapshot
+from kickpool.sources.text_tables import data_lines, read_plain_csv, read_quoted_csv
 
 
 def written(tmp_path, text, name="x.csv"):
@@ -112,3 +112,80 @@ def test_import_refuses_bad_rows(spark, tmp_path):
         ("第2回", 1, "未取得", None), ("第2回", 2, "未取得", None),
     ]
     assert rows(spark.read.parquet(str(tmp_path / "r")).select("title")) == [("第2回 toto",)]
+
+
+def test_files_with_headers_of_their_own(spark, tmp_path):
+    """Other order, other line ends, missing and repeated columns, blank lines first, no lines at all."""
+    texts = ["a,b\n1,2\n3,\n", "b,a\r\n4,5\r\n\r\n6\r\n", "\n\r\na\n7", "a,b,c,a\n8,9,10,11", "", "a,b\r\n", "﻿a,b\r\n12,13"]
+    paths = [written(tmp_path, text, f"{i}.csv") for i, text in enumerate(texts)]
+    want = [("1", "2", None), ("3", "", None), ("5", "4", None), ("", "6", None), ("7", None, None), ("11", "9", "10"), ("12", "13", None)]
+    for read in (read_plain_csv, read_quoted_csv):
+        df = read(spark, paths)
+        assert df.columns == ["a", "b", "c"]
+        assert rows(df.na.fill("-")) == sorted(tuple("-" if v is None else v for v in r) for r in want)
+    quoted = [written(tmp_path, 'k,"v,w"\n1,"x,y"\n', "q1.csv"), written(tmp_path, '"v,w",k\r\nz,2\r\n', "q2.csv")]
+    assert rows(read_quoted_csv(spark, quoted).select("k", "`v,w`")) == [("1", "x,y"), ("2", "z")]
+
+
+def test_one_layout_meets_no_join(spark, tmp_path):
+    paths = [written(tmp_path, f"k,v{end}{i},x{end}", f"{i}.csv") for i, end in enumerate(("\n", "\r\n", "\n"))]
+    df = read_plain_csv(spark, paths)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows(df) == [("0", "x"), ("1", "x"), ("2", "x")]
+
+
+def test_a_file_of_many_blocks(spark, tmp_path):
+    """Blocks after a file's first have no header of their own."""
+    paths = [written(tmp_path, "a,b\n" + "".join(f"{i},x\n" for i in range(4_000)), "1.csv"), written(tmp_path, "b,a\ny,-1\n", "2.csv")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = read_plain_csv(spark, paths)
+        assert data_lines(spark, paths).rdd.getNumPartitions() > 5
+        assert rows(found) == sorted([(str(i), "x") for i in range(4_000)] + [("-1", "y")])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+ORDERS = "/root/testdata/sf0.001/orders.parquet"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_string_reaches_the_reader(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = plan_of(query_table(spark, ORDERS, "select=o_orderkey&o_orderstatus=eq.F&o_totalprice=gt.200000&o_custkey=in.(1,2)"))
+    assert "ReadSchema: struct<o_orderkey" in plan and "o_orderdate" not in plan
+    for pushed in ("EqualTo(o_orderstatus,F)", "GreaterThan(o_totalprice,200000.0)", "In(o_custkey"):
+        assert pushed in plan
+
+
+def test_query_string_operators(spark, tmp_path):
+    path = str(tmp_path / "t")
+    shape = "n int, t string, d date, b boolean"
+    from datetime import date
+
+    some = [(1, "ab", date(2024, 1, 1), True), (2, "a,b", None, False), (3, None, date(2025, 1, 1), None), (None, "x y", None, True)]
+    spark.createDataFrame(some, shape).write.parquet(path)
+
+    def found(query):
+        return [r.n for r in query_table(spark, path, query).collect()]
+
+    for query, want in {
+        "n=gte.2": [2, 3], "n=lt.2": [1], "n=lte.2": [1, 2], "n=neq.2": [1, 3], "n=not.eq.2": [1, 3], "t=is.null": [3],
+        "t=not.is.null&n=not.is.null": [1, 2], "b=is.true&n=eq.1": [1], "b=is.false": [2], "b=eq.true&n=lt.9": [1], 'n=in.(1,3)': [1, 3],
+        't=in.("a,b",zz)': [2], "t=like.a*": [1, 2], "t=ilike.*A*": [1, 2], "t=eq.x%20y": [None], "d=gt.2024-06-01": [3],
+        "n=gt.0&n=lt.3": [1, 2], "n=not.in.(1,2)": [3],
+    }.items():
+        assert sorted(found(query), key=str) == sorted(want, key=str), query
+    assert found("order=n.desc") == [None, 3, 2, 1] and found("order=n") == [1, 2, 3, None]
+    assert found("order=n.desc.nullslast&limit=2") == [3, 2] and found("order=n.asc.nullsfirst&limit=1&offset=1") == [1]
+    assert query_table(spark, path, "select=m:n,t").columns == ["m", "t"] and query_table(spark, path, "").columns == ["n", "t", "d", "b"]
+    for wrong in ("select=zz", "zz=eq.1", "n=eq.x", "n=near.1", "d=eq.yesterday", "b=eq.7", "order=zz", "order=n.up", "limit=-1", "n=in.1,2", "n"):
+        with pytest.raises(ValueError):
+            query_table(spark, path, wrong)
+    assert query_table(spark, None).count() == 0
+    empty = query_table(spark, None, "select=n&n=eq.1", spark.read.parquet(path).schema)
+    assert (empty.columns, empty.count()) == (["n"], 0)
