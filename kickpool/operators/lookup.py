@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from kickpool.functions import fixed_values as fv
 from kickpool.functions.labels import dash_if_null
 from kickpool.functions.text import name_key, round_digits
+from kickpool.operators.positions import with_positions
 
 STANDING_FIELDS = ("rank", "points", "goal_difference")
 
@@ -119,12 +120,14 @@ def round_bundles(
 ) -> DataFrame:
     """Round header with its fixtures nested in match order.
 
-    A bundle holds a block of match numbers, so its array has a bound; a round of ordinary
-    size is one bundle, and a larger one comes as several with increasing bundle_no.
+    A bundle holds at most ``per_bundle`` fixtures of a round by their position in it, so its
+    array has a bound, whether match numbers are missing, repeated or far apart; a round of
+    ordinary size is one bundle, and a larger one comes as several with increasing bundle_no.
     """
-    block = F.floor((F.col("match_no") - 1) / per_bundle).cast("bigint")
+    order = [F.col(c).asc_nulls_first() for c in dict.fromkeys(("match_no", *fields))]
+    placed = with_positions(fixtures, ["round"], order)
     nested = (
-        fixtures.withColumn("bundle_no", block)
+        placed.withColumn("bundle_no", F.expr(f"position div {int(per_bundle)}"))
         .groupBy("round", "bundle_no")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("fixtures"))
     )

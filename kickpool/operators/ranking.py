@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kickpool.operators.lookup import first_per_key
+from kickpool.operators.positions import with_positions
 from kickpool.session import fresh_path, written
 
 
@@ -55,6 +57,24 @@ def rank_by_counts(
     return df.join(counts.select(*per, *keys, *added), [*per, *keys])
 
 
+def rank_by_ranges(
+    df: DataFrame, per: Sequence[str], key: str, tie: Sequence[str], rank: str = "place"
+) -> DataFrame:
+    """Competition rank by a descending key of any values, equal keys sharing a place, and the
+    ``position`` in the whole order, where ``tie`` decides; a missing key is last.
+
+    For real-valued keys, whose counts would be as many as the rows: positions come from ranges
+    of (group, key), so a group that holds most rows is many tasks. An equal key's place is that
+    of its first row, found by an aggregation that combines map-side.
+    """
+    order = [F.desc_nulls_last(key), *(F.col(c).asc_nulls_first() for c in tie)]
+    placed = with_positions(df, per, order).withColumn("position", F.col("position") + 1).drop("size")
+    first = placed.groupBy(*per, key).agg(F.min("position").alias(rank))
+    first = first.select(*(F.col(c).alias(f"_k_{c}") for c in (*per, key)), rank)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*per, key)))
+    return placed.join(first, same).select(*df.columns, rank, "position")
+
+
 def outcome_rows(predictions: DataFrame, *keep: str) -> DataFrame:
     """One row per match and outcome with its probability and edge."""
     sides = (("HOME", "home"), ("DRAW", "draw"), ("AWAY", "away"))

@@ -164,6 +164,54 @@ def backtest_overall(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.overall_backtest(backtest_round(spark, sf))
 
 
+GRAINS = (("season",), ("round",), ("tier",), ("league",), ("season", "tier"), ())
+
+
+def _grains_sql() -> str:
+    sets = ", ".join("(" + ", ".join(grain) + ")" for grain in GRAINS)
+    name = " ".join(
+        "WHEN " + " AND ".join(f"grouping({c}) = {int(c not in grain)}" for c in ("season", "round", "tier", "league"))
+        + f" THEN '{'+'.join(grain) or 'total'}'"
+        for grain in GRAINS
+    )
+    hit, up = "CASE WHEN lower(pick) = result_outcome THEN 1 ELSE 0 END", "CASE WHEN pick_edge > 0 THEN 1 ELSE 0 END"
+    return with_parts(
+        "judged",
+        f"""SELECT *, hit_count / match_count AS accuracy, edge_sum / match_count AS average_edge,
+  positive_hits / nullif(positive_count, 0) AS positive_hit_rate
+FROM (SELECT CASE {name} END AS grain, season, round, tier, league, count(*) AS match_count,
+  CAST(sum({hit}) AS BIGINT) AS hit_count, CAST(sum(pick_edge) AS BIGINT) AS edge_sum,
+  CAST(sum({up}) AS BIGINT) AS positive_count, CAST(sum({up} * {hit}) AS BIGINT) AS positive_hits
+FROM (SELECT *, {_TIER} AS tier, 'J' || CAST(match_no % 3 + 1 AS VARCHAR) AS league FROM judged
+      WHERE result_outcome IS NOT NULL)
+GROUP BY GROUPING SETS ({sets}))""",
+    )
+
+
+@query("backtest_grains", _grains_sql())
+def backtest_grains(spark: SparkSession, sf: str) -> DataFrame:
+    """The backtest by season, round, tier, league, season and tier, and in total, in one job."""
+    league = F.concat(F.lit("J"), (F.col("match_no") % 3 + 1).cast("string"))
+    rows = judged(spark, sf).withColumn("tier", scoring.edge_tier("pick_edge")).withColumn("league", league)
+    return backtest.grain_backtest(rows, GRAINS)
+
+
+@query(
+    "score_ranking",
+    with_parts(
+        "a_inputs",
+        f"""SELECT round, match_no, home_raw, rank() OVER (PARTITION BY round ORDER BY home_raw DESC) AS place,
+  row_number() OVER (PARTITION BY round ORDER BY home_raw DESC, match_no) AS position
+FROM ({_DESIGN.replace("SELECT match_no, rank_gap", "SELECT round, match_no, rank_gap", 1)})""",
+    ),
+)
+def score_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches of a round in order of the designed home score, which is not rounded."""
+    rounds = model_a_inputs(spark, sf).select("round", "match_no")
+    scored = design_scores(spark, sf).select("match_no", "home_raw").join(rounds, "match_no").select("round", "match_no", "home_raw")
+    return ranking.rank_by_ranges(scored, ["round"], "home_raw", ["match_no"])
+
+
 @query(
     "edge_ranking",
     with_parts(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kickpool.functions import fixed_values as fv, labels
 from kickpool.functions.text import name_key, remove_ws
 from kickpool.operators import lookup, ranking, scoring
+from kickpool.operators.positions import last_before
 from kickpool.plans import jobs, season_views as views
 from kickpool.plans.jobs import best_picks, predict_pages
 from kickpool.plans.oracle_parts import OUTCOME_LABEL_SQL, with_parts, rounded
@@ -465,3 +466,31 @@ def same_team(spark: SparkSession, sf: str) -> DataFrame:
             "same_as_listed"
         ),
     )
+
+
+_SPREAD = "o_orderkey * 7919 % 2592000"  # seconds, over the thirty days of the events
+
+
+@query(
+    "votes_as_of_kickoff",
+    f"""WITH m AS (
+  SELECT o_orderkey AS match_no, CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey % 150 END AS team,
+    TIMESTAMP '2023-12-31 00:00:00' + to_seconds({_SPREAD}) AS kickoff FROM orders),
+v AS (SELECT user_id AS team, ts, arg_max(value, event_id) AS vote_home, max(event_id) AS capture
+  FROM events WHERE event_type <> 'error' GROUP BY 1, 2)
+SELECT match_no, m.team, vote_home, capture
+FROM m ASOF LEFT JOIN v ON m.team = v.team AND m.kickoff >= v.ts""",
+)
+def votes_as_of_kickoff(spark: SparkSession, sf: str) -> DataFrame:
+    """The vote share last captured before each kickoff; some matches have no team or no capture."""
+    second = F.expr(f"timestamp_seconds(unix_timestamp(timestamp'2023-12-31 00:00:00') + {_SPREAD})")
+    matches = views.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("match_no"),
+        F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey") % 150).alias("team"),
+        second.alias("kickoff"),
+    )
+    captures = views.table(spark, sf, "events").where("event_type <> 'error'").select(
+        F.col("user_id").alias("team"), F.col("ts"), F.col("value").alias("vote_home"), F.col("event_id").alias("capture")
+    )
+    found = last_before(matches, captures, ["team"], "kickoff", "ts", ["vote_home", "capture"], ["capture"])
+    return found.drop("kickoff")

@@ -141,12 +141,13 @@ _FIXTURE_TEXT = (
     with_parts(
         "games",
         f"""SELECT round, substr(round, 2, 6) AS round_digits,
-  CAST(floor((match_no - 1) / 1000) AS BIGINT) AS bundle_no,
+  bundle_no,
   any_value(CASE WHEN round NOT LIKE '%06回' THEN substr(round, 2, 4) || '/'
     || CAST(CAST(substr(round, 6, 2) AS INT) AS VARCHAR) || '/1' END) AS sales_start,
   count(*) AS fixture_count,
   string_agg({_FIXTURE_TEXT}, ' ' ORDER BY match_no) AS fixtures
-FROM games GROUP BY round, 3""",
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY round ORDER BY match_no) - 1) // 1000 AS BIGINT) AS bundle_no
+      FROM games) GROUP BY round, bundle_no""",
     ),
 )
 def round_bundle(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ from kickpool.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 EAGER = {
     "csv_dashboard", "csv_import", "csv_many_layouts", "csv_plain", "csv_quoted", "edge_ranking", "import_counts", "results_update",
+    "round_bundle", "score_ranking", "votes_as_of_kickoff",
     "snapshot_roundtrip", "upsert_table", "upsert_text_rounds",
 }
 READS_MARKUP = {
