@@ -90,16 +90,26 @@ def latest_snapshots(
     order: Sequence[str] = ("landed_at",),
     snapshot: str = "snapshot_id",
 ) -> DataFrame:
-    """Last landed page per key: exactly one, as ``snapshot`` names a page uniquely.
+    """Last landed page per key: exactly one row, however often it was landed.
 
     The latest order values win, a missing one is the oldest, and the larger identity breaks a
-    tie. The winner is found on narrow columns alone; page bodies meet the winners' identities
-    in a hash join and are never sorted or grouped.
+    tie. The winner is found on narrow columns alone; the planner sends these identities to the
+    page bodies while they are few, and moves bodies only beyond its size threshold. A snapshot
+    that was landed again, as by a repeated append, is the same page: of its rows the one with the
+    latest order values is kept, and only such rows are put in order. Without any, their branch is
+    empty and is not read.
     """
     last = [F.col(c).desc_nulls_last() for c in (*order, snapshot)]
     narrow = pages.select(*dict.fromkeys((*keys, *order, snapshot)))
     winners = first_per_key(narrow, keys, last) if keys else narrow.orderBy(*last).limit(1)
-    return pages.join(winners.select(snapshot).hint("shuffle_hash"), snapshot, "left_semi")
+    winners = winners.select(snapshot)
+    repeated = narrow.groupBy(snapshot).agg(F.count("*").alias("_n")).where("_n > 1").select(snapshot)
+    again = winners.join(repeated, snapshot, "left_semi")
+    once = pages.join(winners.join(repeated, snapshot, "left_anti"), snapshot, "left_semi")
+    several = first_per_key(
+        pages.join(again, snapshot, "left_semi"), [snapshot], [F.col(c).desc_nulls_last() for c in order]
+    )
+    return once.select(*pages.columns).unionByName(several.select(*pages.columns))
 
 
 def round_pages(rounds: DataFrame, snapshots: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

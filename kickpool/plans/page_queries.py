@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kickpool.functions import fixed_values as fv
-from kickpool.operators import html_tables, lookup, pages as page_ops, ranking
+from kickpool.operators import dictionaries, html_tables, lookup, pages as page_ops, ranking
 from kickpool.plans import season_views as views
 from kickpool.plans.oracle_parts import squeezed, stripped, with_parts
 from kickpool.plans.registry import query
@@ -294,3 +294,26 @@ def dictionary_extract(spark: SparkSession, sf: str) -> DataFrame:
     return hits.withColumn("numbers", F.when(F.size("numbers") > 0, numbers))
 
 
+@query(
+    "dictionary_table_extract",
+    """WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS words FROM benchmark),
+terms AS (
+  SELECT DISTINCT term FROM (
+    SELECT unnest(words) AS term FROM w
+    UNION ALL SELECT unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM w)
+  WHERE term <> '')
+SELECT doc_id, term, CAST(p - 1 AS BIGINT) AS position,
+  substring(text, greatest(p - 101, 0) + 1, p - 1 - greatest(p - 101, 0)) AS before, substring(text, p, 220) AS after,
+  list_aggregate(list_transform(regexp_extract_all(substring(text, p, 220), '-?[0-9]+'),
+    lambda n: CAST(TRY_CAST(n AS BIGINT) AS VARCHAR)), 'string_agg', ', ') AS numbers
+FROM (SELECT doc_id, text, term, instr(text, term) AS p FROM documents, terms) WHERE p > 0""",
+)
+def dictionary_table_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents searched for all words and pairs of words of the benchmark's items."""
+    words = F.split(F.lower("text"), " ", -1)
+    pairs = F.transform(F.slice("w", 1, F.size("w") - 1), lambda a, i: F.concat_ws(" ", a, F.get("w", i + 1)))
+    listed = views.table(spark, sf, "benchmark").where("text IS NOT NULL").select(words.alias("w"))
+    terms = listed.select(F.explode(F.concat("w", pairs)).alias("term"))
+    hits = dictionaries.table_extract(documents(spark, sf), terms, "doc_id")
+    numbers = F.array_join(F.col("numbers"), ", ")
+    return hits.withColumn("numbers", F.when(F.size("numbers") > 0, numbers))

@@ -189,3 +189,27 @@ def test_query_string_operators(spark, tmp_path):
     assert query_table(spark, None).count() == 0
     empty = query_table(spark, None, "select=n&n=eq.1", spark.read.parquet(path).schema)
     assert (empty.columns, empty.count()) == (["n"], 0)
+
+
+def test_a_snapshot_landed_again_counts_once(spark, tmp_path):
+    landed = str(tmp_path / "landed")
+    shape = "key string, snapshot_id string, landed_at int, html string"
+    batch = spark.createDataFrame([("k", "s1", 1, "old"), ("k", "s2", 2, "new"), ("j", "s3", 1, "only"), ("n", None, 1, "x")], shape)
+    for _ in range(3):
+        land_snapshots(batch, landed)
+    land_snapshots(spark.createDataFrame([("k", "s1", 5, "old")], shape), landed)  # landed again later: the newest
+    latest = latest_snapshots(read_page_table(spark, landed), ["key"])
+    assert rows(latest.select("key", "html", "landed_at")) == [("j", "only", 1), ("k", "old", 5)]
+    once = latest_snapshots(read_page_table(spark, landed), [])
+    assert rows(once.select("snapshot_id", "html")) == [("s1", "old")]
+
+
+def test_few_winners_are_sent_to_the_pages(spark, tmp_path):
+    landed = str(tmp_path / "landed")
+    spark.range(200).selectExpr("id % 5 AS key", "id AS snapshot_id", "id AS landed_at", "repeat('<p>', 5000) AS html").write.parquet(landed)
+    latest = latest_snapshots(read_page_table(spark, landed), ["key"])
+    assert latest.count() == 5
+    plan = latest._jdf.queryExecution().executedPlan()
+    latest.collect()
+    text = plan.toString()
+    assert "BroadcastHashJoin" in text and "ShuffledHashJoin" not in text
