@@ -5,9 +5,10 @@ main text from its subtree density, links, depth, siblings, tags and attribute t
 goes over the whole tree: nothing below a dropped block is kept, and of all choices that obey
 this, the one with the largest sum of log odds, weighted by text, is taken.
 
-Training sees a bounded sample: ``SAMPLE_PAGES`` pages with the smallest hash of their id among
-those of at most ``SAMPLE_CHARS`` characters, and ``VARIANTS`` layouts composed from each.
-Extraction reads every whole page and needs no shuffle.
+Training sees a bounded sample: ``SAMPLE_PAGES`` pages, those of at most ``SAMPLE_CHARS``
+characters before others, then those of up to twice as many and so on, each class by the hash of
+the id; and ``VARIANTS`` layouts composed from each. Extraction reads every whole page, in time
+that grows with its length, and needs no shuffle.
 
 Defined results: a null or empty page, or one without text, gives an empty text; if no page tells
 where its article is, all blocks count as main text; repeated rows and null ids are read like any
@@ -95,13 +96,14 @@ def training_rows(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def train(pages: DataFrame) -> Extractor:
     """Model from a bounded sample of ``page_id, html`` rows."""
-    some = pages.where((F.length("html") <= SAMPLE_CHARS) & F.col("page_id").isNotNull())
-    some = some.select("page_id", "html")
-    order = (F.xxhash64("page_id"), "page_id")
+    some = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull()).select("page_id", "html")
+    longer = F.greatest(F.ceil(F.log2(F.length("html") / SAMPLE_CHARS)), F.lit(0)).alias("longer")
+    hashed = F.xxhash64("page_id").alias("hashed")
     # The ids are chosen on narrow rows: every task sends its candidates, so they carry no page.
-    chosen = some.select("page_id").orderBy(*order).limit(SAMPLE_PAGES).distinct()
+    chosen = some.select("page_id", longer, hashed).orderBy("longer", "hashed", "page_id").limit(SAMPLE_PAGES)
+    chosen = chosen.select("page_id").distinct()
     some = some.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
-    return train_on([row.html for row in some.orderBy(*order).collect()])
+    return train_on([row.html for row in some.orderBy(F.xxhash64("page_id"), "page_id").collect()])
 
 
 def train_on(pages: list[str]) -> Extractor:

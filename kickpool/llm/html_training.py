@@ -122,12 +122,14 @@ class Composer:
             return self.element("form", inner, "form", 0, 0.5)
         if kind == "share":
             return self.element(c.choice(("div", "ul", "p")), self.links(2), "share", 0, 1)
-        inner = f"<h3>{self.line(3)}</h3>" * self.maybe(0.6)
         tag = c.choice(("div", "article", "li", "p"))
-        for _ in range(c.randint(1, 6)):
+        # A list of comments may have no telling name at all; then its place and its items tell.
+        telling = 0.0 if tag == "li" and self.maybe(0.4) else 1
+        inner = f"<h3>{self.line(3)}</h3>" * self.maybe(0.6) if telling else ""
+        for _ in range(c.randint(1, 6) if telling else c.randint(2, 40)):
             told = self.passage() if tag == "p" or self.maybe(0.3) else f"<p>{self.line(4)}</p><p>{self.passage()}</p>"
-            inner += self.element(tag, told, "comment", 0, 0.8)
-        return self.element(c.choice(("div", "section", "ol" if tag == "li" else "aside")), inner, "comment", 0, 1)
+            inner += self.element(tag, told, "comment", 0, 0.8 * telling)
+        return self.element(c.choice(("div", "section", "ol" if tag == "li" else "aside")) if telling else "ol", inner, "comment", 0, telling)
 
     def article(self, texts: list[str]) -> str:
         c = self.chance

@@ -32,10 +32,13 @@ CLOSED_BY_SAME = {
     "th": ("td", "th"), "option": ("option",),
 }
 SCOPE = frozenset("ul ol dl table body article section div main aside nav form".split())
+LISTS = frozenset(("ul", "ol", "dl", "table", "select"))
 
+# Quotes count after an equals sign only. A tag that the page's end cuts off is no text.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/[^a-zA-Z])[^>]*+(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
+    r"(?P<attrs>(?:=[\t\n\f\r ]*+(?:\"[^\"]*+\"|'[^']*+'|[^\t\n\f\r >]*+)|[^>=]++)*+)(?:>|\Z)",
     re.DOTALL,
 )
 ATTR = re.compile(
@@ -91,7 +94,7 @@ FEATURES = 18 + KINDS + 2 * TOKENS + KINDS
 
 class Block:
     __slots__ = (
-        "tag", "parent", "depth", "tokens", "chars", "link_chars", "marks", "tags", "words", "children",
+        "tag", "parent", "depth", "tokens", "place", "alike", "chars", "link_chars", "marks", "tags", "words", "children",
         "sum_chars", "sum_links", "sum_marks", "sum_tags", "sum_blocks", "begin", "truth",
     )
 
@@ -99,9 +102,45 @@ class Block:
         self.tag, self.parent, self.depth, self.tokens, self.begin = tag, parent, depth, tokens, begin
         self.chars = self.link_chars = self.marks = self.tags = self.words = 0
         self.children: list[int] = []
+        self.place = 0  # among the parent's children
+        self.alike: dict[str, int] = {}  # how many children have a tag
         self.truth = None
 
 
+class Open:
+    """Open blocks, with the places of each tag, so that none is searched for."""
+
+    def __init__(self) -> None:
+        self.blocks, self.tags = [0], ["body"]
+        self.places: dict[str, list[int]] = {"body": [0]}
+        self.scopes, self.lists = [0], []
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost block of the tags above the body, or 0."""
+        return max(self.places[tag][-1] if self.places.get(tag) else 0 for tag in tags)
+
+    def put(self, tag: str, block: int) -> None:
+        place = len(self.blocks)
+        self.blocks.append(block)
+        self.tags.append(tag)
+        self.places.setdefault(tag, []).append(place)
+        if tag in SCOPE:
+            self.scopes.append(place)
+        if tag in LISTS:
+            self.lists.append(place)
+
+    def close(self, place: int) -> None:
+        """Close the block at a place and all inside it."""
+        while len(self.blocks) > place:
+            tag = self.tags.pop()
+            self.blocks.pop()
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            if tag in LISTS:
+                self.lists.pop()
+
+
 def token_kinds(attrs: str) -> tuple[int, ...]:
     """Kinds of what the attributes of a tag name."""
     found = set()
@@ -124,7 +163,8 @@ def read(page: str, truths: bool = False) -> tuple[list[Block], list[tuple[int,
     """
     blocks = [Block("body", -1, 0, (), 0)]
     pieces: list[tuple[int, str]] = []
-    stack = [0]  # open blocks
+    open_ = Open()
+    stack = open_.blocks
     links = 0  # whether a link is open
     seen, at = 0, 0
     in_head = False
@@ -168,13 +208,10 @@ def read(page: str, truths: bool = False) -> tuple[list[Block], list[tuple[int,
             if name == "a":
                 links = 0
             elif name == "p" or name not in INLINE:
-                for place in range(len(stack) - 1, 0, -1):
-                    if blocks[stack[place]].tag == name:
-                        del stack[place:]
-                        links = 0
-                        break
-                    if name in ("p", "li", "dd", "dt") and blocks[stack[place]].tag in SCOPE:
-                        break
+                place = open_.last(name)
+                if place and not (name in ("p", "li", "dd", "dt") and open_.scopes[-1] > place):
+                    open_.close(place)
+                    links = 0
             continue
         if name in UNREAD:
             if name == "head":
@@ -200,29 +237,21 @@ def read(page: str, truths: bool = False) -> tuple[list[Block], list[tuple[int,
             continue
         if name in ("html", "body"):
             continue
-        if name in CLOSES_P:
-            for place in range(len(stack) - 1, 0, -1):
-                if blocks[stack[place]].tag == "p":
-                    del stack[place:]
-                    break
-                if blocks[stack[place]].tag in SCOPE:
-                    break
+        if name in CLOSES_P and (place := open_.last("p")) > open_.scopes[-1]:
+            open_.close(place)
         same = CLOSED_BY_SAME.get(name)
-        if same:
-            for place in range(len(stack) - 1, 0, -1):
-                if blocks[stack[place]].tag in same:
-                    del stack[place:]
-                    break
-                if blocks[stack[place]].tag in ("ul", "ol", "dl", "table", "select"):
-                    break
+        if same and (place := open_.last(*same)) > (open_.lists[-1] if open_.lists else 0):
+            open_.close(place)
         links = 0
         parent = stack[-1]
         blocks.append(Block(name, parent, blocks[parent].depth + 1, token_kinds(found["attrs"]), seen))
         if truths:
             told = TRUTH.search(found["attrs"])
             blocks[-1].truth = int(told[1]) if told else blocks[parent].truth
+        blocks[-1].place = len(blocks[parent].children)
+        blocks[parent].alike[name] = blocks[parent].alike.get(name, 0) + 1
         blocks[parent].children.append(len(blocks) - 1)
-        stack.append(len(blocks) - 1)
+        open_.put(name, len(blocks) - 1)
     if at < len(page) and not (in_head and page[at:].isspace()):
         text(page[at:])
     for block in blocks:
@@ -244,14 +273,13 @@ def features(blocks: list[Block]) -> list[list[float]]:
     deepest = max(b.depth for b in blocks) or 1
     above: list[tuple[frozenset, frozenset]] = []
     rows = []
-    for number, b in enumerate(blocks):
+    for b in blocks:
         up = blocks[b.parent] if b.parent >= 0 else b
         tags_above, tokens_above = above[b.parent] if b.parent >= 0 else (frozenset(), frozenset())
         kind = KIND_OF.get(b.tag)
         above.append((tags_above | {kind}, tokens_above | set(b.tokens)))
-        siblings = up.children if b.parent >= 0 else [0]
-        place = siblings.index(number) if len(siblings) < 64 else siblings[0] != number
-        alike = sum(blocks[s].tag == b.tag for s in siblings[:64])
+        siblings = len(up.children) if b.parent >= 0 else 1
+        alike = up.alike[b.tag] if b.parent >= 0 else 1
         around = max(up.sum_chars, 1)
         row = [0.0] * FEATURES
         row[:18] = [
@@ -266,8 +294,8 @@ def features(blocks: list[Block]) -> list[list[float]]:
             b.begin / total,
             (b.begin + b.sum_chars) / total,
             b.sum_chars / around,
-            len(siblings),
-            place / max(len(siblings), 1),
+            siblings,
+            b.place / siblings,
             alike,
             len(b.children),
             100 * b.sum_marks / max(b.sum_chars, 1),

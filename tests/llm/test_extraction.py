@@ -1,11 +1,12 @@
 import html
 import re
 
+import pytest
 from conftest_data import MEDIUM
 from kickpool.llm import boosting, extraction
 from kickpool.llm.common import table
 from kickpool.llm.html_training import Composer, parts_of
-from kickpool.llm.html_tree import joined, read
+from kickpool.llm.html_tree import features, joined, read
 from kickpool.llm.queries import QUERIES
 
 PAGE = """<!doctype html><html><head><title>t</title><script>var a = "<p>no</p>";</script></head><body>
@@ -128,3 +129,55 @@ def test_pages_without_head_end(spark):
     given = [r.html for r in table(spark, MEDIUM, "pages").orderBy("page_id").limit(60).collect()]
     cut = [p.replace("</head>", "") for p in given]
     assert cut != given and [read_text(p) for p in cut] == [read_text(p) for p in given]
+
+
+def test_no_markup_in_texts():
+    for page, text in {
+        '<p>One <a href="x"">two</a> three': "One two three",
+        "<p>a<!-->b<!--->c<!-- x --!>d<!-- <p> -->e": "abcde",
+        '<p title=">" data-a=\'"\'>c<p x="1" y=">>">d': "c d",
+        "<p>1 < 2 and <b>x</b> </ >y</p>": "1 < 2 and x y",
+        '<p>it\'s "quoted" <i class=a\'b>text</i> \'here\'': "it's \"quoted\" text 'here'",
+        "<p>end <a href='x": "end",
+    }.items():
+        assert read_text(page) == text, page
+
+
+@pytest.mark.parametrize("unit", ["<h2>x", "<a x='1>t ", "<div>x</zz>", "<p>x", "<ul><li>x", "<li>x", "<", "<a ====>", "<svg>", "<td>x</p>"])
+def test_reading_takes_linear_time(unit):
+    import time
+
+    def seconds(n):
+        page, begin = unit * (n // len(unit)), time.perf_counter()
+        blocks, _ = read(page)
+        features(blocks)
+        return time.perf_counter() - begin
+
+    seconds(10_000)
+    assert seconds(400_000) < 8 * max(seconds(100_000), 0.02)
+
+
+def test_places_and_counts_of_many_siblings():
+    rows = features(read("<ul>" + "<li>x" * 200 + "</ul><p>y")[0])
+    items = rows[2:202]
+    assert [r[12] for r in items] == [i / 200 for i in range(200)] and {r[13] for r in items} == {200} and {r[11] for r in items} == {200}
+
+
+def test_only_long_pages_still_train(spark):
+    given = [r.html for r in table(spark, MEDIUM, "pages").orderBy("page_id").limit(20).collect()]
+    filler = "<p>" + "more of the text, and more. " * 1_500
+    longer = [p.replace("</article>", filler + "</article>") if "</article>" in p else p + "<!--" + "x" * 40_000 for p in given]
+    assert min(map(len, longer)) > extraction.SAMPLE_CHARS
+    pages = spark.createDataFrame([(i, "u", p) for i, p in enumerate(longer)], "page_id bigint, url string, html string")
+    model = extraction.train(pages)
+    assert model.trees is not None and model.extract([PAGE])[0] != read_text(PAGE)
+
+
+def test_comments_under_neutral_names(spark):
+    pages = [r.html for r in table(spark, MEDIUM, "pages").orderBy("page_id").limit(120).collect()]
+    told = [p for p in map(parts_of, pages) if p]
+    paragraphs = [t for good, _ in told for t in good][:6]
+    items = "".join(f"<li>{' '.join(good[0].split()[:15])}</li>" for good, _ in told[:40])
+    page = "<body><article><h1>Title</h1>" + "".join(f"<p>{t}</p>" for t in paragraphs) + f"</article><ol class='c'>{items}</ol></body>"
+    text = extraction.train_on(pages).extract([page])[0]
+    assert text == " ".join(["Title", *(" ".join(html.unescape(t).split()) for t in paragraphs)])
