@@ -13,12 +13,13 @@ Items shorter than ``MIN_WORDS`` have runs of words as seeds. An item shorter th
 is divided into two or three runs, of which one must be unchanged. Documents are hashed only for
 lengths of runs that the test set has.
 
-The test set is taken in blocks of about ``BLOCK_CHARS`` characters, chosen by hash, so what is
-sent to the workers has a fixed size however large the test set is; each block passes over all
-documents. There is no shuffle of documents or of their hashes.
+The distinct texts of the test set are taken in blocks of about ``BLOCK_CHARS`` characters, dealt
+by their digests, so what is sent to the workers has a bound however large the test set is and
+however many items are alike; each block passes over all documents. Hashes of documents are not
+shuffled.
 
-Defined results: null and empty texts, and those without letter or digit, overlap with nothing; equal items are all reported; repeated rows are
-reported each; an empty table on either side gives no rows (or removes nothing).
+Defined results: null and empty texts, and those without letter or digit, overlap with nothing;
+equal items are all reported; repeated rows are reported each; ids may be of any type; an empty table on either side gives no rows (or removes nothing).
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm.common import map_slices
+from kickpool.llm.common import map_slices, written
 
 MASKS = ((0, 3, 5, 6, 8), (0, 5, 6, 7, 8), (0, 1, 2, 4, 8))
 SPAN = 9
@@ -200,60 +201,89 @@ class Items:
             yield row, self.ids[item], start, item_start, size, n
 
 
+def distinct_texts(items: DataFrame) -> DataFrame:
+    """``item_key, text``: each different text once, under a digest."""
+    return items.where("text IS NOT NULL").select(F.sha2("text", 256).alias("item_key"), "text").distinct()
+
+
+def item_chars(items: DataFrame) -> int:
+    return distinct_texts(items).agg(F.sum(F.length("text"))).first()[0] or 0
+
+
 def item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
-    """Test items in blocks of bounded size."""
-    items = items.select("item_id", "text").where("text IS NOT NULL")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = math.ceil(chars / BLOCK_CHARS)
+    """Distinct test texts in blocks of about ``BLOCK_CHARS``, dealt by their digests."""
+    texts = distinct_texts(items)
+    blocks = math.ceil(item_chars(items) / BLOCK_CHARS)
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("item_key"), F.lit(max(blocks, 1))))
     for block in range(blocks):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+        yield [tuple(r) for r in dealt.where(F.col("block") == block).select("item_key", "text").collect()]
 
 
 def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Verified overlaps: ``doc_id, item_id, doc_start, item_start, n_words, n_equal, similarity``."""
+    """Verified overlaps: ``doc_id, item_id, doc_start, item_start, n_words, n_equal, similarity``.
+
+    Windows are found with distinct test texts, in one reading of the documents a block; the ids
+    of the items that have a text are joined to what was found.
+    """
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    item_kind = items.schema["item_id"].dataType.simpleString()
+    names = ["doc_id", "item_key", "doc_start", "item_start", "n_words", "n_equal", "similarity"]
     schema = (
-        f"doc_id {doc_kind}, item_id {item_kind}, doc_start bigint, item_start bigint, "
+        f"doc_id {doc_kind}, item_key string, doc_start bigint, item_start bigint, "
         "n_words bigint, n_equal bigint, similarity double"
     )
     texts = docs.select("doc_id", "text")
-    made = spark.createDataFrame([], schema)
-    for number, rows in enumerate(item_blocks(items)):
+    made = None
+    for rows in item_blocks(items):
         block = spark.sparkContext.broadcast(Items.of(rows))
 
         def work(batch: pa.RecordBatch, block=block) -> pa.RecordBatch | None:
             found = list(block.value.overlaps(batch.column(1).to_pylist()))
             if not found:
                 return None
-            row, item, start, item_start, size, n = map(list, zip(*found))
-            item_type = pa.int32() if item_kind == "int" else pa.int64() if item_kind == "bigint" else None
+            row, key, start, item_start, size, n = map(list, zip(*found))
+            numbers = (pa.array(x, pa.int64()) for x in (start, item_start, size, n))
+            similarity = pa.array([b / a for a, b in zip(size, n)])
             return pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row)),
-                    pa.array(item, item_type),
-                    *(pa.array(x, pa.int64()) for x in (start, item_start, size, n)),
-                    pa.array([b / a for a, b in zip(size, n)]),
-                ],
-                names=schema_names,
+                [batch.column(0).take(pa.array(row)), pa.array(key, pa.string()), *numbers, similarity], names=names
             )
 
-        schema_names = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal", "similarity"]
         part = map_slices(texts, work, schema)
-        made = part if number == 0 else made.union(part)
-    return made
+        made = part if made is None else made.union(part)
+    ids = items.where("text IS NOT NULL").select(F.sha2("text", 256).alias("item_key"), "item_id")
+    if made is None:
+        made = spark.createDataFrame([], schema)
+    return made.join(ids, "item_key").select("doc_id", "item_id", *names[2:])
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, without a verified overlap with any test item."""
+    """Rows of ``docs``, all columns, without a verified overlap with any test item.
+
+    A test set of one block is a filter in the documents' own tasks. For more, each block gives
+    the digests of the texts that overlap with it, and an anti-join drops these texts: tasks stay
+    as they are, however large the test set.
+    """
     text_at = docs.columns.index("text")
+    if item_chars(items) <= BLOCK_CHARS:
+        for rows in item_blocks(items):  # one, or none
+            block = spark.sparkContext.broadcast(Items.of(rows))
+
+            def work(batch: pa.RecordBatch, block=block) -> pa.RecordBatch:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[f[0] for f in block.value.overlaps(batch.column(text_at).to_pylist())]] = False
+                return batch.filter(pa.array(keep))
+
+            docs = map_slices(docs, work, docs.schema)
+        return docs
+    dirty, digest = None, F.sha2("text", 256)
+    texts = docs.select(digest.alias("text_key"), "text").where("text IS NOT NULL")
     for rows in item_blocks(items):
         block = spark.sparkContext.broadcast(Items.of(rows))
 
-        def work(batch: pa.RecordBatch, block=block) -> pa.RecordBatch:
-            keep = np.ones(batch.num_rows, bool)
-            keep[[f[0] for f in block.value.overlaps(batch.column(text_at).to_pylist())]] = False
-            return batch.filter(pa.array(keep))
+        def found(batch: pa.RecordBatch, block=block) -> pa.RecordBatch | None:
+            hit = sorted({f[0] for f in block.value.overlaps(batch.column(1).to_pylist())})
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit, pa.int64()))], names=["text_key"])
+
+        part = written(spark, map_slices(texts, found, "text_key string"), "contaminated")
+        dirty = part if dirty is None else dirty.union(part)
+    return docs.join(dirty.distinct(), digest == F.col("text_key"), "left_anti")
 
-        docs = map_slices(docs, work, docs.schema)
-    return docs

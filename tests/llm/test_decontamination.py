@@ -113,3 +113,29 @@ def test_scripts_without_blanks(spark):
     docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in d.overlaps(spark, docs, items).collect()} == {(1, 1), (2, 2), (4, 4)}
     assert [r.doc_id for r in d.remove_contaminated(spark, docs, items).collect()] == [3]
+
+
+def test_equal_items_share_one_text(spark, monkeypatch):
+    """Items alike are one text, blocks stay bounded, and every item's id is reported."""
+    monkeypatch.setattr(d, "BLOCK_CHARS", 2_000)
+    same = " ".join(f"same{i}" for i in range(20))
+    texts = [" ".join(f"w{n}x{i}" for i in range(14)) for n in range(120)]
+    items = [(n, same) for n in range(3_000)] + [(10_000 + n, t) for n, t in enumerate(texts)]
+    items = spark.createDataFrame(items, "item_id int, text string")
+    blocks = list(d.item_blocks(items))
+    assert sum(map(len, blocks)) == 121 and len(blocks) > 3 and max(sum(len(t) for _, t in b) for b in blocks) < 8_000
+    docs = [(1, f"before {same} after"), (2, "nothing of it"), (3, texts[5] + " " + texts[77]), (4, None), (4, texts[9].upper())]
+    docs = spark.createDataFrame([(*r, "x") for r in docs], "doc_id bigint, text string, item_id string")
+    found = {(r.doc_id, r.item_id) for r in d.overlaps(spark, docs, items).collect()}
+    assert found == {(1, n) for n in range(3_000)} | {(3, 10_005), (3, 10_077), (4, 10_009)}
+    kept = d.remove_contaminated(spark, docs, items)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == [(2, "nothing of it", "x"), (4, None, "x")]
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
+
+
+def test_ids_of_other_types(spark):
+    text = " ".join(f"w{i}" for i in range(15))
+    for kind, value in (("smallint", 7), ("string", "seven"), ("tinyint", 7), ("double", 7.5), ("binary", b"7"), ("date", None)):
+        items = spark.createDataFrame([(value, text)], f"item_id {kind}, text string")
+        docs = spark.createDataFrame([(value, "a " + text)], f"doc_id {kind}, text string")
+        assert [(r.doc_id, r.item_id) for r in d.overlaps(spark, docs, items).collect()] == [(value, value)]
