@@ -9,6 +9,10 @@ How it scales
 * Equal fingerprints are one node (partial aggregation), so copies cost nothing later on.
 * The 64 bits are cut into six blocks. Fingerprints with at most four differing bits agree in
   at least two blocks, so every pair meets in one of the 15 buckets named by two blocks.
+* A bucket of more than ``SPLIT_BUCKET`` distinct fingerprints is divided once more: its members
+  agree in two blocks, so close ones differ in at most four of the other bits. These are cut into
+  six blocks again, of which close pairs share two, and each of the 15 choices is a bucket of its
+  own. Far fingerprints part by 14 more bits, and no pair is lost.
 * Buckets are streamed in sorted order. Each returns the edges of a spanning forest after
   exact Hamming checks, at most one edge per fingerprint, never all pairs of a bucket.
 * Components are found by star contraction, with each round written to the shared folder.
@@ -40,6 +44,8 @@ MAX_BITS = 4
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 SHARED_BLOCKS = len(BLOCK_BITS) - MAX_BITS  # blocks in which any close pair agrees
 SMALL_BUCKET = 32
+SPLIT_BUCKET = 4096
+REST_BITS = (8, 8, 7, 7, 7, 7)  # of what two blocks leave, 44 bits or fewer
 CHUNK = 1 << 16
 
 
@@ -167,11 +173,43 @@ def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(keys, fps)
 
 
+def rest_of(fp: str, choice: tuple[int, ...]) -> Column:
+    """The bits outside the chosen blocks, as one number."""
+    starts = np.cumsum((0, *BLOCK_BITS))
+    rest = F.lit(0).cast("bigint")
+    for block, width in enumerate(BLOCK_BITS):
+        if block not in choice:
+            bits = F.shiftrightunsigned(F.col(fp), int(starts[block])).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+            rest = F.shiftleft(rest, width).bitwiseOR(bits)
+    return rest
+
+
+def divided(rows: DataFrame) -> DataFrame:
+    """Rows ``number, key, fp`` of large buckets under the keys of their parts."""
+    choices = list(combinations(range(len(BLOCK_BITS)), SHARED_BLOCKS))
+    rest = F.lit(None).cast("bigint")
+    for number, choice in enumerate(choices):
+        rest = F.when(F.col("number") == number, rest_of("fp", choice)).otherwise(rest)
+    rows = rows.withColumn("rest", rest)
+    starts = np.cumsum((0, *REST_BITS))
+    parts = [
+        F.shiftrightunsigned("rest", int(at)).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+        for at, width in zip(starts, REST_BITS)
+    ]
+    # A hash of choice, bucket and bits: where two meet, the bucket is only larger.
+    keys = [F.xxhash64("number", "key", F.lit(n), *(parts[i] for i in pair)) for n, pair in enumerate(combinations(range(6), 2))]
+    return rows.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Edges ``a, b`` that connect distinct fingerprints ``fp`` within ``MAX_BITS`` bits."""
-    rows = nodes.select(F.explode(F.array(*bucket_keys("fp"))).alias("key"), "fp")
-    rows = rows.repartition("key").sortWithinPartitions("key", "fp")
-    return rows.mapInArrow(block_links, "a bigint, b bigint")
+    rows = nodes.select(F.posexplode(F.array(*bucket_keys("fp"))).alias("number", "key"), "fp")
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_BUCKET).select("key")
+    large = written(nodes.sparkSession, large, "large-buckets")
+    small = rows.join(large, "key", "left_anti").select("key", "fp")
+    buckets = small.union(divided(rows.join(large, "key", "left_semi")))
+    buckets = buckets.repartition("key").sortWithinPartitions("key", "fp")
+    return buckets.mapInArrow(block_links, "a bigint, b bigint")
 
 
 def star_components(spark: SparkSession, edges: DataFrame, label: str = "components") -> DataFrame:
@@ -214,7 +252,7 @@ def star_components(spark: SparkSession, edges: DataFrame, label: str = "compone
 
 def fingerprint_components(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """``fp, component``: each distinct fingerprint and the smallest one in its component."""
-    nodes = rows.select("fp").distinct()
+    nodes = written(spark, rows.select("fp").distinct(), "simhash-nodes")
     joined = star_components(spark, links(nodes), "simhash-components")
     labelled = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     return labelled.select("fp", F.coalesce("component", "fp").alias("component"))

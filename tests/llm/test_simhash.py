@@ -106,3 +106,29 @@ def test_equal_ids_with_different_texts_are_two_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = sorted((r.doc_id, r.text) for r in simhash.keep_first(spark, docs).collect())
     assert kept == [(3, "one text here now"), (5, "another text over there")]
+
+
+def test_divided_buckets_lose_no_link(spark, monkeypatch):
+    """Members of one bucket, in near clusters and far ones, under parts of at most a few rows."""
+    chance = random.Random(12)
+    same = chance.getrandbits(64) & ((1 << 22) - 1)  # the first two blocks of all
+    fps = {f >> 22 << 22 | same for f in clustered(chance, 25, 12, 4) + clustered(chance, 150, 1, 0)}
+    fps = sorted(fps | set(clustered(chance, 20, 3, 4)))
+    rows = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp bigint")
+    monkeypatch.setattr(simhash, "SPLIT_BUCKET", 8)
+    got = {r.fp & (1 << 64) - 1: r.component & (1 << 64) - 1 for r in simhash.fingerprint_components(spark, rows).collect()}
+    want = groups_by_hand(fps)
+    assert len(got) == len(fps)
+    assert len({(got[a], want[a]) for a in fps}) == len({got[a] for a in fps}) == len({want[a] for a in fps})
+
+
+def test_a_bucket_of_many_far_fingerprints_is_divided(spark):
+    import time
+
+    numbers = np.random.default_rng(5).integers(0, 1 << 42, 120_000, np.uint64) << np.uint64(22)
+    rows = spark.createDataFrame([(int(f.view(np.int64)),) for f in numbers], "fp bigint").distinct()
+    assert simhash.links(rows.limit(10)).count() >= 0
+    begin = time.perf_counter()
+    links = simhash.links(rows).distinct().collect()
+    assert time.perf_counter() - begin < 60
+    assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 4 for r in links)
