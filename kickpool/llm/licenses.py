@@ -110,33 +110,59 @@ BSD_TITLES = {
 # with or without the line that ends the terms.
 FULL_DIGESTS = {
     "Apache-2.0": (
-        "8b388f653256b5555100b321c7a6e18d",
-        "b823f8203a4903faa2e503e8ec24322f",
-        "ce5a8034aa42582b915fa72dce302870",
+        "249ce4125c16334f4847a5e3890d43b1",
+        "421d51569c72a1d3c8093fec0c1db053",
+        "1443cb2d91284f2f789347a7efed8d76",
+    ),
+    "CC0-1.0": (
+        "e4f04de2af11485b221acabe39e8813a",
+    ),
+    "GPL-1.0": (
+        "83422da07ee7e512522d4c2755525bd7",
+        "c8410c79e55a5de82f7572da4569dbca",
+        "2acca090d20b50a6a92b085cfb290884",
     ),
     "GPL-2.0": (
-        "fd4af37107430db3160fe7cb063ceb0d",
-        "ee8c3bf33a348a7a98f35400c6911146",
-        "580929bc5911f4544f06e80dd820f293",
+        "fbd64ea5c19c05cb1b10f651c609f15c",
+        "2a192887e8885ac1457975020b95e17b",
+        "798f0c1bfc62faa43ecaf698b1fd497b",
     ),
     "GPL-3.0": (
-        "c88bd197dceaa9b740c25d8ed3a6f8ac",
-        "c9fc25023b340c4fe9c690acf426f2bb",
-        "142c4e579177b776f1488343104fb878",
+        "0cc683b4a2db8c1138503d617e46be8f",
+        "2de44e44b1293624c49606b99fe9b660",
+        "6eb35f495739d076c1b83bbe209b7f3f",
+    ),
+    "LGPL-2.0": (
+        "a016ac70cf8369f620fa08034f6d3624",
+        "f86a7c9d56ecc2632865f76e8dc94fb7",
+        "c457d682f536840241d88305d1729ee4",
+    ),
+    "LGPL-2.1": (
+        "17eeec5d210a737f63671bc4497eea06",
+        "f6ec52bc7eed26c1b0d82517a2810cd2",
+        "d6a3d29f0eee89a5b5b4f0af480c35fc",
     ),
     "LGPL-3.0": (
         "372bb695d7cea4477e001ffe3dca6543",
     ),
+    "MPL-1.1": (
+        "1a006c1229f8867f9dd8d33fd2641aba",
+    ),
     "MPL-2.0": (
-        "8d78f4291a1c76f2ffb2e7f4a8ed40f2",
+        "64cb8735b79f4391d192494999e12f73",
     ),
 }
 STEMS = ("licens", "licenc", "released under", "distributed under", "permission")
 # The two-clause text without title holds none of these.
 FULL_STEMS = (*STEMS, "redistribution and use")
+GAP, MARGIN, YEAR = "[ \t\r\n]+", "[ \t*#/;-]*", "[<{\\[]?(year|yyyy|[12][0-9][0-9][0-9])"
 # Applied in this order to the lower-case text, each everywhere.
 LEVELLING = (
-    ("(^|\n)[ \t*#/;-]*(copyright|\\(c\\)|©)[^\n]*", "\n"),
+    # A notice that many texts share and that may be wrapped; lines that begin as a notice does; a
+    # line of its own that begins with the word. A line within a sentence may begin with it too.
+    (f"copyright{GAP}\\(c\\)[ \t\r\n0-9,]+free{GAP}software{GAP}foundation,{GAP}inc\\.,?({GAP}<https?://fsf\\.org/>)?", "\n"),
+    (f"(^|\n){MARGIN}(©|(\\(c\\)|copyright[ \t,:]*(\\(c\\)|©)?)[ \t]*{YEAR}|copyright[ \t,:]*(\\(c\\)|©|by[ \t]))[^\n]*", "\n"),
+    (f"(^|\n[ \t\r]*\n){MARGIN}copyright[^\n]*(\n[ \t\r]*\n|\\z)", "\n\n"),
     ("licence", "license"),
     ("organisation", "organization"),
     ("https?://", ""),
@@ -168,7 +194,7 @@ def canonical_sql(text: str) -> str:
 def known_rows() -> list[tuple[str, str]]:
     """``license, text`` of the built-in texts: a fixed, small number."""
     notices = [(k, frame.format(name)) for k, names in NAMES.items() for name in names for frame in FRAMES]
-    return notices + list(TEXTS.items())
+    return notices + list(TEXTS.items()) + bsd_rows()
 
 
 def bsd_rows() -> list[tuple[str, str]]:
@@ -189,7 +215,7 @@ def bsd_rows() -> list[tuple[str, str]]:
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """``license, text, digest`` of the built-in texts; those known by digest only have no text."""
-    rows = [(name, text, None) for name, text in known_rows() + bsd_rows()]
+    rows = [(name, text, None) for name, text in known_rows()]
     rows += [(name, None, digest) for name, some in FULL_DIGESTS.items() for digest in some]
     return spark.createDataFrame(rows, "license string, text string, digest string")
 
@@ -240,11 +266,13 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 def scan_sql() -> str:
     """DuckDB SQL for ``scan`` over the table ``documents`` and the built-in texts."""
     values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in known_rows())
-    stem = "|".join(STEMS)
+    listed = ", ".join(f"('{k}', '{d}')" for k, some in FULL_DIGESTS.items() for d in some)
+    stem = "|".join(FULL_STEMS)
     return f"""
 WITH known AS (
-  SELECT md5({canonical_sql("t")}) AS digest, min(l) AS license
-  FROM (VALUES {values}) v(l, t) GROUP BY 1),
+  SELECT digest, min(l) AS license FROM (
+    SELECT l, md5({canonical_sql("t")}) AS digest FROM (VALUES {values}) v(l, t)
+    UNION ALL SELECT l, d FROM (VALUES {listed}) v(l, d)) GROUP BY 1),
 hits AS (
   SELECT doc_id, text, regexp_split_to_array(text, '\n[ \t\r]*\n') AS paragraphs FROM documents
   WHERE regexp_matches(lower(text), '{stem}')),
