@@ -15,7 +15,7 @@ Defined results
 * rows without ``conv_id`` belong to no conversation and are not rendered
 * exact repeats of a row count once; rows of one turn number are ordered by hash; a null turn
   comes last
-* null role: ``unknown``; null text: empty; a text cannot contain a mark (``<|`` becomes ``< |``)
+* null role: ``unknown``; null text: empty, in comparing as in rendering; a text cannot contain a mark (``<|`` becomes ``< |``)
 * an empty table gives no rows; further columns are not looked at
 """
 
@@ -31,8 +31,7 @@ UNKNOWN_ROLE = "unknown"
 
 
 def row_hash(seed: int) -> Column:
-    content = [F.coalesce(c, F.lit("")) for c in ("role", "text")]
-    return F.xxhash64(F.lit(seed), F.isnull("role"), content[0], F.isnull("text"), content[1])
+    return F.xxhash64(F.lit(seed), F.coalesce("role", F.lit(UNKNOWN_ROLE)), F.coalesce("text", F.lit("")))
 
 
 def with_block(rows: DataFrame) -> DataFrame:
@@ -118,7 +117,7 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
   SELECT conv_id, turn,
-    string_agg(md5(turn || '/' || role || '/' || text), '') OVER (PARTITION BY conv_id ORDER BY turn) AS prefix,
+    string_agg(md5(coalesce(CAST(turn AS VARCHAR), '') || '/' || role || '/' || text), '') OVER (PARTITION BY conv_id ORDER BY turn) AS prefix,
     count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS n,
     count(*) OVER (PARTITION BY conv_id) AS total
   FROM t),

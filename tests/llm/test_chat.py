@@ -62,3 +62,10 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op7_chat"](spark, MEDIUM)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_null_and_empty_turns_are_alike(spark):
+    """A snapshot with a null text or role is the beginning of one that has what it is rendered as."""
+    rows = [(1, 0, None, "a"), (1, 1, "user", None), (2, 0, "unknown", "a"), (2, 1, "user", ""), (2, 2, "bot", "c"), (3, 0, "unknown", "a")]
+    got = chat.render(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.conv_id, r.n_turns, r.text) for r in got] == [(2, 3, rendered([("unknown", "a"), ("user", ""), ("bot", "c")]))]
