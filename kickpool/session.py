@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,9 +65,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+# Paths that ``fresh_path`` named in this process, in order.
+MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; nothing is ever overwritten."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def release(spark: SparkSession, since: int = 0, keep: Sequence[str] = ()) -> None:
+    """Remove what was written to paths named since the given place in ``MADE``.
+
+    For a caller that has used its results: frames that still read these paths cannot be read
+    any more.
+    """
+    for path in [p for p in MADE[since:] if p not in keep]:
+        name = spark._jvm.org.apache.hadoop.fs.Path(path)
+        name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+        MADE.remove(path)
 
 
 def written(rows: DataFrame, path: str) -> DataFrame:

@@ -1,3 +1,4 @@
+from kickpool import session
 from pyspark.sql import functions as F
 
 from kickpool.operators.backtest import grain_backtest, round_backtest
@@ -118,3 +119,16 @@ def test_grains_are_the_single_backtests(spark):
     assert len(total) == 1 and total[0].match_count == rows.where("result_outcome IS NOT NULL").count()
     assert sum(r.match_count for r in got if r.grain == "season+tier") == total[0].match_count
     assert grain_backtest(rows.limit(0), [["season"], []]).count() == 0
+
+
+def test_written_copies_can_be_released(spark):
+    import os
+
+    since = len(session.MADE)
+    kept = session.fresh_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    with_positions(spark.range(5).selectExpr("id AS v"), [], [F.col("v")]).collect()
+    made = session.MADE[since:]
+    assert len(made) == 2 and all(os.path.exists(p.removeprefix("file:")) for p in made)
+    session.release(spark, since, keep=[kept])
+    assert session.MADE[since:] == [kept] and [os.path.exists(p.removeprefix("file:")) for p in made] == [True, False]
