@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kickpool import session
 from kickpool.llm import decontamination, language, packing, quality_model, simhash
-from kickpool.llm.common import crc_of, table, written
+from kickpool.llm.common import crc_of, discard, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents")
+    """All stages; each one's rows are written, and what came before them is then removed."""
+    rows, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        rows = written(spark, stage(spark, rows, sf_dir), f"pipeline-{name}")
+        before = len(session.MADE)
+        rows, made = stored(spark, stage(spark, rows, sf_dir), f"pipeline-{name}")
+        session.release(spark, before, keep=[made])
+        if path is not None:
+            discard(spark, path)
+        path = made
     return STAGES[-1][1](spark, rows, sf_dir)

@@ -21,14 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stored(spark: SparkSession, rows: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``written`` rows and the path they were written to."""
+    path = fresh_path(spark, label)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path
+
+
 def written(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
     """Rows written to the cluster's shared folder and read again: the lineage ends here.
 
     A lost executor costs its running tasks, never the steps before.
     """
-    path = fresh_path(spark, label)
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return stored(spark, rows, label)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -12,7 +12,7 @@ from test_simhash import by_hand, groups_by_hand
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "near_dedup", "decontaminate", "pack"]
     assert QUERIES["pipeline"] is corpus_pipeline.run
-    assert {k.split("_")[0] for k in QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {k.split("_")[0] for k in QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
 
 
 @pytest.fixture(scope="module")
