@@ -11,7 +11,9 @@ between two neighbours that no piece holds side by side. This loses no merge. Wi
 leftmost pair of the lowest rank goes first. Others of that rank join in the same round where the
 order cannot matter: non-overlapping ones if no piece that holds the joined one has a lower rank,
 else those so far from the one before that no piece of a lower rank which holds one of them comes
-near one that holds the other (a joined piece grows by its neighbours only). Very long runs of blanks are shortened by whole pieces of
+near one that holds the other (a joined piece grows by its neighbours only). What is left of a
+sequence after ``ROUNDS`` rounds, as of a long text without blanks whose pieces depend on each
+other, is joined pair by pair from a heap in the same order. Very long runs of blanks are shortened by whole pieces of
 blanks, where the model joins blanks last and up to one length.
 
 Rows stay in their tasks. Counts of short pre-tokens are kept in a cache of two generations. A
@@ -26,6 +28,7 @@ their rows as they come; columns but ``doc_id`` and ``text`` are not looked at.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -44,6 +47,7 @@ RUN_SIGNS = 1 << 20
 BLANK = "▁"
 LETTERS = "A-Za-z"
 NONE = np.iinfo(np.int64).max
+ROUNDS = 256  # every sequence of up to so many signs ends within them
 
 
 class PieceModel:
@@ -53,6 +57,7 @@ class PieceModel:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.table: dict[int, tuple[int, int]] | None = None
         size = self.library.vocab_size()
         special = (self.library.is_byte, self.library.is_control, self.library.is_unknown, self.library.is_unused)
         plain = [i for i in range(size) if not any(test(i) for test in special)]
@@ -108,6 +113,12 @@ class PieceModel:
             if (counts[self.blank_run :] != counts[: -self.blank_run] + 1).any():
                 self.blank_run = 0
 
+    def pair_table(self) -> dict[int, tuple[int, int]]:
+        """Rank and piece of each pair, made when the first long sequence needs it."""
+        if self.table is None:
+            self.table = dict(zip(self.keys.tolist(), zip(self.pair_ranks.tolist(), self.results.tolist())))
+        return self.table
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (``NONE`` if it makes no piece) and the piece it makes."""
         key = left * self.size + right
@@ -116,6 +127,36 @@ class PieceModel:
         return np.where(hit, self.pair_ranks[at], NONE), np.where(hit, self.results[at], -1)
 
 
+def heap_count(symbols: list[int], weights: list[int], model: PieceModel) -> int:
+    """Tokens of one sequence, its pairs joined one by one, the leftmost of the lowest rank first."""
+    pairs, size, end = model.pair_table(), model.size, len(symbols)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+
+    def entry(left: int):
+        right = after[left] if left >= 0 else end
+        if right < end and symbols[left] < size and symbols[right] < size:
+            found = pairs.get(symbols[left] * size + symbols[right])
+            if found is not None:
+                return (found[0], left, symbols[left], symbols[right], found[1])
+        return None
+
+    heap = [e for e in map(entry, range(end)) if e is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, left, a, b, made = heapq.heappop(heap)
+        right = after[left]
+        if symbols[left] != a or right >= end or symbols[right] != b:
+            continue
+        symbols[left], symbols[right], weights[right] = made, -1, 0
+        after[left] = after[right]
+        if after[left] < end:
+            before[after[left]] = left
+        for e in (entry(before[left]), entry(left)):
+            if e is not None:
+                heapq.heappush(heap, e)
+    return sum(weights)
+
+
 def merged_counts(words: list[str], model: PieceModel) -> np.ndarray:
     """Tokens of each pre-token."""
     total = np.zeros(len(words), np.int64)
@@ -136,7 +177,14 @@ def merged_counts(words: list[str], model: PieceModel) -> np.ndarray:
     sequence = np.cumsum(first) - 1
     owner = word[first]
     place = np.arange(len(symbol))  # where a symbol begins, in signs
+    rounds = 0
     while len(symbol):
+        if rounds == ROUNDS:
+            borders = np.flatnonzero(np.r_[True, sequence[1:] != sequence[:-1], True])
+            for a, b in zip(borders[:-1], borders[1:]):
+                total[owner[sequence[a]]] += heap_count(symbol[a:b].tolist(), weight[a:b].tolist(), model)
+            break
+        rounds += 1
         linked = sequence[1:] == sequence[:-1]
         rank, makes = model.pairs(symbol[:-1], symbol[1:])
         rank, makes = np.r_[np.where(linked, rank, NONE), NONE], np.r_[makes, -1]

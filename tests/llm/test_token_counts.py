@@ -35,6 +35,27 @@ def test_long_texts_without_and_with_blanks(library, counter, unit):
         assert counter.counts([unit * n]) == [len(library.encode(unit * n))]
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_rest_of_long_sequences_from_a_heap(library, counter, monkeypatch, rounds):
+    chance = random.Random(rounds)
+    monkeypatch.setattr(token_counts, "ROUNDS", rounds)
+    texts = ["".join(chance.choices(SIGNS, k=chance.randint(0, 80))) for _ in range(1_500)]
+    texts += [t.replace(" ", "") for t in texts[:700]]
+    model = counter.model
+    marked = ["▁" + t.replace(" ", "▁") for t in texts if t]
+    assert token_counts.merged_counts(marked, model).tolist() == [len(library.encode(t)) for t in texts if t]
+
+
+def test_a_megabyte_without_blanks_in_seconds(library, counter):
+    import time
+
+    for unit in ("kilometer", "thequickbrownfoxjumps", "internationalization"):
+        text = unit * (1_000_000 // len(unit))
+        begin = time.perf_counter()
+        assert counter.counts([text]) == [len(library.encode(text))]
+        assert time.perf_counter() - begin < 60
+
+
 def test_runs_of_blanks(library, counter):
     texts = [" " * n + end for n in range(120) for end in ("", "the", "9x")] + ["x" + " " * 99_999 + "y"]
     assert counter.counts(texts) == [len(library.encode(t)) for t in texts]
