@@ -66,6 +66,20 @@ def lowest_hashes(rows: DataFrame, group: str, key: str, n: int, sizes: DataFram
     return some.withColumn("place", place).where(F.col("place") <= n).drop("_hash", "n")
 
 
+_LAST: list = [None]
+
+
+def claim(cache) -> None:
+    """Clear the word cache of another operator that ran in this worker before, if any.
+
+    A Python worker lives through all stages of a pipeline; only the running one keeps its cache.
+    """
+    if _LAST[0] is not cache:
+        if _LAST[0] is not None:
+            _LAST[0].clear()
+        _LAST[0] = cache
+
+
 def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
     """Bytes of each row's text and binary columns."""
     total = np.zeros(batch.num_rows, np.int64)

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm.common import map_slices, written
+from kickpool.llm.common import claim, map_slices, written
 
 MASKS = ((0, 3, 5, 6, 8), (0, 5, 6, 7, 8), (0, 1, 2, 4, 8))
 SPAN = 9
@@ -173,6 +173,7 @@ class Items:
         Positions count words that have a letter or digit. One window per text and item, the
         longest.
         """
+        claim(HASHES)
         docs = [word_hashes(t) for t in texts]
         begins = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(int)
         place, item, at = self.hits(np.concatenate([np.empty(0, np.uint64), *docs]))

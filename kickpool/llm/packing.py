@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from kickpool.llm.common import slices
+from kickpool.llm.common import claim, slices
 from kickpool.llm.tokens import word_ids
 
 CAPACITY = 2048
@@ -113,6 +113,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
+        claim(encoder)
         packer = Packer(TaskContext.get().partitionId(), capacity)
         id_type = None
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kickpool.llm.common import lowest_hashes, map_slices
+from kickpool.llm.common import claim, lowest_hashes, map_slices
 
 PER_CLASS = 2000
 WORD_SLOTS = 1 << 15
@@ -174,6 +174,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Mach
 
 
 def featured(rows: pa.RecordBatch, text_at: int, metadata_at: list[int]) -> list[np.ndarray]:
+    claim(WORDS)
     told = [[(rows.schema.names[i], v) for v in rows.column(i).to_pylist()] for i in metadata_at]
     return [
         slots_of(text, [f"{name}={value}" for name, value in (column[i] for column in told)])[0]

@@ -50,6 +50,10 @@ class WordIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        """Forget all words."""
+        self.young, self.old = {}, {}
+
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
