@@ -28,13 +28,33 @@ def clamp(x: Column | str, lo: float, hi: float) -> Column:
 
 
 def nullable_number(text: Column | str) -> Column:
-    """Numeric text as DOUBLE; missing, empty, unreadable or infinite gives NULL, blanks 0."""
+    """Numeric text as DOUBLE; missing, empty, unreadable or infinite gives NULL, blanks 0.
+
+    Only what the pattern found is cast: casting any other text makes and drops an exception,
+    which costs far more than the pattern.
+    """
     text = as_column(text)
-    value = F.regexp_extract(text, NUMERIC_TEXT, 1).try_cast("double")
+    value = F.nullif(F.regexp_extract(text, NUMERIC_TEXT, 1), F.lit("")).try_cast("double")
     finite = F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
     return F.coalesce(finite, F.when(text.rlike(BLANK_TEXT), F.lit(0.0)))
 
 
+def nullable_numbers(texts: Column) -> Column:
+    """``nullable_number`` of every text of an array, as ARRAY<DOUBLE>.
+
+    Many number columns spelled out make a method that the JVM does not compile (more than 8,000
+    bytes); one loop over an array stays small.
+    """
+    found = F.transform(texts, lambda t: F.regexp_extract(t, NUMERIC_TEXT, 1))
+    values = F.transform(found, lambda t: F.when(t != "", t.try_cast("double")))
+
+    def number(t: Column, value: Column) -> Column:
+        finite = F.when(F.abs(value) < F.lit(float("inf")), value)
+        return F.coalesce(finite, F.when(t.rlike(BLANK_TEXT), F.lit(0.0)))
+
+    return F.zip_with(texts, values, number)
+
+
 def number_or(text: Column | str, fallback: float = 0.0) -> Column:
     """Numeric text as DOUBLE; missing, empty or unreadable text gives the fallback."""
     return F.coalesce(nullable_number(text), F.lit(float(fallback)))

@@ -56,7 +56,7 @@ def read_by_header(
     if len(layouts) > MOST_LAYOUTS:
         raise ValueError(f"more than {MOST_LAYOUTS} header lines")
     names = list(dict.fromkeys(name for header in layouts for name in names_of(header)))
-    values = data_lines(spark, path).withColumn("v", split(F.col("line")))
+    values = data_lines(spark, path).withColumn("v", F.transform(split(F.col("line")), strip_ws))
     if len(layouts) == 1:
         place = {name: i for i, name in enumerate(names_of(layouts[0]))}
         return values.select(*(_value(F.lit(place[name])).alias(name) for name in names))
@@ -73,7 +73,7 @@ def read_by_header(
 
 
 def _value(place: Column) -> Column:
-    found = F.coalesce(strip_ws(F.get("v", place)), F.lit(""))
+    found = F.coalesce(F.get("v", place), F.lit(""))
     return F.when(place.isNotNull(), found)
 
 

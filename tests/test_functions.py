@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from kickpool.functions import labels, numbers, text
 
@@ -44,6 +45,16 @@ def test_nullable_number(one, x, expected):
     assert one(lambda c: numbers.number_or(c, 7), x) == fallback
 
 
+def test_nullable_numbers(spark):
+    texts = ["12", " 1.5e2\u3000", "", "  ", "\u3000", "abc", "1d", "NaN", "1e999", "-1e999", "-.5", "5.", ".", "1e", "+7", None]
+    want = [12.0, 150.0, None, 0.0, 0.0, None, None, None, None, None, -0.5, 5.0, None, None, 7.0, None]
+    df = spark.createDataFrame([(0, texts), (1, []), (2, None)], "k int, t array<string>")
+    found = df.select("k", numbers.nullable_numbers(F.col("t")).alias("n")).orderBy("k")
+    assert [r.n for r in found.collect()] == [want, [], None]
+    each = df.select("k", F.posexplode("t")).select("pos", numbers.nullable_number("col").alias("n")).orderBy("pos")
+    assert [r.n for r in each.collect()] == want
+
+
 @pytest.mark.parametrize("x, expected", [(1.0, "1"), (1.5, "1.5"), (-3.0, "-3"), (0.0, "0")])
 def test_number_text(one, x, expected):
     assert one(numbers.number_text, x, "double") == expected

@@ -3,10 +3,13 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from kickpool.operators import lookup, ranking
+from kickpool.functions import fixed_values as fv
+from kickpool.operators import lookup, matches, ranking, upsert
 from kickpool.plans.catalog import QUERIES
+from kickpool.sources import schemas
+from kickpool.sources.text_tables import read_plain_csv
 
 SF = "/root/testdata/sf0.001"
 EAGER = {
@@ -95,3 +98,13 @@ def test_lookup_gives_the_same_without_broadcast(spark):
         assert set(map(tuple, joined.collect())) == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_parsed_import_is_compiled(spark, tmp_path):
+    """The JVM interprets methods of more than 8,000 bytes for ever."""
+    (tmp_path / "x.csv").write_text(",".join(fv.IMPORT_COLUMNS) + "\n" + ",".join("1" * 27) + "\n")
+    parsed = matches.import_projection(read_plain_csv(spark, str(tmp_path / "x.csv")))
+    parsed = upsert.conformed(parsed, T.StructType.fromDDL(schemas.MATCHES))
+    shown = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(parsed._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown)]
+    assert sizes and max(sizes) < 8_000
