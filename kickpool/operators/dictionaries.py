@@ -60,9 +60,10 @@ def _block_hits(texts: DataFrame, block: Sequence[str], before: int, after: int,
     sent = texts.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for word in sent.value:
-            automaton.add_word(word)
+        words = sent.value
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for number, word in enumerate(words):
+            automaton.add_word(word, number)
         automaton.make_automaton()
         for batch in batches:
             rows, places, cut = [], [], ([], [], [])
@@ -74,10 +75,13 @@ def _block_hits(texts: DataFrame, block: Sequence[str], before: int, after: int,
 
             for i, value in enumerate(batch.column(batch.num_columns - 1)):
                 value = value.as_py()
-                first: dict[str, int] = {}
-                for end, length in automaton.iter(value) if value else ():
-                    first.setdefault(value[end - length + 1 : end + 1], end - length + 1)
-                for word, at in first.items():
+                first: dict[int, int] = {}  # number of a word: where its first hit ends
+                for end, number in automaton.iter(value) if value else ():
+                    if number not in first:
+                        first[number] = end
+                for number, end in first.items():
+                    word = words[number]
+                    at = end - len(word) + 1
                     rows.append(i)
                     places.append(at)
                     for column, part in zip(cut, (word, value[max(at - before, 0) : at], value[at : at + after])):
@@ -92,5 +96,10 @@ def _block_hits(texts: DataFrame, block: Sequence[str], before: int, after: int,
 
 
 def table_extract(texts: DataFrame, terms: DataFrame, *keys: str, **options) -> DataFrame:
-    """``first_hits`` with the integers in the text from the hit on."""
-    return first_hits(texts, terms, *keys, **options).withColumn("numbers", integers_in("after"))
+    """``first_hits`` with the integers in the text from the hit on.
+
+    Hits without a digit near them skip the longer pattern.
+    """
+    none = F.array().cast("array<bigint>")
+    numbers = F.when(F.col("after").rlike("[0-9]"), integers_in("after")).otherwise(none)
+    return first_hits(texts, terms, *keys, **options).withColumn("numbers", numbers)

@@ -38,3 +38,11 @@ def test_empty_dictionary_and_no_texts(spark):
     assert dictionaries.first_hits(frame, none, "k").count() == 0
     some = spark.createDataFrame([("a",)], "term string")
     assert dictionaries.first_hits(frame.limit(0), some, "k").count() == 0
+
+
+def test_numbers_are_sought_near_digits_only(spark):
+    frame = spark.createDataFrame([(1, "ab none", None, None), (2, "ab 007 -2147483649 99999999999999999999", None, None)], SHAPE)
+    terms = spark.createDataFrame([("ab",)], "term string")
+    found = dictionaries.table_extract(frame, terms, "k")
+    assert sorted((r.k, r.numbers) for r in found.collect()) == [(1, []), (2, [7, -2147483649, None])]
+    assert "CASE WHEN RLIKE(after" in found._jdf.queryExecution().optimizedPlan().toString()
